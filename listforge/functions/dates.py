@@ -23,8 +23,14 @@ def _by_formats(raw: Column, formats: list[str]) -> Column:
     def lenient(fmt: str) -> str:
         return fmt.replace("MM", "M").replace("dd", "d").replace("HH", "H").replace("mm", "m").replace("ss", "s")
 
-    return F.coalesce(*[F.when(raw.rlike(_pattern_of(f)), F.try_to_timestamp(raw, F.lit(lenient(f))))
-                        for f in formats])
+    def read(fmt: str) -> Column:
+        stamp = F.try_to_timestamp(raw, F.lit(lenient(fmt)))
+        if "yyyy" not in fmt:  # two-digit years from 69 on belong to the last century
+            stamp = F.when(F.year(stamp) >= 2069, F.add_months(stamp, -1200).cast("timestamp")
+                           + (stamp - F.date_trunc("day", stamp))).otherwise(stamp)
+        return F.when(raw.rlike(_pattern_of(fmt)), stamp)
+
+    return F.coalesce(*[read(f) for f in formats])
 
 
 def _wall_clock(raw: Column) -> Column:
