@@ -87,7 +87,7 @@ def auction_rounds(c: Column) -> Column:
 
 def closing_window_days(end: Column, now: Column) -> Column:
     seconds = F.unix_micros(end) / 1e6 - F.unix_micros(now) / 1e6
-    return F.greatest(F.lit(0), F.ceil(seconds / 86400)).cast("int")
+    return F.when(end.isNotNull(), F.greatest(F.lit(0), F.ceil(seconds / 86400)).cast("int"))
 
 
 def local_day(ts: Column) -> Column:

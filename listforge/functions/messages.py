@@ -171,7 +171,7 @@ def clean_company(c: Column) -> Column:
 
 def _company_of_line(line: Column) -> Column:
     labelled = tx.extract(line, r"(?iU)^(?:" + "|".join(fv.CHAT_COMPANY_PREFIXES) + r"):(.*)$")
-    return F.coalesce(tx.clean_line(F.when(labelled.isNotNull(), labelled)),
+    return F.coalesce(F.when(labelled.isNotNull(), tx.clean_line(labelled)),
                       *[clean_company(tx.extract(line, p)) for p in fv.CHAT_COMPANY_LINE_PATTERNS])
 
 

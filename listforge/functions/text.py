@@ -284,37 +284,44 @@ def format_description(c: Column) -> Column:
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:
-    """True when any word is a substring: one pass of literal contains, no regex engine."""
-    result = None
-    for word in words:
-        hit = text.contains(word)
-        result = hit if result is None else result | hit
+    """True when any word is a substring: literal search, no regex engine.
+
+    A short list is a plain OR.  A long one runs over a constant array, with the text bound once:
+    an OR of dozens of arms would repeat lower(text) in every arm and outgrow generated code."""
+    words = list(words)
+    if len(words) > 4:
+        table = F.array(*[F.lit(w) for w in words])
+        return let(text, lambda t: F.exists(table, lambda w: F.contains(t, w)))
+    result = text.contains(words[0])
+    for word in words[1:]:
+        result = result | text.contains(word)
     return result
 
 
 def starts_with_any(text: Column, words: Iterable[str]) -> Column:
-    result = None
-    for word in words:
-        hit = text.startswith(word)
-        result = hit if result is None else result | hit
-    return result
+    table = F.array(*[F.lit(w) for w in words])
+    return let(text, lambda t: F.exists(table, lambda w: F.startswith(t, w)))
 
 
 def first_rule(text: Column, rules: Iterable[tuple[str, list[str]]], default: str | None = None) -> Column:
     """Label of the first rule one of whose words occurs in the text."""
-    chain = None
-    for label, words in rules:
-        hit = contains_any(text, words)
-        chain = F.when(hit, label) if chain is None else chain.when(hit, label)
-    return chain.otherwise(F.lit(default))
+    def label_of(t: Column) -> Column:
+        chain = F
+        for label, words in rules:
+            chain = chain.when(contains_any(t, words), label)
+        return chain.otherwise(F.lit(default))
+
+    return let(text, label_of)
 
 
 def first_pattern(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
-    chain = None
-    for label, pattern in rules:
-        hit = text.rlike(pattern)
-        chain = F.when(hit, label) if chain is None else chain.when(hit, label)
-    return chain
+    def label_of(t: Column) -> Column:
+        chain = F
+        for label, pattern in rules:
+            chain = chain.when(t.rlike(pattern), label)
+        return chain
+
+    return let(text, label_of)
 
 
 def generated_title(kind: Column, bedrooms: Column, *place: Column) -> Column:
