@@ -156,11 +156,11 @@ def page_section_after_heading(t):
 
 @query("enrich_listing_detail", """SELECT l.id, coalesce(nullif(d.title, ''), l.title) AS title, coalesce(l.company, d.company) AS company, coalesce(d.city, l.city) AS city
 FROM listings_v l LEFT JOIN (SELECT url, CASE WHEN id % 3 = 0 THEN '' ELSE 'detail ' || id END AS title, 'other' AS company, CASE WHEN id % 4 = 0 THEN 'Natal' END AS city
-FROM listings_v WHERE id % 5 > 0) d USING (url)""", "listings_v")
+FROM listings_v) d ON d.url = CASE WHEN l.id % 5 > 0 THEN l.url END""", "listings_v")
 def enrich_listing_detail(t):
     from listforge.operators.detail import enrich_listing_detail as enrich
 
-    detail = t.listings_v.where("id % 5 > 0").select("url", F.expr("CASE WHEN id % 3 = 0 THEN '' ELSE concat('detail ', id) END").alias("title"),
+    detail = t.listings_v.select(F.expr("CASE WHEN id % 5 > 0 THEN url ELSE concat(url, '&gone') END").alias("url"), F.expr("CASE WHEN id % 3 = 0 THEN '' ELSE concat('detail ', id) END").alias("title"),
                                                      F.lit("other").alias("company"), F.expr("CASE WHEN id % 4 = 0 THEN 'Natal' END").alias("city"))
     return enrich(t.listings_v.select("id", "url", "title", "company", "city"), detail, detail_first=["title", "city"], list_first=["company"]).select("id", "title", "company", "city")
 

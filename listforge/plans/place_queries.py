@@ -131,13 +131,13 @@ def item_for_url(t):
     return wanted.join(feed, "u").select("page_id", "feed_id")
 
 
-@query("union_candidates", """SELECT url, CAST(min(rank) AS INTEGER) AS rank FROM (SELECT url, 0 AS rank FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT url, 1 FROM pages WHERE page_id % 2 = 0
+@query("union_candidates", """SELECT url, CAST(min(rank) AS INTEGER) AS rank FROM (SELECT url, 0 AS rank FROM pages WHERE contains(url, '#') UNION ALL SELECT url, 1 FROM pages WHERE contains(url, '?')
 UNION ALL SELECT url, 2 FROM pages) GROUP BY 1""")
 def union_candidates(t):
     def ranked(condition, rank):
         return t.pages.where(condition).select("url", F.lit(rank).alias("rank"), F.col("page_id").alias("pos"))
 
-    union = ranked("page_id % 3 = 0", 0).unionByName(ranked("page_id % 2 = 0", 1)).unionByName(ranked("true", 2))
+    union = ranked("url like '%#%'", 0).unionByName(ranked("url like '%?%'", 1)).unionByName(ranked("true", 2))
     return ro.first_seen(union, "url", ["rank", "pos"]).select("url", "rank")
 
 
