@@ -54,6 +54,7 @@ def string_list(c: Column) -> Column:
     return F.when(F.size(items) > 0, items)
 
 
+@tx.bound
 def salary_number(value: Column) -> Column:
     """Positive salary of a map value: a stored number is taken as it is ('9412.188'), any other
     text ('R$ 5.000 a 7.000', '5.000') gives its first positive amount."""
@@ -125,9 +126,9 @@ def salary_sanitize(attributes: Column) -> Column:
 def merge_attributes(old: Column, new: Column) -> Column:
     """Right-biased map union followed by the salary check; no session-wide map policy needed."""
     empty = F.create_map().cast("map<string,string>")
-    old, new = F.coalesce(old, empty), F.coalesce(new, empty)
-    kept = F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k))
-    return tx.let(F.map_concat(kept, new), salary_sanitize)
+    both = tx.let(F.coalesce(new, empty), lambda n: F.map_concat(
+        F.map_filter(F.coalesce(old, empty), lambda k, v: ~F.map_contains_key(n, k)), n))
+    return tx.let(both, salary_sanitize)
 
 
 def legal_basis(fields: Column) -> Column:
@@ -179,5 +180,5 @@ def feature_list(items: Column, flag: str | None = None, keys: tuple[str, ...] =
         items = F.filter(items, lambda e: tx.clean_text(F.try_element_at(e, F.lit(flag))) == "SIM")
     names = F.transform(items, lambda e: F.coalesce(*[tx.clean_text(F.try_element_at(e, F.lit(k))) for k in keys]))
     if lower:
-        names = F.transform(names, F.lower)
+        names = F.transform(names, lambda x: F.lower(x))
     return F.array_distinct(F.filter(names, lambda x: x.isNotNull()))

@@ -100,8 +100,7 @@ def item_missing(item_id: Column, url: Column, chat_missing: Column, status: Col
 
 
 def buyer_type(c: Column) -> Column:
-    text = tx.match_text(c)
-    return F.when(text != "", tx.first_rule(text, fv.BUYER_TYPE_RULES, "outro"))
+    return tx.let(tx.match_text(c), lambda text: F.when(text != "", tx.first_rule(text, fv.BUYER_TYPE_RULES, "outro")))
 
 
 def region_priority(state: Column, municipality: Column, ufs: list[str] = fv.DEFAULT_TARGET_UFS,
@@ -146,7 +145,11 @@ def listing_type(code: Column, page_text: Column) -> Column:
 
 
 def auction_status(c: Column) -> Column:
-    token = tx.empty_to_null(F.lower(tx.strip_spaces(c)))
+    return _auction_status(tx.empty_to_null(F.lower(tx.strip_spaces(c))))
+
+
+@tx.bound
+def _auction_status(token: Column) -> Column:
     return F.coalesce(tx.first_rule(token, [("aberto", ["abert", "andamento"]),
                                             ("encerrado", ["encerr", "finaliz"]), ("suspenso", ["suspens"])]), token)
 
@@ -173,7 +176,11 @@ def riverbank(c: Column) -> Column:
 
 def contract_tag(c: Column) -> Column:
     """Display tag of a contract type."""
-    token = tx.empty_to_null(F.lower(tx.strip_spaces(c)))
+    return _contract_tag(tx.empty_to_null(F.lower(tx.strip_spaces(c))))
+
+
+@tx.bound
+def _contract_tag(token: Column) -> Column:
     return (F.when((token == "pj") | token.contains("pessoa jurid"), "PJ").when(token == "clt", "CLT")
             .otherwise(F.upper(token)))
 

@@ -42,13 +42,16 @@ def _wall_clock(raw: Column) -> Column:
 
 def parse_date_multi(c: Column) -> Column:
     """ISO date text from ISO or one of the known formats, else null."""
-    raw = tx.strip_spaces(c)
-    return F.date_format(F.coalesce(_wall_clock(raw), _by_formats(raw, fv.DATE_FORMATS)), "yyyy-MM-dd")
+    return tx.let(tx.strip_spaces(c), lambda raw: F.date_format(
+        F.coalesce(_wall_clock(raw), _by_formats(raw, fv.DATE_FORMATS)), "yyyy-MM-dd"))
 
 
 def parse_datetime_multi(c: Column) -> Column:
     """ISO date-time text without fractions; an offset in the input is kept as text."""
-    raw = tx.strip_spaces(c)
+    return tx.let(tx.strip_spaces(c), _datetime_text)
+
+
+def _datetime_text(raw: Column) -> Column:
     offset = F.regexp_replace(F.regexp_extract(raw, r"(?<=\d{2}:\d{2}.{0,12})(Z|[+-]\d{2}:?\d{2})$", 1), "Z", "+00:00")
     offset = F.regexp_replace(offset, r"^([+-]\d{2})(\d{2})$", "$1:$2")
     stamp = F.coalesce(_wall_clock(raw), _by_formats(raw, fv.DATETIME_FORMATS))
@@ -57,7 +60,10 @@ def parse_datetime_multi(c: Column) -> Column:
 
 def to_utc(c: Column) -> Column:
     """Timestamp of an ISO text: offsets are applied, a naive time counts as UTC."""
-    raw = tx.strip_spaces(tx.unescape_basic(c))
+    return tx.let(tx.strip_spaces(tx.unescape_basic(c)), _instant)
+
+
+def _instant(raw: Column) -> Column:
     return F.when(raw.rlike(ISO_LOCAL), F.when(
         raw.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$") & raw.contains(":"), raw.try_cast("timestamp")
     ).otherwise(F.concat(raw, F.when(raw.contains(":"), "Z").otherwise("T00:00:00Z")).try_cast("timestamp")))

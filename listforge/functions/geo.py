@@ -8,6 +8,7 @@ from listforge import fixed_values as fv
 from listforge.functions import money as mo, text as tx
 
 
+@tx.bound
 def state_uf(c: Column) -> Column:
     """First two-letter word that is a state code, else the first state name in list order."""
     words = F.transform(F.regexp_extract_all(c, F.lit(r"(?U)\b([A-Za-z]{2})\b"), F.lit(1)), F.upper)
@@ -22,25 +23,28 @@ PLACE = r"(?iU)(?:\bem\s+)?([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'`\-\s]{1,60})\s*[-/,]\s*([
 
 def city_state(c: Column) -> Column:
     """struct<city, state>: first 'City - UF' with a valid UF; else only a state."""
-    text = tx.clean_text(c)
+    return _city_state(tx.clean_text(c))
+
+
+@tx.bound
+def _city_state(text: Column) -> Column:
     hits = F.regexp_extract_all(text, F.lit(PLACE), F.lit(0))
     parsed = F.transform(hits, lambda h: F.struct(
         F.regexp_replace(F.regexp_replace(F.regexp_extract(h, PLACE, 1), r"(?U)\s{2,}", " "),
                          r"^[ \-/,]+|[ \-/,]+$", "").alias("city"),
         F.upper(F.regexp_extract(h, PLACE, 2)).alias("state")))
     first = F.try_element_at(F.filter(parsed, lambda s: s["state"].isin(fv.UFS) & (s["city"] != "")), F.lit(1))
-    return F.struct(tx.title_case(first["city"]).alias("city"),
-                    F.coalesce(first["state"], state_uf(text)).alias("state"))
+    return tx.let(first, lambda f: F.struct(tx.title_case(f["city"]).alias("city"), F.coalesce(f["state"], state_uf(text)).alias("state")))
 
 
 def fill_location(city: Column, state: Column, hint: Column) -> Column:
     """struct<city, state>: the raw hint fills only what is missing."""
     own_city, own_state = tx.clean_text(city), state_uf(tx.clean_text(state))
-    guess = city_state(hint)
-    return F.struct(F.coalesce(own_city, guess["city"]).alias("city"),
-                    F.coalesce(own_state, guess["state"]).alias("state"))
+    return tx.let(city_state(hint), lambda guess: F.struct(
+        F.coalesce(own_city, guess["city"]).alias("city"), F.coalesce(own_state, guess["state"]).alias("state")))
 
 
+@tx.bound
 def maps_coords(c: Column) -> Column:
     """struct<latitude, longitude> from a map link, ranges checked, first pattern that fits."""
     text = F.replace(F.replace(F.replace(c, F.lit(r"&"), F.lit("&")), F.lit("&amp;"), F.lit("&")),
@@ -57,6 +61,7 @@ def maps_coords(c: Column) -> Column:
 DMS = r"(?i)(\d{1,3})\D+(\d{1,2})\D+(\d{1,2}(?:[.,]\d+)?)\D*([NSEWO])"
 
 
+@tx.bound
 def dms_to_decimal(c: Column) -> Column:
     deg, minute, sec = (F.replace(F.regexp_extract(c, DMS, g), F.lit(","), F.lit(".")).try_cast("double")
                         for g in (1, 2, 3))
@@ -81,6 +86,7 @@ def find_phone(c: Column) -> Column:
     return F.trim(tx.extract(c, r"((?:\+?\d{1,3}\s*)?(?:\(?\d{2}\)?\s*)?\d{4,5}[-\s]?\d{4})"))
 
 
+@tx.bound
 def format_phone_br(c: Column) -> Column:
     """(DD) NNNNN-NNNN or (DD) NNNN-NNNN; anything shorter stays as it is."""
     d = mo.digits(c)
@@ -92,6 +98,7 @@ def format_phone_br(c: Column) -> Column:
     return F.when(c.isNull() | (c == ""), "—").when(F.length(d) >= 11, mask(5)).when(F.length(d) == 10, mask(4)).otherwise(c)
 
 
+@tx.bound
 def format_zip(c: Column) -> Column:
     d = mo.digits(c)
     return F.when(c.isNull() | (c == ""), "—").when(

@@ -12,11 +12,12 @@ def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
+@tx.bound
 def parse_price_brl(c: Column) -> Column:
     """'R$ 1.234,56' -> 1234.56.  Words for 'on request' and ranges give null."""
     body = tx.strip_spaces(F.translate(F.translate(F.replace(c, F.lit("R$"), F.lit("")), ".", ""), ",", "."))
-    on_request = F.lower(tx.strip_spaces(c)).isin(fv.PRICE_ON_REQUEST)
-    return F.when(~on_request & body.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), body.try_cast("double"))
+    number = tx.let(body, lambda b: F.when(b.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), b.try_cast("double")))
+    return F.when(~F.lower(tx.strip_spaces(c)).isin(fv.PRICE_ON_REQUEST), number)
 
 
 def parse_amount(token: Column, suffix: Column | None = None) -> Column:
@@ -64,6 +65,7 @@ def salary_period(c: Column) -> Column:
     return tx.first_pattern(F.lower(tx.ascii_fold(c)), fv.SALARY_PERIOD_PATTERNS)
 
 
+@tx.bound
 def salary_text_find(c: Column) -> Column:
     """Salary text of a message: a labelled line, else the first R$ range, else a USD/EUR range."""
     label_line = tx.extract(c, r"(?imU)^[^\S\n]*((?:salário|salario|salary|faixa)[^\n]*)$")
@@ -82,6 +84,7 @@ def salary_backfill_price(price: Column, salary_range: Column) -> Column:
     return F.coalesce(price, F.when(salary_range > 0, salary_range))
 
 
+@tx.bound
 def salary_type_or_none(c: Column) -> Column:
     token = F.lower(tx.strip_spaces(c))
     return F.when(token.isin(fv.CATEGORY_ATTRIBUTES["jobs"]["salary_type"]), token)
@@ -102,17 +105,18 @@ def parse_float_br(c: Column) -> Column:
     """First number of a text with Brazilian separators: the longest token counts, and groups
     of three digits after dots are thousands unless a comma follows."""
     token = tx.extract(c, r"(-?\d{1,3}(?:\.\d{3})+(?:,\d+)?(?![\d])|-?\d+,\d+|-?\d+\.\d+|-?\d+)")
-    normal = (F.when(token.contains(","), F.translate(F.translate(token, ".", ""), ",", "."))
-              .when(token.rlike(r"^-?\d{1,3}(?:\.\d{3})+$"), F.translate(token, ".", ""))
-              .otherwise(token))
-    return normal.try_cast("double")
+    return tx.let(token, lambda t: (
+        F.when(t.contains(","), F.translate(F.translate(t, ".", ""), ",", "."))
+        .when(t.rlike(r"^-?\d{1,3}(?:\.\d{3})+$"), F.translate(t, ".", "")).otherwise(t)).try_cast("double"))
 
 
+@tx.bound
 def parse_year(c: Column) -> Column:
     number = digits(c)
     return F.coalesce(tx.extract(c, r"(?U)\b((?:19|20)\d{2})\b"), F.when(F.length(number) == 4, number)).try_cast("int")
 
 
+@tx.bound
 def parse_bool_pt(c: Column) -> Column:
     token = tx.norm_token(c)
     return F.when(token.isin(fv.TRUE_WORDS), True).when(token.isin(fv.FALSE_WORDS), False)
@@ -128,6 +132,7 @@ def value_band(c: Column) -> Column:
             .when(c <= 1_000_000, "500k_1m").when(c.isNotNull(), "acima_1m"))
 
 
+@tx.bound
 def area_hectares_text(c: Column) -> Column:
     """'N Hectares' first, then 'N ha'."""
     token = F.coalesce(tx.extract(c, r"(?i)([\d.,]+)\s*hectares?\b"), tx.extract(c, r"(?i)([\d.,]+)\s*ha\b"))
@@ -139,6 +144,7 @@ def area_hectares(value: Column, unit: Column) -> Column:
     return F.when(F.coalesce(square_metre, F.lit(False)), value / 10000.0).otherwise(value)
 
 
+@tx.bound
 def experience_years(c: Column) -> Column:
     """Years asked for; a range takes its lower bound."""
     between = tx.extract(c, r"(?iU)entre\s+(\d{1,3})\s+e\s+\d+\s+anos")
@@ -157,6 +163,7 @@ def metric(c: Column, pattern: str) -> Column:
     return F.translate(F.translate(token, ".", ""), ",", ".").try_cast("double")
 
 
+@tx.bound
 def property_metrics(c: Column) -> Column:
     return F.struct(
         metric(c, r"(?iU)(\d+(?:[\.,]\d+)?)\s*m²\s*tot").alias("total_area_m2"),
@@ -182,6 +189,7 @@ def page_amounts(c: Column) -> Column:
     return F.filter(F.transform(hits, parse_price_brl), lambda x: x.isNotNull())
 
 
+@tx.bound
 def choose_price(amounts: Column, floor: float = 10_000.0) -> Column:
     """Smaller of the first two when both reach the floor, else the first that does, else the least."""
     first, second = F.try_element_at(amounts, F.lit(1)), F.try_element_at(amounts, F.lit(2))

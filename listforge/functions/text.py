@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterable
+from functools import wraps
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -33,16 +34,31 @@ def _fold_table() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _fold_table()
 
 
-def empty_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
 
 
 def let(value: Column, body) -> Column:
-    """Bind a value once and use it many times, also inside a lambda, where Catalyst would
-    otherwise repeat the whole expression at every use."""
+    """Bind a value once and use it many times.
+
+    Inside a lambda Catalyst repeats an expression at every use, and a filter that is pushed below
+    a projection puts the whole expression in place of its column, so an array that is looked into
+    from a lambda would be rebuilt for every element.  Every function that does so binds it here."""
     return F.transform(F.array(value), body)[0]
 
 
+def bound(fn):
+    """Decorator for a function of a column that looks at its input more than once."""
+    @wraps(fn)
+    def run(c: Column, *args, **kwargs) -> Column:
+        return let(c, lambda value: fn(value, *args, **kwargs))
+
+    return run
+
+
+@bound
+def empty_to_null(c: Column) -> Column:
+    return F.when(c != "", c)
+
+
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
     """First match of ``pattern`` or null (regexp_extract alone gives '')."""
     return empty_to_null(F.regexp_extract(c, pattern, group))
@@ -81,6 +97,7 @@ def clean_title(c: Column, capitalize: bool = False) -> Column:
     return upper_first(title) if capitalize else title
 
 
+@bound
 def upper_first(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1_000_000_000))
 
@@ -94,11 +111,13 @@ NAMED_ENTITIES = {
 }
 
 
+@bound
 def unescape_basic(c: Column) -> Column:
     """The common entities; '&amp;' last so that nothing is decoded twice."""
+    text = c
     for name, value in NAMED_ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(value))
-    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+        text = F.replace(text, F.lit(name), F.lit(value))
+    return F.when(c.contains("&"), F.replace(text, F.lit("&amp;"), F.lit("&"))).otherwise(c)
 
 
 @F.pandas_udf(T.StringType())
@@ -156,7 +175,7 @@ def norm_token(c: Column) -> Column:
 def match_text(c: Column) -> Column:
     """Folded words with one blank on both sides, '' when there are no words."""
     body = F.trim(F.regexp_replace(F.lower(ascii_fold(F.coalesce(c, F.lit("")))), r"[^a-z0-9]+", " "))
-    return F.when(body == "", F.lit("")).otherwise(F.concat(F.lit(" "), body, F.lit(" ")))
+    return let(body, lambda b: F.when(b == "", F.lit("")).otherwise(F.concat(F.lit(" "), b, F.lit(" "))))
 
 
 def strip_emoji(c: Column) -> Column:
@@ -183,11 +202,12 @@ def lines_of(c: Column) -> Column:
 
 def distinct_by_token(items: Column) -> Column:
     """Keep the first element for every norm_token, drop empty elements; order kept."""
-    keyed = F.transform(items, lambda x: F.struct(norm_token(x).alias("k"), x.alias("v")))
-    keys = F.transform(keyed, lambda s: s["k"])
-    kept = F.filter(keyed, lambda s, i: (F.coalesce(s["v"], F.lit("")) != "")
-                    & (F.array_position(keys, s["k"]) == i + 1))
-    return F.transform(kept, lambda s: s["v"])
+    def keep(pair: Column) -> Column:
+        first = F.filter(pair["v"], lambda v, i: (F.coalesce(v, F.lit("")) != "") & (
+            F.array_position(pair["k"], F.get(pair["k"], i)) == i + 1))
+        return first
+
+    return let(items, lambda xs: let(F.struct(F.transform(xs, norm_token).alias("k"), xs.alias("v")), keep))
 
 
 def sanitize_page_line(c: Column) -> Column:
@@ -233,7 +253,12 @@ def slug_title(url: Column, from_end: int = 1) -> Column:
 
 def title_split(c: Column) -> Column:
     """struct<company, title> cut at the first ':'; null when there is none."""
-    text = clean_text(c)
+    return _split_at_colon(clean_text(c))
+
+
+@bound
+def _split_at_colon(c: Column) -> Column:
+    text = c
     at = F.instr(text, ":")
     return F.when(at > 0, F.struct(
         F.trim(F.substring(text, F.lit(1), at - 1)).alias("company"),
@@ -253,9 +278,8 @@ def title_suffix_strip(c: Column, suffixes: Iterable[str] = TITLE_SUFFIXES) -> C
 
 
 def sentence(label: str, value: Column) -> Column:
-    text = empty_to_null(strip_spaces(value))
-    return F.when(text.rlike(r"[.!?]$"), F.concat(F.lit(label + ": "), text)).otherwise(
-        F.concat(F.lit(label + ": "), text, F.lit(".")))
+    return let(empty_to_null(strip_spaces(value)), lambda text: F.concat(
+        F.lit(label + ": "), text, F.when(text.rlike(r"[.!?]$"), "").otherwise(".")))
 
 
 def sentence_join(*parts: tuple[str, Column]) -> Column:
@@ -341,6 +365,7 @@ def street_text(street: Column, number: Column, district: Column) -> Column:
     ).otherwise(F.array_join(values, " - ")))
 
 
+@bound
 def brand_word(token: Column) -> Column:
     """One word in brand spelling: known acronyms and all-capitals stay upper case."""
     return let(F.regexp_replace(token, "[^A-Za-z0-9]", ""), lambda bare: _brand_word(token, bare))
@@ -374,6 +399,7 @@ def upper_ratio(c: Column) -> Column:
     return F.when(letters > 0, F.regexp_count(c, F.lit(r"\p{Lu}")) / letters).otherwise(F.lit(0.0))
 
 
+@bound
 def ends_sentence(c: Column) -> Column:
     return F.when(c.rlike(r"[.!?:]$"), c).otherwise(F.concat(c, F.lit(".")))
 

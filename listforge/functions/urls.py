@@ -55,6 +55,7 @@ def parse_message_url(c: Column) -> Column:
 CONTROL = r"(\d{14})-(\d)-(\d+)/(\d{4})"
 
 
+@tx.bound
 def control_number_url(c: Column) -> Column:
     """Public page of a control number 'CNPJ-x-seq/year'; other text is returned unchanged."""
     return F.when(c.rlike(CONTROL), F.concat(
@@ -63,6 +64,7 @@ def control_number_url(c: Column) -> Column:
     )).otherwise(c)
 
 
+@tx.bound
 def control_number(c: Column) -> Column:
     """Control number held in a text, sequence padded to six digits."""
     seq = F.regexp_extract(c, CONTROL, 3).try_cast("long").cast("string")
@@ -79,14 +81,15 @@ def proposal_link(electronic: Column, origin: Column, public: Column) -> Column:
 
 
 def with_scheme(c: Column) -> Column:
-    text = tx.clean_text(c)
-    return F.when(text.rlike("^https?://"), text).otherwise(F.concat(F.lit("https://"), F.regexp_replace(text, "^/+", "")))
+    return tx.let(tx.clean_text(c), lambda text: F.when(text.rlike("^https?://"), text).otherwise(
+        F.concat(F.lit("https://"), F.regexp_replace(text, "^/+", ""))))
 
 
 def primary_url(public_url: Column, url: Column) -> Column:
     return F.coalesce(tx.empty_to_null(tx.strip_spaces(public_url)), tx.empty_to_null(tx.strip_spaces(url)))
 
 
+@tx.bound
 def absolute_url(href: Column, page_url: Column) -> Column:
     """href made absolute against the page's scheme and host."""
     root = F.regexp_extract(page_url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]+)", 1)

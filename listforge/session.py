@@ -7,10 +7,16 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Times are UTC everywhere; all other settings stay the caller's."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Times are UTC everywhere.  Wide projections of text rules generate very long methods, which
+    the JVM never compiles (its limit is 8000 bytes of byte code); above that limit Spark runs them
+    as many small methods instead.  All other settings stay the caller's."""
+    for name, value in SETTINGS.items():
+        if spark.conf.get(name) != value:
+            spark.conf.set(name, value)
     return spark
 
 

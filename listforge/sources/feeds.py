@@ -48,7 +48,8 @@ def parse_paged_api(raw: DataFrame, entry_schema: str, field: str = "data", body
     """Pages of a raw table; entries that are not objects are dropped."""
     entries = F.try_variant_get(F.try_parse_json(body), f"$.{field}", "array<variant>")
     objects = raw.select(F.explode(entries).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    return objects.select(F.from_json(F.to_json("v"), entry_schema).alias("e")).select("e.*")
+    # inline is a generator: the entry is parsed once, not once per field that is read from it
+    return objects.select(F.inline(F.array(F.from_json(F.to_json("v"), entry_schema))))
 
 
 def _typed(schema: str) -> str:

@@ -118,8 +118,8 @@ def hidden_json(html: Column, field: str, element_schema: str) -> Column:
 # --- line based ---------------------------------------------------------------------------
 def label_values(lines: Column, labels: list[str]) -> Column:
     """map<label, value>: the value is the next line unless that is a label too; the last one wins."""
-    pairs = F.transform(lines, lambda x, i: F.struct(
-        x.alias("key"), F.try_element_at(lines, i + 2).alias("value")))
+    pairs = tx.let(lines, lambda ls: F.transform(ls, lambda x, i: F.struct(
+        x.alias("key"), F.try_element_at(ls, i + 2).alias("value"))))
     kept = F.filter(pairs, lambda p: p["key"].isin(labels) & p["value"].isNotNull() & ~p["value"].isin(labels))
     return F.map_from_entries(at.last_entries(kept))
 
