@@ -11,6 +11,5 @@ FAMILIES = ("listing_queries", "rollup_queries", "text_queries", "money_queries"
 def load_all():
     """Import every family once and return the registry."""
     for family in FAMILIES:
-        if not (__import__("pathlib").Path(__file__).parent / f"{family}.py").exists(): continue
         import_module(f"listforge.plans.{family}")
     return import_module("listforge.plans.registry")

@@ -38,7 +38,11 @@ def current_version(spark: SparkSession, root: str) -> str | None:
     fs, path = _pointer(spark, root)
     if not fs.exists(path):
         return None
-    return spark.read.text(path.toString()).first()[0]
+    stream = fs.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
 
 
 def read_table(spark: SparkSession, root: str, schema: str) -> DataFrame:
