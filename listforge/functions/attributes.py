@@ -25,8 +25,8 @@ def typed_schema(category: str) -> T.StructType:
 def attribute_key(c: Column) -> Column:
     """Canonical attribute key, or null for a forbidden or empty one."""
     key = F.lower(tx.strip_spaces(c))
-    table = F.create_map(*[F.lit(x) for pair in fv.ATTRIBUTE_ALIASES.items() for x in pair])
-    return F.when((key != "") & ~key.isin(fv.FORBIDDEN_ATTRIBUTES), F.coalesce(F.try_element_at(table, key), key))
+    return tx.let(key, lambda k: F.when((k != "") & ~tx.one_of(k, fv.FORBIDDEN_ATTRIBUTES), F.coalesce(
+        F.try_element_at(tx.lookup_table(fv.ATTRIBUTE_ALIASES), k), k)))
 
 
 def last_entries(entries: Column) -> Column:
@@ -44,7 +44,7 @@ def whitelist(attributes: Column, category: str) -> Column:
     allowed = list(fv.CATEGORY_ATTRIBUTES[category])
     renamed = F.transform(F.map_entries(attributes), lambda e: F.struct(
         attribute_key(e["key"]).alias("key"), e["value"].alias("value")))
-    kept = F.filter(renamed, lambda e: e["key"].isin(allowed) & e["value"].isNotNull())
+    kept = F.filter(renamed, lambda e: tx.one_of(e["key"], allowed) & e["value"].isNotNull())
     return F.map_from_entries(last_entries(kept))
 
 

@@ -57,8 +57,7 @@ def enum_value(key: str, c: Column, allowed: list[str]) -> Column:
     for alias, target in aliases.items():
         if _token(target) in targets:
             lookup[alias] = targets[_token(target)]
-    table = F.create_map(*[F.lit(x) for pair in lookup.items() for x in pair])
-    return F.try_element_at(table, tx.norm_token(tx.clean_text(c)))
+    return F.try_element_at(tx.lookup_table(lookup), tx.norm_token(tx.clean_text(c)))
 
 
 def _token(value: str) -> str:
@@ -82,8 +81,7 @@ def run_message(status: Column, error: Column, http: Column, scraped: Column, pu
 
 def strategy_alias(c: Column) -> Column:
     token = F.lower(tx.strip_spaces(F.coalesce(c, F.lit(""))))
-    table = F.create_map(*[F.lit(x) for pair in fv.STRATEGY_ALIASES.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, token), F.lit("http_basic"))
+    return F.coalesce(F.try_element_at(tx.lookup_table(fv.STRATEGY_ALIASES), token), F.lit("http_basic"))
 
 
 def item_missing(item_id: Column, url: Column, chat_missing: Column, status: Column, blocked: Column,

@@ -11,11 +11,13 @@ from listforge.functions import money as mo, text as tx
 @tx.bound
 def state_uf(c: Column) -> Column:
     """First two-letter word that is a state code, else the first state name in list order."""
-    words = F.transform(F.regexp_extract_all(c, F.lit(r"(?U)\b([A-Za-z]{2})\b"), F.lit(1)), F.upper)
-    code = F.try_element_at(F.filter(words, lambda w: w.isin(fv.UFS)), F.lit(1))
-    token = tx.norm_token(c)
-    name = tx.first_pattern(token, [(uf, rf"\b{name}\b") for name, uf in fv.STATE_NAMES.items()])
-    return F.coalesce(code, name)
+    words = F.transform(F.regexp_extract_all(c, F.lit(r"(?U)\b([A-Za-z]{2})\b"), F.lit(1)), lambda w: F.upper(w))
+    code = F.try_element_at(F.filter(words, lambda w: tx.one_of(w, fv.UFS)), F.lit(1))
+    # a token holds only letters, digits and blanks, so a whole name is one between two blanks
+    padded = F.concat(F.lit(" "), F.regexp_replace(tx.norm_token(c), r"\s", " "), F.lit(" "))
+    names = {f" {name} ": uf for name, uf in fv.STATE_NAMES.items()}
+    found = tx.let(padded, lambda p: F.try_element_at(F.filter(tx.word_table(names), lambda n: F.contains(p, n)), F.lit(1)))
+    return F.coalesce(code, F.try_element_at(tx.lookup_table(names), found))
 
 
 PLACE = r"(?iU)(?:\bem\s+)?([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'`\-\s]{1,60})\s*[-/,]\s*([A-Za-z]{2})\b"
@@ -33,7 +35,7 @@ def _city_state(text: Column) -> Column:
         F.regexp_replace(F.regexp_replace(F.regexp_extract(h, PLACE, 1), r"(?U)\s{2,}", " "),
                          r"^[ \-/,]+|[ \-/,]+$", "").alias("city"),
         F.upper(F.regexp_extract(h, PLACE, 2)).alias("state")))
-    first = F.try_element_at(F.filter(parsed, lambda s: s["state"].isin(fv.UFS) & (s["city"] != "")), F.lit(1))
+    first = F.try_element_at(F.filter(parsed, lambda s: tx.one_of(s["state"], fv.UFS) & (s["city"] != "")), F.lit(1))
     return tx.let(first, lambda f: F.struct(tx.title_case(f["city"]).alias("city"), F.coalesce(f["state"], state_uf(text)).alias("state")))
 
 

@@ -80,7 +80,7 @@ def link_title(links: Column) -> Column:
     """Words of the last path segment of a job-portal link."""
     def words(link: Column) -> Column:
         slug = F.lower(tx.extract(F.regexp_replace(link, r"[?#].*$|/+$", ""), r"^https?://[^/]*vagasdeempregoce\.com/(?:.*/)?([^/]+)$"))
-        tokens = F.filter(F.split(slug, "-"), lambda t: (t != "") & ~t.isin(fv.CHAT_TITLE_URL_STOPWORDS))
+        tokens = F.filter(F.split(slug, "-"), lambda t: (t != "") & ~tx.one_of(t, fv.CHAT_TITLE_URL_STOPWORDS))
         return tx.empty_to_null(F.array_join(tokens, " "))
 
     return first_answer(links, words)
@@ -124,9 +124,9 @@ def plausible_city(c: Column) -> Column:
     """At most 45 characters and six words, none of them a noise word, not itself a state."""
     def judge(t: Column) -> Column:
         words = F.regexp_extract_all(t, F.lit("([a-zà-ÿ']+)"), F.lit(1))
-        return ((t != "") & ~t.isin(fv.CHAT_BAD_LOCATIONS) & (F.length(t) <= 45) & F.size(words).between(1, 6)
-                & ~F.exists(words, lambda w: w.isin(fv.CHAT_LOCATION_NOISE))
-                & ~t.isin(list(fv.STATE_NAMES)) & ~F.upper(t).isin(fv.UFS))
+        return ((t != "") & ~tx.one_of(t, fv.CHAT_BAD_LOCATIONS) & (F.length(t) <= 45) & F.size(words).between(1, 6)
+                & ~F.exists(words, lambda w: tx.one_of(w, fv.CHAT_LOCATION_NOISE))
+                & ~tx.one_of(t, list(fv.STATE_NAMES)) & ~tx.one_of(F.upper(t), fv.UFS))
 
     return tx.let(F.lower(place_text(c)), judge)
 
@@ -137,7 +137,7 @@ def message_location(c: Column) -> Column:
         def by(pattern: str) -> Column:
             found = F.struct(tx.title_case(place_text(F.regexp_extract(line, pattern, 1))).alias("city"),
                              F.upper(F.regexp_extract(line, pattern, 2)).alias("state"))
-            return tx.let(found, lambda s: F.when(s["state"].isin(fv.UFS) & plausible_city(s["city"]), s))
+            return tx.let(found, lambda s: F.when(tx.one_of(s["state"], fv.UFS) & plausible_city(s["city"]), s))
 
         return F.coalesce(*[by(p) for p in fv.CHAT_LOCATION_PATTERNS])
 
@@ -162,7 +162,7 @@ def clean_company(c: Column) -> Column:
     def accept(t: Column) -> Column:
         bare = tx.replace_all(t, (r"(?i)^www\.", ""), (r"(?i)\.(?:com|com\.br|io|ai|dev|tech|pt|net|org)$", ""))
         return tx.let(bare, lambda b: F.when(
-            ~F.lower(t).isin(fv.CHAT_NON_COMPANY) & ~F.lower(b).contains("http") & ~b.contains("@")
+            ~tx.one_of(F.lower(t), fv.CHAT_NON_COMPANY) & ~F.lower(b).contains("http") & ~b.contains("@")
             & (F.size(F.split(F.trim(b), r"\s+")) <= 6) & (F.length(F.trim(b)) >= 3), tx.brand_case(b)))
 
     line = F.regexp_replace(tx.clean_line(c), r"(?iU)^(?:empresa|cliente|company|contratante)\s*:?\s*", "")

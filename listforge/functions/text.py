@@ -15,6 +15,10 @@ from pyspark.sql import Column, functions as F, types as T
 from listforge import fixed_values as fv
 
 EXOTIC_SPACES = r"[\x{00a0}\x{1680}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# White space as str.split() sees it, as characters and as an explicit class: the class is one table
+# lookup per character, while (?U)\\s asks for the Unicode property every time.
+SPACES = " \t\n\u000b\f\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACE_RUN = (r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+")
 BLOCK_TAGS = (r"(?i)</?(?:p|div|li|ul|ol|strong|b|em|span|h[1-6]|section|article|header|footer"
               r"|table|tr|td)\b[^>]*>")
 
@@ -71,7 +75,7 @@ def replace_all(c: Column, *rules: tuple[str, str]) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, SPACE_RUN, " "))
 
 
 def clean_text(c: Column) -> Column:
@@ -80,7 +84,7 @@ def clean_text(c: Column) -> Column:
 
 def strip_spaces(c: Column) -> Column:
     """Trim any Unicode white space, as str.strip() does."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def normalize_arg(c: Column) -> Column:
@@ -142,7 +146,7 @@ def _clean_description(c: Column, drop_marks: bool) -> Column:
     return empty_to_null(strip_spaces(replace_all(
         F.translate(text, "\t", " "),
         (r"\r\n?", "\n"), (r"(?iU)<\s*br\s*/?\s*>", "\n"), (BLOCK_TAGS, " "), (r"<[^>]+>", " "),
-        (r"(?U)\s+", " "),
+        (SPACE_RUN, " "),
     )))
 
 
@@ -307,6 +311,20 @@ def format_description(c: Column) -> Column:
     return F.coalesce(empty_to_null(joined), F.lit("—"))
 
 
+def word_table(words: Iterable[str]) -> Column:
+    """Constant array of words (folded into a literal when the plan is optimized)."""
+    return F.split(F.lit("\u0001".join(words)), "\u0001")
+
+
+def lookup_table(pairs: dict[str, str]) -> Column:
+    """Constant map of texts."""
+    return F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in pairs.items())), F.lit("\u0001"), F.lit("\u0002"))
+
+
+def one_of(text: Column, words: Iterable[str]) -> Column:
+    return F.array_contains(word_table(words), text)
+
+
 def contains_any(text: Column, words: Iterable[str]) -> Column:
     """True when any word is a substring: literal search, no regex engine.
 
@@ -314,7 +332,7 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
     an OR of dozens of arms would repeat lower(text) in every arm and outgrow generated code."""
     words = list(words)
     if len(words) > 4:
-        table = F.array(*[F.lit(w) for w in words])
+        table = word_table(words)
         return let(text, lambda t: F.exists(table, lambda w: F.contains(t, w)))
     result = text.contains(words[0])
     for word in words[1:]:
@@ -323,7 +341,7 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
 
 
 def starts_with_any(text: Column, words: Iterable[str]) -> Column:
-    table = F.array(*[F.lit(w) for w in words])
+    table = word_table(words)
     return let(text, lambda t: F.exists(table, lambda w: F.startswith(t, w)))
 
 
@@ -382,7 +400,7 @@ def _brand_word(token: Column, bare: Column) -> Column:
 
     lower = (token == F.lower(token)) & token.rlike(r"\p{L}")
     return (F.when(bare == "", token)
-            .when(F.upper(bare).isin(fv.CHAT_UPPER_TOKENS), F.upper(token))
+            .when(one_of(F.upper(bare), fv.CHAT_UPPER_TOKENS), F.upper(token))
             .when(all_caps, F.upper(token))
             .when(token.contains("-"), F.array_join(F.transform(F.split(token, "-"), part), "-"))
             .when(lower, upper_first(token))

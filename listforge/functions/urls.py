@@ -9,17 +9,17 @@ from listforge.functions import text as tx
 
 def norm_url(c: Column) -> Column:
     """Page form: no fragment, no slash at the end."""
-    return F.regexp_replace(F.regexp_replace(tx.strip_spaces(F.coalesce(c, F.lit(""))), "(?s)#.*$", ""), "/+$", "")
+    return F.rtrim(norm_queue_url(c), F.lit("/"))
 
 
 def norm_link(c: Column) -> Column:
     """Link form: no query, no fragment, no slash at the end."""
-    return F.regexp_replace(F.regexp_replace(tx.strip_spaces(F.coalesce(c, F.lit(""))), "(?s)[?#].*$", ""), "/+$", "")
+    return F.rtrim(F.substring_index(norm_queue_url(c), "?", 1), F.lit("/"))
 
 
 def norm_queue_url(c: Column) -> Column:
     """Queue form: only the fragment is cut."""
-    return F.regexp_replace(tx.strip_spaces(F.coalesce(c, F.lit(""))), "(?s)#.*$", "")
+    return F.substring_index(tx.strip_spaces(F.coalesce(c, F.lit(""))), "#", 1)
 
 
 def is_chat_link(c: Column) -> Column:

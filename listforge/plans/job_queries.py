@@ -12,11 +12,10 @@ A = ("amounts_v",)
 P = ("places_v",)
 
 
-# --- feeds: bodies of fifty entries built from orders ------------------------------------------
-def _bodies(df, entry, opening, closing, separator=","):
-    """One body per fifty orders (a fetch is a bounded page, whatever the table size)."""
-    pages = df.groupBy(F.expr("o_orderkey div 50").alias("page")).agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    return pages.select("page", F.concat(F.lit(opening), F.array_join("e", separator), F.lit(closing)).alias("body"))
+# --- feeds: bodies built from orders ------------------------------------------------------------
+def _bodies(df, entry, opening, closing):
+    """One fetched body per order."""
+    return df.select(F.col("o_orderkey").alias("page"), F.concat(F.lit(opening), entry, F.lit(closing)).alias("body"))
 
 
 JSON_ENTRY = """to_json(struct(concat('', o_orderkey) as id, concat('https://f.example/', o_orderkey) as url, concat(' Co ', o_custkey) as company,
@@ -39,7 +38,7 @@ RSS_ENTRY = """concat('<item><title>Co ', o_custkey, ': ', CASE WHEN o_custkey %
 
 
 def rss_bodies(t):
-    return _bodies(t.orders, F.expr(RSS_ENTRY), "<rss><channel>", "</channel></rss>", "")
+    return _bodies(t.orders, F.expr(RSS_ENTRY), "<rss><channel>", "</channel></rss>")
 
 
 @query("read_rss_feed", "SELECT 'https://r.example/' || o_orderkey AS link, CASE WHEN o_custkey % 3 = 0 THEN 'Design' ELSE 'Back-End Programming' END AS category FROM orders")
