@@ -368,6 +368,9 @@ CHAT_COMPANY_STOPWORDS = ["vaga", "vagas", "oferta", "oferece", "diversas", "hom
                           "area", "área", "tecnologia", "emprego", "empregos", "trabalho",
                           "urgente", "projetos", "projeto", "ti", "na", "no", "de", "do", "da",
                           "e", "em", "para", "com", "2024", "2025", "2026"]
+CHAT_ROLE_WORDS = ["desenvolvedor", "desenvolvedora", "analista", "consultor", "consultora", "engenheiro",
+                   "engenheira", "backend", "frontend", "fullstack", "full", "stack", "java", "python",
+                   "react", "node", "mobile", "engineer", "cqa"]
 CHAT_TITLE_URL_STOPWORDS = CHAT_COMPANY_STOPWORDS + ["grupo", "jobs", "job", "oportunidades", "oficial"]
 CHAT_UPPER_TOKENS = ["SAP", "PMO", "QA", "UOL", "CLT", "PJ", "TI", "AI", "ABAP", "CQA"]
 CHAT_GENERIC_TITLE_PREFIXES = ["olá", "ola", "bom dia", "boa tarde", "boa noite", "urgente",

@@ -176,14 +176,23 @@ def _company_of_line(line: Column) -> Column:
 
 
 def _company_of_url(link: Column) -> Column:
-    path = tx.extract(link, r"^https?://[^/?#]+/([^?#]*)")
-    first = F.split(path, "/")[0]
-    slug = F.lower(F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1))
+    path = F.regexp_replace(tx.extract(link, r"^https?://[^/?#]+/([^?#]*)"), "/+$", "")
     host = F.lower(tx.extract(link, r"^https?://([^/?#]+)"))
+    slug = F.lower(F.element_at(F.split(path, "/"), -1))
     group = F.regexp_replace(F.regexp_replace(slug, "-oferta.*$", ""), "^grupo-", "")
-    return (F.when(host.contains("jobs.quickin.io"), clean_company(F.translate(first, "-_", "  ")))
+
+    def after_role(words: Column) -> Column:
+        """Words of a slug after its last role word."""
+        roles = F.reverse(F.transform(words, lambda w: tx.one_of(w, fv.CHAT_ROLE_WORDS)))
+        last = F.array_position(roles, True).cast("int")
+        return F.when(last > 0, F.slice(words, F.size(words) - last + 2, last)).otherwise(words)
+
+    words = F.filter(F.split(slug, "-"), lambda w: (w != "") & ~tx.one_of(w, fv.CHAT_COMPANY_STOPWORDS))
+    plain = F.array_join(tx.let(words, after_role), " ")
+    return (F.when(host.contains("jobs.quickin.io"), clean_company(F.translate(F.split(path, "/")[0], "-_", "  ")))
             .when(host.contains("work.vetto.ai"), "Vetto")
-            .when(host.contains("vagasdeempregoce.com") & slug.startswith("grupo-"), clean_company(F.translate(group, "-", " "))))
+            .when(host.contains("vagasdeempregoce.com"), clean_company(
+                F.when(slug.startswith("grupo-"), F.translate(group, "-", " ")).otherwise(plain))))
 
 
 def message_company(c: Column, links: Column, title: Column) -> Column:

@@ -21,9 +21,8 @@ def payload(df: DataFrame, keep: tuple[str, ...] = (), **values: Column) -> Data
 
 
 def attribute_map(**values: Column) -> Column:
-    """map<string,string> of the attributes that have a value."""
-    entries = [F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()]
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+    """map<string,string> of raw attributes; entries without a value are dropped by the whitelist."""
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))])
 
 
 def normalize_listings(raw: DataFrame, category: str) -> DataFrame:

@@ -23,13 +23,13 @@ def _amount(name, fn, text, sql):
 
 _amount("parse_price_brl", mo.parse_price_brl,
         "CASE n % 4 WHEN 0 THEN concat('R$ ', r_text, ',', c_text) WHEN 1 THEN ' Sob Consulta ' WHEN 2 THEN concat('R$ ', r_text, ' - R$ ', r_text) ELSE r_text END",
-        "CASE n % 4 WHEN 0 THEN r + c / 100.0 WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE CAST(r AS DOUBLE) END")
+        "CASE n % 4 WHEN 0 THEN (r * 100 + c) / 100.0 WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE CAST(r AS DOUBLE) END")
 _amount("parse_amount", mo.parse_amount,
         "CASE n % 5 WHEN 0 THEN concat(r_text, ',', c_text) WHEN 1 THEN concat(replace(r_text, '.', ','), '.', c_text) WHEN 2 THEN r_text WHEN 3 THEN concat(r, '.', c_text) ELSE replace(r_text, '.', ',') END",
-        "CASE WHEN n % 5 IN (0, 1, 3) THEN r + c / 100.0 WHEN n % 5 IN (2, 4) THEN CAST(r AS DOUBLE) END")
+        "CASE WHEN n % 5 IN (0, 1, 3) THEN (r * 100 + c) / 100.0 WHEN n % 5 IN (2, 4) THEN CAST(r AS DOUBLE) END")
 _amount("salary_floor", mo.salary_floor,
         "CASE n % 4 WHEN 0 THEN concat('de R$ ', r_text, ',', c_text, ' a R$ 99.999,00') WHEN 1 THEN concat('US$', cast(qty as int), 'k/yr') WHEN 2 THEN 'a combinar' ELSE concat('0 ou BRL ', r_text) END",
-        "CASE n % 4 WHEN 0 THEN r + c / 100.0 WHEN 1 THEN floor(qty) * 1000.0 WHEN 2 THEN NULL ELSE CAST(r AS DOUBLE) END")
+        "CASE n % 4 WHEN 0 THEN (r * 100 + c) / 100.0 WHEN 1 THEN floor(qty) * 1000.0 WHEN 2 THEN NULL ELSE CAST(r AS DOUBLE) END")
 _amount("salary_amounts", lambda c: F.array_join(F.transform(mo.salary_amounts(c), lambda x: F.round(x * 100).cast("long").cast("string")), "|"),
         "concat('R$ ', r_text, ',', c_text, ' a ', cast(qty as int), 'K, id3x9 e EUR ', r, '.')",
         "(r * 100 + c) || '|' || CAST(floor(qty) * 100000 AS BIGINT) || '|' || (r * 100)")
@@ -43,7 +43,7 @@ _amount("salary_text_dollar", mo.salary_text_dollar, "concat('pay $', r, 'k –
 _amount("parse_int_digits", mo.parse_int_digits, "CASE n % 3 WHEN 0 THEN 'sem' ELSE concat(r_text, ' km') END", "CASE WHEN n % 3 > 0 THEN r END")
 _amount("parse_float_br", mo.parse_float_br,
         "CASE n % 5 WHEN 0 THEN concat(r_text, ',', c_text, ' m²') WHEN 1 THEN cast(r as string) WHEN 2 THEN concat('x ', r, ',', c_text) WHEN 3 THEN concat(r, '.5') ELSE 'n/d' END",
-        "CASE n % 5 WHEN 0 THEN r + c / 100.0 WHEN 1 THEN CAST(r AS DOUBLE) WHEN 2 THEN r + c / 100.0 WHEN 3 THEN r + 0.5 END")
+        "CASE n % 5 WHEN 0 THEN (r * 100 + c) / 100.0 WHEN 1 THEN CAST(r AS DOUBLE) WHEN 2 THEN (r * 100 + c) / 100.0 WHEN 3 THEN r + 0.5 END")
 _amount("parse_year", mo.parse_year,
         "CASE n % 4 WHEN 0 THEN concat('ano ', 1950 + cast(qty as int)) WHEN 1 THEN concat('x', 1950 + cast(qty as int)) WHEN 2 THEN '12345' ELSE concat('1', cast(qty as int) + 10, '/9') END",
         "CASE n % 4 WHEN 0 THEN 1950 + CAST(qty AS INTEGER) WHEN 1 THEN 1950 + CAST(qty AS INTEGER) WHEN 2 THEN NULL ELSE CAST('1' || (CAST(qty AS INTEGER) + 10) || '9' AS INTEGER) END")
@@ -54,11 +54,11 @@ _amount("value_band", lambda c: mo.value_band(c.cast("double")), "(r - 900) * 12
 _amount("experience_years", mo.experience_years,
         "CASE n % 5 WHEN 0 THEN concat(cast(qty as int), '+ anos de uso') WHEN 1 THEN concat('Entre ', cast(qty as int), ' e 99 anos') WHEN 2 THEN concat(cast(qty as int), ' – 99 yrs') WHEN 3 THEN concat(cast(qty as int), ' years') ELSE 'sem' END",
         "CASE WHEN n % 5 < 4 THEN CAST(qty AS INTEGER) END")
-_amount("labelled_amount", lambda c: mo.labelled_amount(c, "condomínio"), "concat('IPTU R$ 1,00 Condomínio: R$ ', r_text, ',', c_text, ' fim')", "r + c / 100.0")
+_amount("labelled_amount", lambda c: mo.labelled_amount(c, "condomínio"), "concat('IPTU R$ 1,00 Condomínio: R$ ', r_text, ',', c_text, ' fim')", "(r * 100 + c) / 100.0")
 _amount("format_price_br", lambda c: mo.format_price_br(c.cast("double")), "r + c / 100.0D", "r_text || ',' || c_text")
 _amount("area_hectares", lambda c: mo.area_hectares(mo.area_hectares_text(c), F.expr("CASE WHEN n % 2 = 0 THEN 'M²' ELSE 'ha' END")),
         "concat('Fazenda de ', r_text, ',', c_text, CASE WHEN n % 3 = 0 THEN ' Hectares' ELSE ' ha' END, ' no sul')",
-        "CASE WHEN n % 2 = 0 THEN (r + c / 100.0) / 10000 ELSE r + c / 100.0 END")
+        "CASE WHEN n % 2 = 0 THEN ((r * 100 + c) / 100.0) / 10000 ELSE (r * 100 + c) / 100.0 END")
 
 
 @query("discount_pct", """SELECT id, CASE WHEN CAST(r AS DOUBLE) > 0 AND r * (1 - disc) >= 0 THEN round((r - r * (1 - disc)) / r * 100.0, 2) END AS v,
@@ -98,7 +98,7 @@ def property_metrics(t):
 
 
 AMOUNTS_TEXT = "concat('de R$ ', r_text, ',', c_text, ' por R$ ', cast(qty as int), '.000 e R$ 9,50 ou R$', r_text)"
-FIRST, SECOND = "(r + c / 100.0)", "floor(qty) * 1000.0"
+FIRST, SECOND = "((r * 100 + c) / 100.0)", "floor(qty) * 1000.0"
 
 
 @query("choose_price", f"""SELECT id, CASE WHEN {FIRST} >= 10000 AND {SECOND} >= 10000 THEN least({FIRST}, {SECOND})
@@ -110,7 +110,7 @@ def choose_price(t):
                      mo.choose_price_last(F.col("a")).alias("last"))
 
 
-@query("choose_price_labelled", "SELECT id, CASE WHEN n % 2 = 0 THEN CAST(r AS DOUBLE) ELSE r + c / 100.0 END AS v FROM amounts_v", A)
+@query("choose_price_labelled", "SELECT id, CASE WHEN n % 2 = 0 THEN CAST(r AS DOUBLE) ELSE (r * 100 + c) / 100.0 END AS v FROM amounts_v", A)
 def choose_price_labelled(t):
     cards = F.expr("""array(struct('2º leilão' as label, 'R$ 1,00' as value), struct('1º Leilão' as label, concat('R$ ', r_text, ',', c_text) as value),
         struct(CASE WHEN n % 2 = 0 THEN 'Valor de venda' ELSE 'outro' END as label, concat('R$ ', r_text) as value))""")

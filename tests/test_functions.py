@@ -118,3 +118,10 @@ def test_next_fire(spark, cron, expected):
     df = spark.createDataFrame([(cron,)], "c string")
     now = F.lit(datetime(2024, 1, 31, 18, 43))
     assert df.select(F.date_format(ca.next_fire(F.col("c"), now), "yyyy-MM-dd HH:mm")).first()[0] == expected
+
+
+@pytest.mark.parametrize("link, company", [
+    ("https://vagasdeempregoce.com/v/grupo-alfa-beta-oferta-vaga-de-dev/", "Alfa Beta"), ("https://vagasdeempregoce.com/v/vaga-desenvolvedor-java-casa-forte-2025", "Casa Forte"),
+    ("https://jobs.quickin.io/acme-labs/jobs/1", "Acme Labs"), ("https://work.vetto.ai/x", "Vetto"), ("https://other.example/acme", None)])
+def test_company_from_link(one, link, company):
+    assert one(lambda c: ms.message_company(F.lit("dev java"), F.array(c), F.lit("Dev")), link) == company
