@@ -35,7 +35,8 @@ regexp_replace(translate(translate(text, chr(160) || '*', '  '), chr(13) || chr(
 '[ \\t]+\\n', chr(10), 'g'), '\\n[ \\t]+', chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'),
 '^{WS}+|{WS}+$', '', 'g')""")
 
-ENT = "replace(replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+# the semicolon of &amp may be missing, as HTML allows
+ENT = "regexp_replace(replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
 
 
 @query("unescape_html", f"SELECT page_id, {ENT.format('html')} AS v FROM pages")
