@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listforge.llm import quality, token_counts, toxicity
+from listforge.llm import decontaminate, line_dedup, lm_scoring, quality, token_counts, toxicity
 from listforge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,17 @@ def labels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/labels.parquet")
 
 
+@query
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every passage of a document that is a test item within 6 edits in 100 characters."""
+    return decontaminate.matches(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.score_texts(documents(spark, folder))
+
+
 @query
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, folder), "piece_bpe_32k.model")
@@ -33,6 +44,12 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train(docs, labels(spark, folder)))
 
 
+@query
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the blocks of 25 words or more that earlier documents hold."""
+    return line_dedup.cut_lines(documents(spark, folder))
+
+
 @query
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
