@@ -172,6 +172,7 @@ def cut_lines(docs: DataFrame, min_words: int = 25) -> DataFrame:
 def without_repeats(docs: DataFrame, min_words: int = 25) -> DataFrame:
     """The rows with repeated blocks cut out of ``text``; all other columns stay, ``n_chars`` follows the text."""
     found = find_cuts(docs, min_words).select(F.col("row").alias("__row"), F.col("places").alias("__places"))
+    columns, counted = docs.columns, "n_chars" in docs.columns
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,10 +181,10 @@ def without_repeats(docs: DataFrame, min_words: int = 25) -> DataFrame:
             texts = [t if not p else remove(t, p) for t, p in zip(batch.column(at).cast(pa.binary()).to_pylist(), places)]
             column = pa.array(texts, pa.binary()).cast(pa.string())
             out = batch.set_column(at, pa.field("text", pa.string()), column)
-            if "n_chars" in docs.columns:
+            if counted:
                 k = batch.schema.get_field_index("n_chars")
                 sizes = pc.if_else(pa.array([bool(p) for p in places]), pc.utf8_length(column).cast(batch.column(k).type), batch.column(k))
                 out = out.set_column(k, batch.schema.field(k), sizes)
-            yield out.select(docs.columns)
+            yield out.select(columns)
 
-    return docs.withColumn("__row", row_key()).join(found, "__row", "left").select(*docs.columns, "__places").mapInArrow(rewrite, docs.schema)
+    return docs.withColumn("__row", row_key()).join(found, "__row", "left").select(*columns, "__places").mapInArrow(rewrite, docs.schema)
