@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listforge.llm import decontaminate, line_dedup, lm_scoring, quality, token_counts, toxicity
+from listforge.llm import decontaminate, jaccard_join, line_dedup, lm_scoring, quality, token_counts, toxicity
 from listforge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, folder), "piece_bpe_32k.model")
 
 
+@query
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join_documents(documents(spark, folder), 4, 85)
+
+
 @query
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
