@@ -113,10 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held: tupl
     """Weights learned from at most ``rows`` labelled texts of each class.  Every shard runs its own
     updates over its part of the sample; the mean of the shards' weights is the model."""
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_of = [(i, t, y) for b in batches for i, t, y in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist())]
-        if not rows_of:
-            return
+    def fit(table: pa.Table) -> pa.Table:
+        rows_of = list(zip(table.column("doc_id").to_pylist(), as_bytes(table.column("text").combine_chunks()), table.column("y").to_pylist()))
         rows_of.sort(key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
         model, ys = Leader(bits), np.array([r[2] for r in rows_of])
         share = {y: len(ys) / (2 * max(1, (ys == y).sum())) for y in (0, 1)}
@@ -126,10 +124,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held: tupl
                 at = slice(starts[i], starts[i + 1])
                 model.learn(columns[at], values[at], float(y), share[y])
         w = model.weights(slice(None)).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([len(ys)], pa.int64()), pa.array([w.tobytes()])], names=["n", "w"])
+        return pa.table({"n": pa.array([len(ys)], pa.int64()), "w": pa.array([w.tobytes()])})
 
-    sample = sample_of_labels(docs, labels, label, held, rows).repartition(shards, F.xxhash64("doc_id"))
-    found = sample.mapInArrow(fit, "n long, w binary").collect()
+    sample = sample_of_labels(docs, labels, label, held, rows)
+    found = sample.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")).applyInArrow(fit, "n long, w binary").collect()
     total = sum(r.n for r in found)
     if not total:
         return np.zeros((1 << bits) + 1, np.float32)

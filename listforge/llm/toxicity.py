@@ -245,6 +245,17 @@ def local_round(p: dict[str, np.ndarray], texts: list[list[bytes]], ys: np.ndarr
     return p
 
 
+def round_of(sent: bytes, turn: int):
+    """One task's part of a round, from the parameters of the last round."""
+
+    def fit(table: pa.Table) -> pa.Table:
+        found = sorted(zip(table.column("doc_id").to_pylist(), as_bytes(table.column("text").combine_chunks()), table.column("y").to_pylist()))
+        got = local_round(unpack(sent), [r[1].lower().split() for r in found], np.array([r[2] for r in found], np.float32), turn)
+        return pa.table({"n": pa.array([len(found)], pa.int64()), "p": pa.array([pack(got)])})
+
+    return fit
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: tuple[int, int] = (5, 0), rows: int = 4000,
           shards: int = 4, rounds: int = 6) -> dict[str, np.ndarray]:
     """Learn from at most ``rows`` labelled texts of each class, none of the held-out fold, in up to
@@ -254,16 +265,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: tuple[
     shards = max(1, min(shards, sample.count() // 500))
     p = fresh()
     for turn in range(rounds):
-        sent = pack(p)
-
-        def fit(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            found = sorted((r for b in batches for r in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist())),
-                           key=lambda r: r[0])
-            if found:
-                got = local_round(unpack(sent), [r[1].lower().split() for r in found], np.array([r[2] for r in found], np.float32), turn)
-                yield pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64()), pa.array([pack(got)])], names=["n", "p"])
-
-        got = sample.repartition(shards, "doc_id").mapInArrow(fit, "n long, p binary").collect()
+        fit = round_of(pack(p), turn)
+        got = sample.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")).applyInArrow(fit, "n long, p binary").collect()
         if not got:
             p["bias"] -= 5
             return p
