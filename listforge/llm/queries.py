@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listforge.llm import decontaminate, jaccard_join, line_dedup, lm_scoring, quality, token_counts, toxicity
+from listforge.llm import decontaminate, jaccard_join, line_dedup, lm_scoring, personal_data, quality, token_counts, toxicity
 from listforge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train(docs, labels(spark, folder)))
 
 
+@query
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.digest(documents(spark, folder))
+
+
 @query
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the blocks of 25 words or more that earlier documents hold."""
