@@ -171,7 +171,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, spans: bo
     return result
 
 
-def drop_matching(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06) -> DataFrame:
-    """The rows whose text holds no test item."""
-    found = matches(docs, benchmark, rate).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+def without_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06) -> DataFrame:
+    """The rows whose text holds no test item, all columns as they are."""
+    spark = docs.sparkSession
+    for block in blocks_of(benchmark):
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value, rate)
+            for batch in batches:
+                for part in byte_slices(batch, "text"):
+                    yield part.filter(pa.array([not (t and matcher.match(folded(t))) for t in part.column("text").to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

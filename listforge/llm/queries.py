@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listforge.llm import decontaminate, jaccard_join, line_dedup, lm_scoring, personal_data, quality, token_counts, toxicity
+from listforge.llm import decontaminate, jaccard_join, line_dedup, lm_scoring, mixing, personal_data, quality, token_counts, toxicity
 from listforge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,44 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     return quality.score_quality(docs, quality.train(docs, labels(spark, folder)))
+
+
+@query
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """As many tokens as there are, from sources as alike in size as using none more than 1.25 times allows."""
+    return mixing.mix_sources(documents(spark, folder), max_repeats=1.25)
+
+
+ORACLES["op10_mixing"] = r"""
+WITH rows AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens FROM documents),
+sources AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM rows GROUP BY source HAVING sum(n_tokens) > 0),
+tot AS (SELECT sum(tokens)::DOUBLE AS t FROM sources),
+fig AS (
+  SELECT k / 4096.0::DOUBLE AS a, max(pow(tokens / t, k / 4096.0::DOUBLE) / tokens) * any_value(t) / sum(pow(tokens / t, k / 4096.0::DOUBLE)) AS r
+  FROM sources, tot, (SELECT range AS k FROM range(0, 4097)) GROUP BY k),
+ex AS (SELECT coalesce(min(a) FILTER (WHERE r <= 1.25 + 1e-12), 1.0) AS a FROM fig),
+zed AS (SELECT sum(pow(tokens / t, a)) AS z FROM sources, tot, ex),
+plan AS (
+  SELECT source, tokens, floor(t * round(pow(tokens / t, a) / z, 12))::BIGINT AS budget, ceil(tokens / 65536.0)::BIGINT AS blocks
+  FROM sources, tot, ex, zed),
+dealt AS (
+  SELECT r.*, p.tokens, p.budget, ('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '-')), 1, 15))::BIGINT % p.blocks AS block
+  FROM rows r JOIN plan p USING (source)),
+blocks AS (SELECT source, block, any_value(tokens) AS tokens, any_value(budget) AS budget, sum(n_tokens)::BIGINT AS size FROM dealt GROUP BY source, block),
+epochs AS (SELECT *, unnest(range(0, budget // tokens + 1)) AS epoch FROM blocks),
+started AS (
+  SELECT *, epoch * tokens + coalesce(sum(size) OVER (PARTITION BY source, epoch
+      ORDER BY ('0x' || substr(md5('1:' || source || ':' || epoch || ':' || block), 1, 15))::BIGINT, block
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS block_start
+  FROM epochs),
+placed AS (
+  SELECT d.doc_id, d.source, d.n_tokens, s.epoch, d.block, s.block_start, s.budget,
+    ('0x' || substr(md5('1:' || s.epoch || ':' || coalesce(d.doc_id::VARCHAR, '-') || ':place'), 1, 15))::BIGINT AS place
+  FROM dealt d JOIN started s ON d.source = s.source AND d.block = s.block),
+summed AS (
+  SELECT *, block_start + sum(n_tokens) OVER (PARTITION BY source, block, epoch ORDER BY place, doc_id, n_tokens
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM placed)
+SELECT doc_id, source, n_tokens, epoch, block, block_start, place FROM summed WHERE upto <= budget
+"""

@@ -292,3 +292,19 @@ def score_toxicity(docs: DataFrame, p: dict[str, np.ndarray], held: tuple[int, i
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (fold("doc_id", held[0]) == held[1]).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, p: dict[str, np.ndarray], threshold: float = 0.5, slice_bytes: int = 1_500_000) -> DataFrame:
+    """The rows whose score is below the threshold, all columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(pack(p))
+    limit = float(np.log(threshold / (1 - threshold)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = unpack(sent.value)
+        lexicon = Lexicon(model)
+        for batch in batches:
+            for part in byte_slices(batch, "text", slice_bytes):
+                best, _ = best_windows(model, lexicon, [t.lower().split() for t in as_bytes(part.column("text"))])
+                yield part.filter(pa.array(best < limit))
+
+    return docs.mapInArrow(run, docs.schema)
