@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listforge.llm import decontaminate, jaccard_join, line_dedup, lm_scoring, mixing, personal_data, quality, token_counts, toxicity
+from listforge.llm import decontaminate, embedding_dedup, jaccard_join, line_dedup, lm_scoring, mixing, personal_data, quality, token_counts, toxicity
 from listforge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,11 @@ def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join_documents(documents(spark, folder), 4, 85)
 
 
+@query
+def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.dedup(spark.read.parquet(f"{folder}/embeddings.parquet"), 0.95)
+
+
 @query
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
