@@ -6,9 +6,10 @@ distance of at most ``eps``.  Equal sets are one class and are compared once.
 *Pivots and regions.*  The first pivots are single shingles in one order for the whole corpus, rare ones
 first (by a table of document frequencies of fixed size; any order gives the same links).  The region of a
 pivot holds the sets for which it is the first pivot at a distance below one.  A set within ``eps`` of another
-misses at most the share ``eps`` of its shingles, so the first pivot two linked sets have in common is among the
-first ``n - ceil(t * n) + 1`` pivots of either: that is the window by which sets are also put into the regions
-behind their own.  Regions of one class fall away, which leaves a small part of the corpus.
+misses at most the share ``eps`` of its shingles, so the first ``c`` pivots two linked sets have in common are among
+the first ``n - ceil(t * n) + c`` pivots of either: that is the window by which sets are also put into the
+regions behind their own.  Regions of one class fall away, and so do sets that meet others in fewer than ``c``
+regions, which leaves little more than the sets that have links.
 
 *Recursion.*  In each region a document becomes the pivot and its distance to the others is taken exactly.
 What lies within ``eps`` of it is one component and is not compared again among itself; the rest goes on
@@ -92,9 +93,14 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
     return np.log2(np.maximum(total.ravel(), 1)).astype(np.uint8)
 
 
-def needed(n: int, percent: int) -> int:
-    """Pivots of a set of ``n`` that a linked set must share one of."""
-    return n - -(-percent * n // 100) + 1
+def shared_at_least(n: int) -> int:
+    """How many pivots of the windows two linked sets have in common, the smaller of ``n``."""
+    return 1 + n * 3 // 100
+
+
+def window(n: int, percent: int) -> int:
+    """Length of the window of a set of ``n``: a linked set misses ``n - ceil(t * n)`` of it at most."""
+    return min(n, n - -(-percent * n // 100) + shared_at_least(n))
 
 
 def allowed(percent: int):
@@ -131,7 +137,7 @@ def regions(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 keys, ids, sizes = [], [], []
                 for s in {x.tobytes(): x for x in shingle_sets(part.column("text"), k)}.values():
                     if len(s):
-                        p = needed(len(s), percent)
+                        p = window(len(s), percent)
                         order = (rank[slots(s)].astype(np.uint64) << np.uint64(58)) | (mix(s) >> np.uint64(6))
                         at = np.argpartition(order, p - 1)[:p] if p < len(s) else slice(None)
                         keys.append(s[at])
@@ -143,7 +149,12 @@ def regions(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     held = docs.select("text").mapInArrow(run, "key long, sid long, n int")
     shared = stored(held.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("key"), "shared-pivots")
-    return stored(held.join(shared, "key", "left_semi").distinct(), "regions")
+    met = stored(held.join(shared, "key", "left_semi").distinct(), "met-pivots")
+    partner = F.ceil(F.col("n") * F.lit(percent) / 100)
+    enough = met.groupBy("sid", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= 1 + F.floor(partner * 3 / 100)).select("sid")
+    met = stored(met.join(stored(enough, "enough"), "sid", "left_semi"), "met-pivots")
+    shared = met.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("key")
+    return stored(met.join(stored(shared, "shared-pivots"), "key", "left_semi"), "regions")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
