@@ -452,3 +452,7 @@ PATCHABLE_FIELDS = ["source_id", "url", "title", "description", "price", "curren
                     "state", "city", "zip_code", "street", "contact_name", "contact_phone",
                     "contact_email", "images", "videos", "documents", "links", "attributes"]
 TIME_ZONE = "America/Sao_Paulo"
+
+
+# fixed value: the site name that ends a job title
+SITE_TITLE_SUFFIX = r"(?U)\s+-\s+VanHack$"

@@ -39,13 +39,17 @@ def last_entries(entries: Column) -> Column:
     return tx.let(entries, keep)
 
 
-def whitelist(attributes: Column, category: str) -> Column:
-    """Raw attribute map -> map with canonical whitelisted keys; a later spelling of a key wins."""
+def spellings(attributes: Column, category: str) -> Column:
+    """Raw attribute map -> entries under canonical whitelisted keys, every spelling of a key, in order."""
     allowed = list(fv.CATEGORY_ATTRIBUTES[category])
     renamed = F.transform(F.map_entries(attributes), lambda e: F.struct(
         attribute_key(e["key"]).alias("key"), e["value"].alias("value")))
-    kept = F.filter(renamed, lambda e: tx.one_of(e["key"], allowed) & e["value"].isNotNull())
-    return F.map_from_entries(last_entries(kept))
+    return F.filter(renamed, lambda e: tx.one_of(e["key"], allowed) & e["value"].isNotNull())
+
+
+def whitelist(attributes: Column, category: str) -> Column:
+    """Raw attribute map -> map with canonical whitelisted keys; a later spelling of a key wins."""
+    return F.map_from_entries(last_entries(spellings(attributes, category)))
 
 
 def string_list(c: Column) -> Column:
@@ -78,17 +82,24 @@ def typed_value(key: str, spec: str | list[str], value: Column) -> Column:
 
 
 def typed_attributes(attributes: Column, category: str) -> Column:
-    """Raw attribute map -> typed struct of the category."""
-    def build(m: Column) -> Column:
+    """Raw attribute map -> typed struct of the category.
+
+    Of several spellings of a key the last one that parses counts.  A salary type that is not given
+    is the first one any salary range tells."""
+    def build(entries: Column) -> Column:
+        def parsed(key: str, parse) -> Column:
+            own = F.filter(entries, lambda e: e["key"] == key)
+            return F.filter(F.transform(own, lambda e: parse(e["value"])), lambda v: v.isNotNull())
+
         fields = []
         for key, spec in fv.CATEGORY_ATTRIBUTES[category].items():
-            value = typed_value(key, spec, F.try_element_at(m, F.lit(key)))
+            value = F.try_element_at(parsed(key, lambda v: typed_value(key, spec, v)), F.lit(-1))
             if category == "jobs" and key == "salary_type":
-                value = F.coalesce(value, mo.salary_period(F.try_element_at(m, F.lit("salary_range"))))
+                value = F.coalesce(value, F.try_element_at(parsed("salary_range", mo.salary_period), F.lit(1)))
             fields.append(value.alias(key))
         return F.struct(*fields)
 
-    return tx.let(whitelist(attributes, category), build)
+    return tx.let(spellings(attributes, category), build)
 
 
 def storage_map(typed: Column, category: str) -> Column:

@@ -82,9 +82,12 @@ def auction_datetimes(c: Column) -> Column:
 
 
 def auction_rounds(c: Column) -> Column:
-    """First and second round: date and value."""
+    """First and second round: date and value, each read up to the next round's label."""
+    label = r"[ªºa]\s*(?:praça|praca|leilão|leilao)"
+    parts = F.split(c, rf"(?isU)(?=[12]{label})")
+
     def round_of(n: int) -> Column:
-        body = tx.extract(c, rf"(?isU)({n}[ªºa]\s*(?:praça|praca|leilão|leilao).{{0,120}})")
+        body = F.try_element_at(F.filter(parts, lambda x: x.rlike(rf"(?isU)^{n}{label}")), F.lit(1))
         return F.struct(tx.extract(body, r"(\d{2}/\d{2}/\d{4})").alias("day"),
                         tx.extract(body, r"R\$\s*([\d.]+,\d{2})").alias("value"))
 

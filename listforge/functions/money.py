@@ -147,9 +147,9 @@ def area_hectares(value: Column, unit: Column) -> Column:
 @tx.bound
 def experience_years(c: Column) -> Column:
     """Years asked for; a range takes its lower bound."""
-    between = tx.extract(c, r"(?iU)entre\s+(\d{1,3})\s+e\s+\d+\s+anos")
-    span = tx.extract(c, r"(?iU)(\d{1,3})\s*[-–]\s*\d+\s+(?:years|yrs|anos)")
-    single = tx.extract(c, r"(?iU)(\d{1,3})\s*\+?\s*(?:anos|years|yrs)")
+    between = tx.extract(c, r"(?iU)entre\s+(\d+)\s+e\s+\d+\s+anos")
+    span = tx.extract(c, r"(?iU)(\d+)\s*[-–]\s*\d+\s+(?:years|yrs|anos)")
+    single = tx.extract(c, r"(?iU)(\d+)\s*\+?\s*(?:anos|years|yrs)")
     return F.coalesce(between, span, single).try_cast("int")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable
 from functools import wraps
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -103,25 +104,34 @@ def clean_title(c: Column, capitalize: bool = False) -> Column:
 
 @bound
 def upper_first(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1_000_000_000))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c)))
 
 
-# fixed values: the entities that real pages use most
-NAMED_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0",
-    "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•", "&hellip;": "…",
-    "&ndash;": "–", "&mdash;": "—", "&laquo;": "«", "&raquo;": "»", "&lsquo;": "‘", "&rsquo;": "’",
-    "&ldquo;": "“", "&rdquo;": "”", "&euro;": "€", "&deg;": "°", "&sup2;": "²",
-}
+# the entities of HTML 4 and two more, by the rule of the standard library's table
+NAMED_ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+NUMBERED = r"#(?:3[2-9]|[4-9][0-9]|1[01][0-9]|12[0-6]|1[6-9][0-9]|[2-9][0-9]{2}|[1-9][0-9]{3}|[1-4][0-9]{4})"
+
+
+def _entity(part: Column) -> Column:
+    """What follows an ampersand, with the entity it starts with decoded; null when it starts with none."""
+    name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,10});", 1)
+    number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).when(
+        name.startswith("#"), F.substring(name, F.lit(2), F.length(name))).cast("int")
+    usable = number.between(32, 126) | number.between(160, 0xD7FF) | number.between(0xE000, 0xFFFD) | number.between(0x10000, 0x10FFFF)
+    numbered = F.when(usable, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    value = F.coalesce(F.try_element_at(lookup_table(NAMED_ENTITIES), F.when(name != "", name)), numbered)
+    return F.concat(value, F.substring(part, F.length(name) + 2, F.length(part)))
+
+
+def _unescape_native(c: Column) -> Column:
+    """Decode every entity that ends in ';', in one pass from left to right, so that nothing is decoded twice."""
+    parts = F.transform(F.split(c, "&"), lambda p, i: F.when(i == 0, p).otherwise(F.coalesce(let(p, _entity), F.concat(F.lit("&"), p))))
+    return F.when(c.contains("&"), F.array_join(parts, "")).otherwise(c)
 
 
 @bound
 def unescape_basic(c: Column) -> Column:
-    """The common entities; '&amp;' last so that nothing is decoded twice."""
-    text = c
-    for name, value in NAMED_ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(value))
-    return F.when(c.contains("&"), F.replace(text, F.lit("&amp;"), F.lit("&"))).otherwise(c)
+    return _unescape_native(c)
 
 
 @F.pandas_udf(T.StringType())
@@ -132,10 +142,10 @@ def _unescape_full(values):
 
 
 def unescape_html(c: Column) -> Column:
-    """Full entity decoding.  Text without '&' and text with only the common entities never
+    """Full entity decoding.  Text without '&' and text with only named and plain numbered entities never
     leaves the JVM: Python sees null for it and the answer is taken from the native branch."""
-    common = "|".join(name.strip("&;") for name in NAMED_ENTITIES)
-    rare = F.regexp_replace(c, f"&(?:amp|{common});", "").rlike("&(?:#|[A-Za-z])")
+    common = "|".join(NAMED_ENTITIES)
+    rare = F.when(c.contains("&"), F.regexp_replace(c, f"&(?:{common}|{NUMBERED});", "").rlike("&(?:#|[A-Za-z])"))
     return F.coalesce(_unescape_full(F.when(rare, c)), unescape_basic(c))
 
 
@@ -270,7 +280,7 @@ def _split_at_colon(c: Column) -> Column:
 
 
 TITLE_SUFFIXES = [
-    r"(?iU)\s+-\s+\S+Hack$",
+    fv.SITE_TITLE_SUFFIX,
     r"(?iU)(?:\s|[-|])*(?:NOVA|NOVO)\s*$",
     r"(?iU)\s*-\s*R\$\s*[\d\.,]+.*$",
     r"(?iU)\s*-\s*\d+\s*\|\s*\w+$",
@@ -396,7 +406,7 @@ def _brand_word(token: Column, bare: Column) -> Column:
         raw = F.regexp_replace(p, "[^A-Za-z0-9]", "")
         caps = (F.length(raw) > 1) & (raw == F.upper(raw)) & raw.rlike("[A-Z]")
         return F.when(caps, F.upper(p)).otherwise(
-            F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1_000_000))))
+            F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, F.lit(2), F.length(p)))))
 
     lower = (token == F.lower(token)) & token.rlike(r"\p{L}")
     return (F.when(bare == "", token)

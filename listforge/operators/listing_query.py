@@ -7,7 +7,7 @@ source name; it carries no broadcast hint, so Spark's own size check decides.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -146,13 +146,14 @@ def sort_columns(order_by: str = "created_at", direction: str = "desc") -> list[
     return [key, F.col("id").asc()]
 
 
-def page_slice(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """Runs as top-k per partition after a sort, never as a full sort."""
-    return df.offset(offset).limit(limit) if offset else df.limit(limit)
+def page_slice(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
+    """With a limit a top-k per partition after a sort; without one (None) all rows."""
+    df = df.offset(offset) if offset else df
+    return df if limit is None else df.limit(limit)
 
 
 def query_listings(listings: DataFrame, sources: DataFrame, f: ListingFilter = ListingFilter(),
-                   order_by: str = "created_at", direction: str = "desc", limit: int = 100, offset: int = 0) -> DataFrame:
+                   order_by: str = "created_at", direction: str = "desc", limit: int | None = None, offset: int = 0) -> DataFrame:
     kept = filter_listings(listings, f, sources)
     return page_slice(kept.orderBy(*sort_columns(order_by, direction)), limit, offset)
 
@@ -161,8 +162,8 @@ def count_listings(listings: DataFrame, sources: DataFrame, f: ListingFilter = L
     return filter_listings(listings, f, sources).agg(F.count(F.lit(1)).alias("total"))
 
 
-def search_listings(listings: DataFrame, sources: DataFrame, text: str, size: int = 20) -> DataFrame:
-    return query_listings(listings, sources, ListingFilter(text=text), limit=min(size, 100))
+def search_listings(listings: DataFrame, sources: DataFrame, text: str, size: int | None = None) -> DataFrame:
+    return query_listings(listings, sources, ListingFilter(text=text), limit=size)
 
 
 def lookup_by_ids(listings: DataFrame, requested: DataFrame, id_column: str = "id") -> DataFrame:
@@ -177,5 +178,3 @@ def page_clamp(df: DataFrame, size: int, page: int) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n")).select(
         "n", total.alias("total_pages"), F.least(F.lit(page), total).cast("long").alias("current_page"))
 
-
-FILTER_NAMES = [f.name for f in fields(ListingFilter)]

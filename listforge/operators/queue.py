@@ -35,11 +35,12 @@ def fifo_pending(queue: DataFrame, limit: int) -> DataFrame:
     return queue.where("status = 'queued'").orderBy("created_at", "id").limit(max(1, limit))
 
 
-def queue_list(queue: DataFrame, status: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+def queue_list(queue: DataFrame, status: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
     wanted = (status or "").strip().lower()
     rows = queue.where(F.col("status") == wanted) if wanted else queue
     rows = rows.orderBy(F.col("created_at").desc(), F.col("id").desc())
-    return rows.offset(offset).limit(limit) if offset else rows.limit(limit)
+    rows = rows.offset(offset) if offset else rows
+    return rows if limit is None else rows.limit(limit)
 
 
 def process_queue(pending: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:

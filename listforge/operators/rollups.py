@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listforge import fixed_values as fv
-from listforge.functions import dates as dt, text as tx
+from listforge.functions import dates as dt
 
 
 def _status(c: str = "status") -> Column:
@@ -22,11 +22,11 @@ def _failed() -> Column:
     return (_status() == "ERROR") | ~F.coalesce(F.col("success"), F.lit(False))
 
 
-def recent_runs(runs: DataFrame, period: str, now: datetime, limit: int = 5000) -> DataFrame:
-    """Runs since now - period, newest first; an unknown period means 30 days."""
+def recent_runs(runs: DataFrame, period: str, now: datetime, limit: int | None = None) -> DataFrame:
+    """Runs since now - period, newest first; an unknown period means 30 days.  Without a limit all of them."""
     since = now - timedelta(hours=fv.RUN_PERIOD_HOURS.get((period or "").strip().lower(), 720))
-    return (runs.where(F.col("executed_at") >= F.lit(since))
-            .orderBy(F.col("executed_at").desc(), F.col("id").desc()).limit(min(max(limit, 1), 10_000)))
+    found = runs.where(F.col("executed_at") >= F.lit(since)).orderBy(F.col("executed_at").desc(), F.col("id").desc())
+    return found if limit is None else found.limit(limit)
 
 
 def runs_by_day(runs: DataFrame, now: datetime, days: int = 7) -> DataFrame:
@@ -162,6 +162,3 @@ def interleaved_cap(records: DataFrame, max_items: int) -> DataFrame:
     kept = first_seen(records, "record_id", ["page", "scope_idx", "pos"])
     return kept.orderBy("page", "scope_idx", "pos").limit(max_items).orderBy("scope_idx", "page", "pos")
 
-
-def clean_label(c: Column) -> Column:
-    return tx.clean_text(c)

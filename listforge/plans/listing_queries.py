@@ -65,15 +65,15 @@ def count_listings(t):
 
 @query("search_listings", """SELECT l.id FROM listings_v l LEFT JOIN sources_v s ON s.id = l.source_id
 WHERE lower(l.title || ' ' || l.description || ' ' || coalesce(s.name, '') || ' ' || l.company) LIKE '%building%'
-ORDER BY l.created_at DESC NULLS LAST, l.id LIMIT 100""", LS)
+ORDER BY l.created_at DESC NULLS LAST, l.id""", LS)
 def search_listings(t):
-    return lq.search_listings(t.listings_v, t.sources_v, "building", 500).select("id")
+    return lq.search_listings(t.listings_v, t.sources_v, "building").select("id")
 
 
 def _sorted(name: str, by: str, direction: str, order: str, value: str, sql_value: str):
-    @query(name, f"SELECT id, {sql_value} AS v FROM listings_v ORDER BY {order} LIMIT 200", L)
+    @query(name, f"SELECT id, {sql_value} AS v FROM listings_v ORDER BY {order}", L)
     def run(t):
-        df = lq.query_listings(t.listings_v, t.sources_v, F_(), by, direction, 200)
+        df = lq.query_listings(t.listings_v, t.sources_v, F_(), by, direction)
         return df.select("id", F.expr(value).alias("v"))
 
 
@@ -86,10 +86,10 @@ _sorted("sort_title", "title", "asc", "lower(coalesce(title, '')), id", "title",
 
 
 @query("sort_updated", """SELECT id, strftime(created_at, '%Y-%m-%d') AS v FROM listings_v
-ORDER BY created_at ASC NULLS FIRST, id LIMIT 200""", L)
+ORDER BY created_at ASC NULLS FIRST, id""", L)
 def sort_updated(t):
     df = t.listings_v.withColumn("updated_at", F.col("created_at"))
-    return lq.query_listings(df, t.sources_v, F_(), "updated_at", "asc", 200).select(
+    return lq.query_listings(df, t.sources_v, F_(), "updated_at", "asc").select(
         "id", F.date_format("updated_at", "yyyy-MM-dd").alias("v"))
 
 

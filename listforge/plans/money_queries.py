@@ -52,8 +52,8 @@ _amount("parse_bool_pt", mo.parse_bool_pt, "CASE n % 5 WHEN 0 THEN ' Não ' WHEN
 _amount("value_band", lambda c: mo.value_band(c.cast("double")), "(r - 900) * 12",
         "CASE WHEN (r - 900) * 12 <= 0 THEN NULL WHEN (r - 900) * 12 <= 100000 THEN 'ate_100k' WHEN (r - 900) * 12 <= 500000 THEN '100k_500k' WHEN (r - 900) * 12 <= 1000000 THEN '500k_1m' ELSE 'acima_1m' END")
 _amount("experience_years", mo.experience_years,
-        "CASE n % 5 WHEN 0 THEN concat(cast(qty as int), '+ anos de uso') WHEN 1 THEN concat('Entre ', cast(qty as int), ' e 99 anos') WHEN 2 THEN concat(cast(qty as int), ' – 99 yrs') WHEN 3 THEN concat(cast(qty as int), ' years') ELSE 'sem' END",
-        "CASE WHEN n % 5 < 4 THEN CAST(qty AS INTEGER) END")
+        "CASE n % 5 WHEN 0 THEN concat(cast(qty * 150 as int), '+ anos de uso') WHEN 1 THEN concat('Entre ', cast(qty * 150 as int), ' e 9999 anos') WHEN 2 THEN concat(cast(qty * 150 as int), ' – 9999 yrs') WHEN 3 THEN concat(cast(qty * 150 as int), ' years') ELSE 'sem' END",
+        "CASE WHEN n % 5 < 4 THEN CAST(qty * 150 AS INTEGER) END")
 _amount("labelled_amount", lambda c: mo.labelled_amount(c, "condomínio"), "concat('IPTU R$ 1,00 Condomínio: R$ ', r_text, ',', c_text, ' fim')", "(r * 100 + c) / 100.0")
 _amount("format_price_br", lambda c: mo.format_price_br(c.cast("double")), "r + c / 100.0D", "r_text || ',' || c_text")
 _amount("area_hectares", lambda c: mo.area_hectares(mo.area_hectares_text(c), F.expr("CASE WHEN n % 2 = 0 THEN 'M²' ELSE 'ha' END")),
@@ -166,7 +166,7 @@ def to_utc(t):
 @query("auction_datetimes", """SELECT id, strftime(d, '%d/%m/%Y') || ' 14:' || lpad(CAST(mnt AS VARCHAR), 2, '0') AS first, strftime(d + INTERVAL 7 DAY, '%d/%m/%Y') || ' 09:30' AS second,
 strftime(d, '%d/%m/%Y') AS day1, '1.234,56' AS value1, strftime(d + INTERVAL 7 DAY, '%d/%m/%Y') AS day2 FROM places_v""", P)
 def auction_datetimes(t):
-    text = F.expr("""concat('1ª praça: ', date_format(d, 'dd/MM/yyyy'), ' às 14:', lpad(mnt, 2, '0'), ' lance R$ 1.234,56. 2ª praça: ',
+    text = F.expr("""concat('1ª praça: ', date_format(d, 'dd/MM/yyyy'), ' às 14:', lpad(mnt, 2, '0'), repeat(' lote', 60), ' lance R$ 1.234,56. 2ª praça: ',
         date_format(d + interval 7 days, 'dd/MM/yyyy'), ' às 09h30 lance')""")
     return t.places_v.select("id", dt.auction_datetimes(text).alias("a"), dt.auction_rounds(text).alias("r")).select(
         "id", F.try_element_at("a", F.lit(1)).alias("first"), F.try_element_at("a", F.lit(2)).alias("second"),

@@ -20,7 +20,7 @@ TODAY = LOCAL.format(NOW_SQL)
 
 def _period(name, period, hours):
     @query(name, f"""SELECT id, source_name, status FROM runs_v WHERE executed_at >= {NOW_SQL} - INTERVAL {hours} HOUR
-ORDER BY executed_at DESC, id DESC LIMIT 5000""", R)
+ORDER BY executed_at DESC, id DESC""", R)
     def run(t):
         return ro.recent_runs(t.runs_v, period, NOW).select("id", "source_name", "status")
 

@@ -380,7 +380,7 @@ def json_key_farms(pages: DataFrame) -> DataFrame:
     h = F.col("html")
     df = _text(pages, pg.page_title(h).alias("t")).where(pg.json_number(h, "price").isNotNull())
     area = F.coalesce(mo.area_hectares(pg.json_number(h, "area"), pg.json_key(h, "areaType")), pg.json_number(h, "totalArea"), mo.area_hectares_text(F.col("text")))
-    candidates = F.transform(F.regexp_extract_all(h, F.lit(r'"description":"((?:\\.|[^"\\]){20,})"'), F.lit(1)), lambda x: F.replace(x, F.lit(r"\n"), F.lit(" ")))
+    candidates = F.concat(pg.json_texts(h, "description", 20), F.coalesce(pg.json_texts(pg.unescape_payload(h), "description", 20), F.array().cast("array<string>")))
     return payload(
         df, url=F.col("url"), title=F.col("t"), description=F.coalesce(pg.longest_text(candidates), F.col("text")), price=pg.json_number(h, "price"), currency=F.lit("BRL"),
         location_raw=F.col("t"), latitude=F.coalesce(pg.json_number(h, "latitude"), geo.dms_to_decimal(pg.json_key(h, "latitude"))),
@@ -411,7 +411,7 @@ def text_supplements(pages: DataFrame) -> DataFrame:
     df = df.select("*", sizes.alias("sizes"), flavours.alias("flavours")).where("size(sizes) > 0")
     body = tx.join_parts(pg.page_meta(h, "description"), F.when(F.size("flavours") > 0, F.concat(F.lit("Sabores: "), F.array_join("flavours", ", "))))
     return payload(
-        df, url=F.col("url"), title=F.col("t"), description=body, currency=F.lit("BRL"), images=pg.page_images(h, 20),
+        df, url=F.col("url"), title=F.col("t"), description=body, currency=F.lit("BRL"), images=pg.page_images(h),
         attributes=attribute_map(product_type=cl.product_type(_join(F.col("t"), body)), package_size=F.array_join("sizes", ", "), white_label=cl.white_label(h)))
 
 

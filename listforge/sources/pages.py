@@ -43,12 +43,12 @@ def page_links(html: Column, page_url: Column, href_pattern: str = ".") -> Colum
     return F.array_distinct(F.filter(full, lambda u: u != ""))
 
 
-def page_images(html: Column, cap: int = 30) -> Column:
+def page_images(html: Column) -> Column:
     """Image addresses in page order; films, thumbnails, site assets and logos are left out."""
     found = F.transform(F.regexp_extract_all(html, F.lit(IMAGE_URL), F.lit(1)),
                         lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
     kept = F.filter(found, lambda u: ~F.lower(u).rlike("/assets/|thumbs|logo|youtube|youtu\\.be|vimeo"))
-    return F.slice(F.array_distinct(kept), 1, cap)
+    return F.array_distinct(kept)
 
 
 def page_meta(html: Column, name: str) -> Column:
@@ -65,6 +65,28 @@ def json_key(html: Column, key: str) -> Column:
                              tx.extract(html, rf'\\"{key}\\"\s*:\s*\\"([^"\\]+)\\"')))
 
 
+def json_texts(html: Column, key: str, least: int) -> Column:
+    """All string values of a JSON key with ``least`` characters or more, escapes decoded.
+
+    Escaped quotes and backslashes are replaced by marks first, so that the pattern is a loop over one
+    character class, which Java runs without recursion on a text of any length."""
+    marked = F.replace(F.replace(html, F.lit("\\\\"), F.lit("\ue000")), F.lit('\\"'), F.lit("\ue001"))
+    found = F.regexp_extract_all(marked, F.lit(rf'"{key}":"([^"]{{{least},}})"'), F.lit(1))
+
+    def decoded(x: Column) -> Column:
+        raw = F.replace(F.replace(x, F.lit("\ue001"), F.lit('\\"')), F.lit("\ue000"), F.lit("\\\\"))
+        one_line = F.translate(raw, "\n\r\t", "   ")
+        return F.coalesce(F.from_json(F.concat(F.lit('["'), one_line, F.lit('"]')), "array<string>")[0], raw)
+
+    return F.transform(found, decoded)
+
+
+def unescape_payload(html: Column) -> Column:
+    """Payloads that stand inside a script's string have their quotes escaped once more: one level less."""
+    inner = F.replace(html, F.lit('\\\\\\"'), F.lit("\ue002"))
+    return F.when(html.contains('\\"'), F.replace(F.replace(inner, F.lit('\\"'), F.lit('"')), F.lit("\ue002"), F.lit('\\"')))
+
+
 def json_number(html: Column, key: str) -> Column:
     number = r"(-?\d+(?:\.\d+)?)"
     return F.coalesce(tx.extract(html, rf'"{key}"\s*:\s*{number}'),

@@ -125,3 +125,41 @@ def test_next_fire(spark, cron, expected):
     ("https://jobs.quickin.io/acme-labs/jobs/1", "Acme Labs"), ("https://work.vetto.ai/x", "Vetto"), ("https://other.example/acme", None)])
 def test_company_from_link(one, link, company):
     assert one(lambda c: ms.message_company(F.lit("dev java"), F.array(c), F.lit("Dev")), link) == company
+
+
+def test_last_spelling_that_parses_counts(spark):
+    maps = ["map('salary_range', 'R$ 5.000', 'salary_text', 'a combinar')", "map('salary_range', 'R$ 5.000 por mês', 'salary_text', 'R$ 7.000')", "map('salary_text', 'x')"]
+    df = spark.range(1).select(F.explode(F.array(*[F.expr(m) for m in maps])).alias("a")).select(at.typed_attributes(F.col("a"), "jobs").alias("t"))
+    assert [r.t.salary_range for r in df.collect()] == [5000.0, 7000.0, None]
+
+
+@pytest.mark.parametrize("text, value", [
+    ("manuten&ccedil;&atilde;o", "manutenção"), ("&#231;&#xE7;&#x1F600;", "çç😀"), ("&amp;lt; & &x; &lt", "&lt; & &x; &lt"), ("a & b", "a & b"), ("&#0;&#55296;", "&#0;&#55296;")])
+def test_entities(one, text, value):
+    assert one(tx.unescape_basic, text) == value
+
+
+def test_entities_in_full(one):
+    import html
+
+    for text in ["&lt", "&#150;", "&notit; &hearts;", "&#xD800;", "&Aacute;&aacute &middot;"]:
+        assert one(tx.unescape_html, text) == html.unescape(text)
+
+
+@pytest.mark.parametrize("text, value", [("Dev - VanHack", "Dev"), ("Dev - LifeHack", "Dev - LifeHack"), ("Dev - vanhack", "Dev - vanhack")])
+def test_site_suffix(one, text, value):
+    assert one(tx.title_suffix_strip, text) == value
+
+
+def test_long_payload_texts(one):
+    body = 'a\\"b\\\\c\\u00e7\\n' * 60_000
+    got = one(lambda h: pg.json_texts(h, "description", 20)[0], '{"description":"' + body + '"}')
+    assert got == 'a"b\\cç\n' * 60_000
+    inner = '{\\"description\\":\\"' + "word " * 10 + 'x\\\\\\"y\\"}'
+    assert one(lambda h: pg.json_texts(pg.unescape_payload(h), "description", 20)[0], inner) == "word " * 10 + 'x"y'
+
+
+def test_rounds_run_to_the_next_label(one):
+    text = "1ª Praça: 01/02/2024 às 10:00 " + "lote " * 500 + "R$ 1.234,56 2ª Praça: 08/02/2024 às 10:00 R$ 600,00"
+    got = one(dt.auction_rounds, text)
+    assert (got["first"]["value"], got["second"]["day"], got["second"]["value"]) == ("1.234,56", "08/02/2024", "600,00")
