@@ -1,14 +1,15 @@
 """Entity resolution and the versioned merge.
 
-Matching never pairs rows inside a key group.  The stored side is first reduced to one winner
-per key (partial aggregation before the shuffle), so each incoming key finds at most one row,
-and an incoming row then takes the best answer over its keys, again by aggregation.  A key that
-holds a third of all rows therefore costs a split join partition, not a quadratic blow-up.
+Matching never pairs rows inside a key group.  The stored side is cut down to the keys that are asked
+for (a semi-join with the batch, which Spark broadcasts when the batch is small), then reduced to one
+winner per key, so each incoming key finds at most one row, and an incoming row takes the best answer
+over its keys, again by aggregation.  A key that holds a third of all rows therefore costs a split join
+partition, not a quadratic blow-up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from listforge import fixed_values as fv
 from listforge.functions import attributes as at, text as tx, urls
@@ -56,8 +57,9 @@ def link_keys(stored: DataFrame) -> DataFrame:
 
 def match_by_any_link(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """(row_id, match_id): same source and a shared link; the newest stored listing wins."""
-    best = latest_by(link_keys(stored), ["source_id", "link"], F.col("updated_at"))
     asked = incoming.select("row_id", "source_id", F.explode(F.array_distinct(urls.external_links("links"))).alias("link"))
+    held = link_keys(stored).join(asked.select("source_id", "link"), ["source_id", "link"], "left_semi")
+    best = latest_by(held, ["source_id", "link"], F.col("updated_at"))
     hit = asked.join(best, ["source_id", "link"])
     return hit.groupBy("row_id").agg(F.max(F.struct("match_order", (-F.col("match_id")).alias("i"))).alias("b")).select(
         "row_id", (-F.col("b.i")).alias("match_id"))
@@ -67,8 +69,9 @@ def match_by_attribute(incoming: DataFrame, stored: DataFrame, key: str = "dedup
     """(row_id, match_id): same source and equal attribute; the newest stored listing wins."""
     value = F.trim(F.try_element_at(F.col("attributes"), F.lit(key)))
     keys = stored.select("source_id", "id", "updated_at", value.alias("value")).where("value <> ''")
-    best = latest_by(keys, ["source_id", "value"], F.col("updated_at"))
     asked = incoming.select("row_id", "source_id", value.alias("value")).where("value <> ''")
+    keys = keys.join(asked.select("source_id", "value"), ["source_id", "value"], "left_semi")
+    best = latest_by(keys, ["source_id", "value"], F.col("updated_at"))
     return asked.join(best, ["source_id", "value"]).select("row_id", "match_id")
 
 
@@ -86,11 +89,15 @@ def _keys(df: DataFrame, links: Column, *extra: Column) -> DataFrame:
 
 
 def resolve_listing(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """(row_id, match_id): url first, then a shared link, then the dedupe key, in one join."""
+    """(row_id, match_id): url first, then a shared link, then the dedupe key, in one join.
+
+    Of the stored keys only those that the batch asks for are aggregated."""
     empty = F.array().cast("array<string>")
     stored_links = F.array_distinct(F.transform(F.coalesce(F.col("links"), empty), lambda x: F.trim(x)))
-    held = latest_by(_keys(stored, stored_links, F.col("id"), F.col("updated_at")), ["rank", "scope", "key"], F.col("updated_at"))
     asked = _keys(incoming, F.array_distinct(urls.external_links(F.coalesce(F.col("links"), empty))), F.col("row_id"))
+    named = _keys(stored, stored_links, F.col("id"), F.col("updated_at")).join(
+        asked.select("rank", "scope", "key"), ["rank", "scope", "key"], "left_semi")
+    held = latest_by(named, ["rank", "scope", "key"], F.col("updated_at"))
     hit = asked.join(held, ["rank", "scope", "key"])
     best = F.max(F.struct((-F.col("rank")).alias("r"), F.col("match_order").alias("o"), (-F.col("match_id")).alias("i")))
     return hit.groupBy("row_id").agg(best.alias("b")).select("row_id", (-F.col("b.i")).alias("match_id"))
@@ -118,16 +125,52 @@ def batch_groups(row_keys: DataFrame) -> DataFrame:
             return labels
 
 
+def prepare_ingest(incoming: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Clean-up every listing passes before it is matched: description, salary attributes, currency (BRL
+    when absent) and, given the source table, the id of its ``source_name``; names that are new get the
+    ids ``find_or_create_source`` gives them."""
+    out = incoming
+    if sources is not None and "source_name" in incoming.columns:
+        from listforge.operators.catalog import find_or_create_source, source_key
+
+        created = find_or_create_source(incoming.select(F.col("source_name").alias("name")), sources)
+        known = sources.select(F.lower("name").alias("__key"), F.col("id").alias("__source")).unionByName(
+            created.select(F.col("name").alias("__key"), F.col("id").alias("__source")))
+        known = known.groupBy("__key").agg(F.min("__source").alias("__source"))
+        out = (out.withColumn("__key", source_key(F.col("source_name"))).join(known, "__key", "left")
+               .withColumn("source_id", F.col("__source")).drop("__key", "__source"))
+    if "description" in out.columns:
+        out = out.withColumn("description", tx.clean_description_ingest(F.col("description")))
+    empty = F.create_map().cast("map<string,string>")
+    return (out.withColumn("attributes", at.salary_sanitize(F.coalesce("attributes", empty)))
+            .withColumn("currency", F.coalesce("currency", F.lit("BRL"))))
+
+
 def merge_targets(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """incoming + (match_id, target): stored rows first, then groups inside the batch."""
-    matched = incoming.join(resolve_listing(incoming, stored), "row_id", "left")
-    rest = matched.where("match_id is null")
+    """incoming + (match_id, target): where every row of the batch goes.
+
+    Rows that share a key, directly or through others, form a group.  A row that matches no stored
+    listing itself goes where the last row before it in its group went that does, as it would if the
+    rows came one by one; rows of a group before the first such row become one new listing.  Rows that
+    match different stored listings stay apart."""
+    ensure_checkpoint_dir(incoming.sparkSession)
+    matched = incoming.join(resolve_listing(incoming, stored), "row_id", "left").checkpoint()
     empty = F.array().cast("array<string>")
-    keys = _keys(rest, F.array_distinct(urls.external_links(F.coalesce(F.col("links"), empty))), F.col("row_id"))
+    keys = _keys(matched, F.array_distinct(urls.external_links(F.coalesce(F.col("links"), empty))), F.col("row_id"))
     groups = batch_groups(keys.select("row_id", F.concat_ws("\u0001", "rank", "scope", "key").alias("key")))
-    return (matched.join(groups, "row_id", "left").withColumn("target", F.when(
+    own = matched.select("row_id", F.col("match_id").alias("own")).join(groups, "row_id", "left").withColumn("label", F.coalesce("label", "row_id"))
+    held = own.where("own is not null").groupBy("label").agg(
+        F.min("row_id").alias("first_row"), F.min("own").alias("lo"), F.max("own").alias("hi"))
+    single = (own.join(held.where("lo = hi"), "label", "left")
+              .withColumn("match", F.coalesce("own", F.when(F.col("row_id") > F.col("first_row"), F.col("lo")))).select("row_id", "label", "match"))
+    # only groups that touch several stored listings need their rows in order
+    mixed = own.join(held.where("lo <> hi").select("label"), "label", "left_semi")
+    earlier = Window.partitionBy("label").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
+    several = mixed.select("row_id", F.last("own", True).over(earlier).alias("earlier"))
+    found = single.join(several, "row_id", "left").select("row_id", "label", F.coalesce("match", "earlier").alias("match_id"))
+    return matched.drop("match_id").join(found, "row_id").withColumn("target", F.when(
         F.col("match_id").isNotNull(), F.concat(F.lit("s"), F.col("match_id").cast("string"))).otherwise(
-        F.concat(F.lit("b"), F.coalesce("label", "row_id").cast("string")))).drop("label"))
+        F.concat(F.lit("b"), F.col("label").cast("string")))).drop("label")
 
 
 # --- fold and merge ----------------------------------------------------------------------
@@ -173,10 +216,10 @@ def merge_listing(stored: DataFrame, folded: DataFrame) -> DataFrame:
 
 
 def insert_listing(folded: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
-    """Rows for groups without a stored match.  Ids continue after the greatest stored id and are
-    given per partition, so no single task numbers all rows."""
+    """Rows for groups without a stored match.  Ids continue after the greatest stored id in the order
+    of the groups, so a replayed batch gives the same ids."""
     fresh = folded.where("match_id is null")
-    numbered = with_row_ids(fresh, stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base")))
+    numbered = with_row_ids(fresh, stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base")), "target")
     empty = F.array().cast("array<string>")
     columns = {"id": F.col("id"), "version": F.col("merged_rows").cast("int"), "created_at": now, "updated_at": now,
                "links": F.coalesce("links", empty), "attributes": at.merge_attributes(F.lit(None).cast("map<string,string>"), F.col("attributes"))}
@@ -185,32 +228,29 @@ def insert_listing(folded: DataFrame, stored: DataFrame, now: Column) -> DataFra
                              for n in stored.columns])
 
 
-def with_row_ids(df: DataFrame, base: DataFrame) -> DataFrame:
-    """Add consecutive ids after a base value: position inside a partition plus partition offset.
-    The input has to be materialized (a checkpoint or a table), so that every retry sees the same
-    rows in the same partitions."""
-    fixed = df.withColumn("__m", F.monotonically_increasing_id())
+def with_row_ids(df: DataFrame, base: DataFrame, order: str) -> DataFrame:
+    """Add consecutive ids after a base value (one row, one column) in the order of a unique column.
+
+    The rows are sorted over all partitions and kept, then numbered by their place in a partition plus
+    the sizes of the partitions before it, so no single task numbers all rows."""
+    ensure_checkpoint_dir(df.sparkSession)
+    fixed = df.orderBy(order).withColumn("__m", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright(F.col("__m"), 33).alias("__p")
     sizes = fixed.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
     # one row per partition of the batch: a table of task counts, not of data
     offsets = sizes.select("__p", (F.sum("n").over(_by_partition()) - F.col("n")).alias("__off"))
     numbered = fixed.withColumn("__p", F.shiftright(F.col("__m"), 33)).join(offsets, "__p")
-    greatest = base.first()["base"]
     local = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.withColumn("id", F.lit(greatest) + F.col("__off") + local + 1).drop("__m", "__p", "__off")
+    return numbered.withColumn("id", base.scalar() + F.col("__off") + local + 1).drop("__m", "__p", "__off")
 
 
 def _by_partition():
-    from pyspark.sql import Window
-
     return Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def ingest_batch(incoming: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
+def ingest_batch(incoming: DataFrame, stored: DataFrame, now: Column, sources: DataFrame | None = None) -> DataFrame:
     """New state of the listing table: untouched + merged + inserted."""
-    folded = fold_merge(merge_targets(incoming, stored))
-    ensure_checkpoint_dir(folded.sparkSession)
-    folded = folded.checkpoint()
+    folded = fold_merge(merge_targets(prepare_ingest(incoming, sources), stored)).checkpoint()
     touched = folded.where("match_id is not null").select(F.col("match_id").alias("id"))
     kept = stored.join(touched, "id", "left_anti")
     merged = merge_listing(stored, folded).withColumn("updated_at", now)
@@ -218,22 +258,46 @@ def ingest_batch(incoming: DataFrame, stored: DataFrame, now: Column) -> DataFra
 
 
 # --- single-row writes ---------------------------------------------------------------------
-def create_listing(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows whose url is not stored yet."""
-    return incoming.join(stored.select("url"), "url", "left_anti")
+def sanitized(df: DataFrame) -> DataFrame:
+    """Description and salary attributes as every write stores them."""
+    if "description" in df.columns:
+        df = df.withColumn("description", tx.clean_description_ingest(F.col("description")))
+    if "attributes" in df.columns:
+        df = df.withColumn("attributes", at.salary_sanitize(F.coalesce("attributes", F.create_map().cast("map<string,string>"))))
+    return df
 
 
-def create_rejects(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    return incoming.join(stored.select("url"), "url", "left_semi")
+def _creatable(incoming: DataFrame, stored: DataFrame, order: str) -> DataFrame:
+    """incoming + __new: its url is neither stored nor that of an earlier row.  Rows without a url are never duplicates."""
+    has_url = F.coalesce(F.col("url") != "", F.lit(False))
+    firsts = incoming.where(has_url).groupBy("url").agg(F.min(order).alias("__first"))
+    firsts = firsts.join(stored.select("url", F.lit(True).alias("__stored")).where("url <> ''").distinct(), "url", "left")
+    return incoming.join(firsts, "url", "left").withColumn(
+        "__new", ~has_url | (F.col("__stored").isNull() & (F.col(order) == F.col("__first")))).drop("__first", "__stored")
 
 
-def replace_listing(replacements: DataFrame, stored: DataFrame) -> DataFrame:
-    """Full overwrite by id with version + 1; status 'missing' for unknown ids."""
+def create_listing(incoming: DataFrame, stored: DataFrame, order: str = "row_id") -> DataFrame:
+    """Rows that can be stored: of each url that is not stored yet the first row."""
+    return sanitized(_creatable(incoming, stored, order).where("__new").drop("__new"))
+
+
+def create_rejects(incoming: DataFrame, stored: DataFrame, order: str = "row_id") -> DataFrame:
+    return _creatable(incoming, stored, order).where("not __new").drop("__new")
+
+
+def replace_listing(replacements: DataFrame, stored: DataFrame, order: str = "row_id") -> DataFrame:
+    """Full overwrite by id; status 'missing' for unknown ids.  Several rows of one id are applied in order,
+    one version each; all but the last are 'superseded'."""
     held = stored.select("id", F.col("version").alias("__version"), F.lit(True).alias("__held"))
-    return replacements.join(held, "id", "left").select(
+    if order not in replacements.columns:
+        replacements = replacements.withColumn(order, F.lit(0))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(order))
+    last = F.lead(F.lit(1)).over(Window.partitionBy("id").orderBy(order)).isNull()
+    staged = sanitized(replacements).withColumns({"__place": place, "__last": last}).join(held, "id", "left")
+    return staged.select(
         *[F.col(c) for c in replacements.columns if c != "version"],
-        F.when(F.col("__held"), F.coalesce("__version", F.lit(0)) + 1).cast("int").alias("version"),
-        F.when(F.col("__held"), "replaced").otherwise("missing").alias("status"))
+        F.when(F.col("__held"), F.coalesce("__version", F.lit(0)) + F.col("__place")).cast("int").alias("version"),
+        F.when(F.col("__held"), F.when(F.col("__last"), "replaced").otherwise("superseded")).otherwise("missing").alias("status"))
 
 
 def patch_status(exists: Column, version: Column, updated_at: Column, expected: Column, submitted: Column, field_names: Column) -> Column:
@@ -245,11 +309,30 @@ def patch_status(exists: Column, version: Column, updated_at: Column, expected:
             .when(~F.coalesce(usable, F.lit(False)), "invalid").otherwise("applied"))
 
 
-def patch_listing(stored: DataFrame, patches: DataFrame) -> DataFrame:
-    """Outcome per patch plus the patched text fields.
+def patch_listing(stored: DataFrame, patches: DataFrame, now: Column | None = None, order: str = "submitted_at") -> DataFrame:
+    """Outcome per patch plus the listing as it is after that patch.
 
     ``patches``: id, expected_version, submitted_at, fields (names that are set) and one new_<field>
-    column per field that can be set."""
+    column per field that can be set.  Patches of one id are applied in their order, each against the
+    version the ones before it left; an applied patch sets the time of the listing to ``now``."""
+    ranked = patches.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(F.col(order).asc_nulls_first(), F.monotonically_increasing_id())))
+    ensure_checkpoint_dir(stored.sparkSession)
+    ranked = ranked.checkpoint()
+    now = F.current_timestamp() if now is None else now
+    state = stored.join(ranked.select("id").distinct(), "id", "left_semi")
+    out, turn = None, 1
+    while True:
+        asked = ranked.where(F.col("__n") == turn).drop("__n")
+        done = _patched(state, asked, now).checkpoint()
+        out = done if out is None else out.unionByName(done)
+        turn += 1
+        if ranked.where(F.col("__n") == turn).isEmpty():
+            return out
+        state = done.where("status <> 'missing'").drop("status")
+
+
+def _patched(stored: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
+    """One patch per id."""
     joined = patches.join(stored.withColumn("__held", F.lit(True)), "id", "left")
     status = patch_status(F.col("__held"), F.col("version"), F.col("updated_at"), F.col("expected_version"),
                           F.col("submitted_at"), F.col("fields"))
@@ -259,10 +342,15 @@ def patch_listing(stored: DataFrame, patches: DataFrame) -> DataFrame:
     for name in stored.columns:
         if f"new_{name}" in joined.columns and name in fv.PATCHABLE_FIELDS:
             value = F.col(f"new_{name}")
-            value = tx.clean_description_ingest(value) if name == "description" else value
+            if name == "description":
+                value = tx.clean_description_ingest(value)
+            elif name == "attributes":
+                value = at.salary_sanitize(value)
             out.append(F.when(applied & F.array_contains("fields", name), value).otherwise(F.col(name)).alias(name))
         elif name == "version":
             out.append(F.when(applied, F.coalesce("version", F.lit(0)) + 1).otherwise(F.col("version")).cast("int").alias("version"))
+        elif name == "updated_at":
+            out.append(F.when(applied, now).otherwise(F.col(name)).cast("timestamp").alias(name))
         else:
             out.append(F.col(name))
     return joined.select(*out, "status")

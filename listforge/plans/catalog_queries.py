@@ -59,8 +59,8 @@ def apply_source_overrides(t):
     return out.select("name", "base_url", "schedule", "strategy", F.col("extra_config")["pages"].alias("pages"), F.try_element_at("extra_config", F.lit("proxy_pool")).alias("proxies"))
 
 
-@query("find_or_create_source", """SELECT name FROM (SELECT lower(min(n)) AS k, min(n) AS name FROM (SELECT CASE WHEN trim(c_mktsegment) = '' THEN 'unknown' WHEN c_nationkey % 6 = 0 THEN 'unknown'
-WHEN c_nationkey % 2 = 0 THEN c_mktsegment ELSE 'NATION_' || c_nationkey END AS n FROM customer) GROUP BY lower(n)) WHERE k NOT IN (SELECT name FROM sources_v)""", S)
+@query("find_or_create_source", """SELECT (SELECT max(id) FROM sources_v) + row_number() OVER (ORDER BY k) AS id, k AS name FROM (SELECT DISTINCT lower(n) AS k FROM (SELECT CASE WHEN trim(c_mktsegment) = '' THEN 'unknown' WHEN c_nationkey % 6 = 0 THEN 'unknown'
+WHEN c_nationkey % 2 = 0 THEN c_mktsegment ELSE 'NATION_' || c_nationkey END AS n FROM customer)) WHERE k NOT IN (SELECT lower(name) FROM sources_v)""", S)
 def find_or_create_source(t):
     names = t.customer.select(F.expr("CASE WHEN c_nationkey % 6 = 0 THEN ' ' WHEN c_nationkey % 2 = 0 THEN concat(' ', c_mktsegment) ELSE concat('NATION_', c_nationkey) END").alias("name"))
     return ca.find_or_create_source(names, t.sources_v)

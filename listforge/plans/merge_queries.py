@@ -149,6 +149,15 @@ def ingest_batch(t):
     return state.select("url", "title", "price", "currency", "version")
 
 
+@query("ingest_in_batches", INGESTED, SI)
+def ingest_in_batches(t):
+    """The same rows in four batches in order of arrival give the same table as in one."""
+    state, incoming = stored_listings(t), incoming_listings(t)
+    for k in range(4):
+        state = mg.ingest_batch(incoming.where(F.col("row_id") % 4 == k), state, F.lit(NOW)).checkpoint()
+    return state.select("url", "title", "price", "currency", "version")
+
+
 @query("upsert_listings", f"""WITH {RESOLVED} SELECT (SELECT count(*) FROM stored_v) + (SELECT count(*) FROM res WHERE match_id IS NULL) AS n,
 (SELECT max(id) FROM stored_v) + (SELECT count(*) FROM res WHERE match_id IS NULL) AS max_id, (SELECT count(*) FROM stored_v) + (SELECT count(*) FROM res WHERE match_id IS NULL) AS ids""", SI)
 def upsert_listings(t):
@@ -223,13 +232,16 @@ def existing_ids(t):
     return mg.existing_ids(t.stored_v, t.incoming_v.select((F.col("row_id") * 3).alias("id")))
 
 
-@query("envelope_json", """SELECT id, json_extract_string(d, '$.url') AS url, json_extract_string(d, '$.t') AS title, 'jobs' AS category, '{}' AS location
-FROM (SELECT id, to_json({'url': url, 't': title}) AS d FROM stored_v)""", ("stored_v",))
+@query("envelope_json", """SELECT id, url, title, description, price, city, link AS links, dedupe_key AS dedupe, version * 0 AS category_id, 'jobs' AS category, '{}' AS location,
+'title,description,price,currency,state,city,zip_code,street,contact_name,contact_phone,contact_email,images,videos,documents,links,attributes,location' AS names FROM stored_v""", ("stored_v",))
 def envelope_json(t):
     df = tb.envelope_json(stored_listings(t).withColumn("source_name", F.lit("s")), "jobs")
     d = F.col("document")
-    return df.select("id", F.get_json_object(d, "$.url").alias("url"), F.get_json_object(d, "$.scraped_data.title").alias("title"),
-                     F.get_json_object(d, "$.category.name").alias("category"), F.get_json_object(d, "$.scraped_data.location").alias("location"))
+    get = lambda path: F.get_json_object(d, path)
+    return df.select("id", get("$.url").alias("url"), get("$.scraped_data.title").alias("title"), get("$.scraped_data.description").alias("description"),
+                     get("$.scraped_data.price").cast("double").alias("price"), get("$.scraped_data.city").alias("city"), get("$.scraped_data.links[0]").alias("links"),
+                     get("$.scraped_data.attributes.dedupe_key").alias("dedupe"), get("$.category.id").cast("int").alias("category_id"), get("$.category.name").alias("category"),
+                     get("$.scraped_data.location").alias("location"), F.array_join(F.json_object_keys(get("$.scraped_data")), ",").alias("names"))
 
 
 @query("read_evolved_schema", """SELECT id, url, title, currency, version FROM (SELECT id, url, title, 'BRL' AS currency, 1 AS version FROM stored_v

@@ -198,10 +198,11 @@ def _requests(t):
         F.col("l_partkey").alias("item_id"))
 
 
-@query("enqueue_new", f"""WITH {REQUESTS_SQL} SELECT f.source_name, f.url, f.pos, 'queued' AS status FROM first f
+@query("enqueue_new", f"""WITH {REQUESTS_SQL} SELECT (SELECT max(id) FROM queue_v) + row_number() OVER (ORDER BY f.pos) AS id, f.source_name, f.url, f.pos, 'queued' AS status, 0 AS attempts,
+{NOW_SQL} AS created_at FROM first f
 WHERE NOT EXISTS (SELECT 1 FROM active a WHERE a.source_name = f.source_name AND a.url = f.url)""", Q)
 def enqueue_new(t):
-    return qu.enqueue_new(_requests(t), t.queue_v).select("source_name", "url", "pos", "status")
+    return qu.enqueue_new(_requests(t), t.queue_v, F.lit(NOW)).select("id", "source_name", "url", "pos", "status", "attempts", "created_at")
 
 
 @query("enqueue_report", f"""WITH {REQUESTS_SQL}, fresh AS (SELECT count(*) AS n FROM first f
@@ -245,7 +246,8 @@ CASE WHEN NOT (found OR gone) THEN coalesce(raised, 'Scraper não retornou item
 gone AND NOT found AS delete_item FROM r WHERE status = 'queued'""", Q)
 def process_queue(t):
     pending = _queue(t).where("status = 'queued'")
-    return qu.process_queue(pending, _outcomes(t), F.lit(NOW)).select("id", "status", "attempts", "last_error", "delete_item")
+    outcomes = _outcomes(t)
+    return qu.process_queue(pending, outcomes.unionByName(outcomes), F.lit(NOW)).select("id", "status", "attempts", "last_error", "delete_item")
 
 
 # --- messages and offsets ------------------------------------------------------------------

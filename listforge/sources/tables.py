@@ -106,27 +106,33 @@ def save_offsets(stored: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def chat_messages_since(messages: DataFrame, offsets: DataFrame, lookback: int) -> DataFrame:
-    """Messages above the stored offset, the newest `lookback` of every chat, oldest first.
+    """Messages above the stored offset, the newest `lookback` of every chat, oldest first.  A chat is
+    named by source and id, where both sides have the source.
 
     The cut is a rank of distinct ids per chat; Spark filters it before the shuffle (each task
     keeps at most `lookback` rows per chat), so a very busy chat is reduced map-side."""
     from pyspark.sql import Window
 
-    fresh = messages.join(offsets.select("chat_id", "last_message_id"), "chat_id", "left").where(
+    keys = [c for c in ("source_name", "chat_id") if c in messages.columns and c in offsets.columns]
+    marks = offsets.groupBy(*keys).agg(F.max("last_message_id").alias("last_message_id"))
+    fresh = messages.join(marks, keys, "left").where(
         F.col("last_message_id").isNull() | (F.col("message_id") > F.col("last_message_id"))).drop("last_message_id")
-    newest = Window.partitionBy("chat_id").orderBy(F.col("message_id").desc())
+    newest = Window.partitionBy(*keys).orderBy(F.col("message_id").desc())
     return fresh.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= lookback).drop("rn")
 
 
 def envelope_json(listings: DataFrame, category: str) -> DataFrame:
-    """Listing -> nested contract document; a null location is written as an empty object."""
-    body = [c for c in ("title", "description", "price", "currency", "state", "city", "zip_code", "street",
-                        "contact_name", "contact_phone", "contact_email", "images", "videos", "documents", "links",
-                        "attributes") if c in listings.columns]
-    location = F.coalesce(F.col("location"), F.struct(F.lit(None).cast("double").alias("latitude"),
-                                                      F.lit(None).cast("double").alias("longitude")))
+    """Listing -> nested contract document with every field, absent ones as null; a null location is
+    written as an empty object."""
+    kinds = {"price": "double"} | {n: "array<string>" for n in ("images", "videos", "documents", "links")} | {"attributes": "map<string,string>"}
+    body = [(F.col(c) if c in listings.columns else F.lit(None).cast(kinds.get(c, "string"))).alias(c) for c in (
+        "title", "description", "price", "currency", "state", "city", "zip_code", "street", "contact_name", "contact_phone", "contact_email",
+        "images", "videos", "documents", "links", "attributes")]
+    category_id = F.col("category_id") if "category_id" in listings.columns else F.lit(0)
+    point = F.create_map(F.lit("latitude"), F.col("location.latitude"), F.lit("longitude"), F.col("location.longitude"))
+    location = F.when(F.col("location").isNotNull(), point).otherwise(F.create_map().cast("map<string,double>"))
     document = F.struct(
         F.col("url"), F.struct(F.col("source_id").alias("id"), F.col("source_name").alias("name")).alias("source"),
-        F.struct(F.lit(category).alias("name")).alias("category"),
+        F.struct(category_id.alias("id"), F.lit(category).alias("name")).alias("category"),
         F.struct(*body, location.alias("location")).alias("scraped_data"))
-    return listings.select("id", F.to_json(document).alias("document"))
+    return listings.select("id", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))
