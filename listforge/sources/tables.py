@@ -6,6 +6,9 @@ state is written into its own version folder; a small pointer file then names th
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listforge.session import configure
@@ -34,35 +37,75 @@ def _pointer(spark: SparkSession, root: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
+def pointer(spark: SparkSession, root: str) -> dict | None:
+    """What _CURRENT says: version, the version before it, and the stream and batch that wrote it."""
     fs, path = _pointer(spark, root)
     if not fs.exists(path):
         return None
     stream = fs.open(path)
     try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     finally:
         stream.close()
 
 
+def current_version(spark: SparkSession, root: str) -> str | None:
+    found = pointer(spark, root)
+    return found and found["version"]
+
+
 def read_table(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Current state of a versioned table; an empty frame before the first version."""
+    """Current state of a versioned table; an empty frame before the first version.  A version that is
+    named but gone is an error."""
     version = current_version(spark, root)
     if version is None:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{version}")
 
 
-def publish(df: DataFrame, root: str, version: str, partition_by: list[str] | None = None) -> None:
-    """Write a version and make it current.  The pointer changes only after the data is complete,
-    and writing the same version again (a replayed batch) gives the same state."""
-    spark = df.sparkSession
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root.rstrip('/')}/{version}")
+def state_before(spark: SparkSession, root: str, schema: str, owner: str, batch_id: int) -> DataFrame:
+    """The state a batch starts from: the current version, whoever wrote it, or the one before it when the
+    current one is this very batch's (a replay).  Without a pointer the seed folder, else nothing."""
+    root, found = root.rstrip("/"), pointer(spark, root)
+    if found is None:
+        fs, _ = _pointer(spark, root)
+        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/seed")):
+            return spark.createDataFrame([], schema)
+        version = "seed"
+    else:
+        replayed = found.get("owner") == owner and found.get("batch") == batch_id
+        version = found["before"] if replayed else found["version"]
+        if version is None:
+            return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/{version}")
+
+
+def publish(df: DataFrame, root: str, version: str, partition_by: list[str] | None = None, owner: str | None = None, batch_id: int | None = None) -> None:
+    """Write a version and make it current.
+
+    The pointer is written beside its place and renamed over it when the data is complete, so a reader
+    sees the old state or the new one.  A replayed batch writes its version again.  Versions older than
+    the one before go, so that a stream keeps two."""
+    spark, root = df.sparkSession, root.rstrip("/")
+    found = pointer(spark, root)
+    replayed = found is not None and found["version"] == version
     fs, path = _pointer(spark, root)
-    out = fs.create(path, True)
-    out.write(bytearray(version, "utf-8"))
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    before = found["before"] if replayed else found["version"] if found else "seed" if fs.exists(fs_path(f"{root}/seed")) else None
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root}/{version}")
+    beside = fs_path(f"{root}/_CURRENT.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    out.write(bytearray(json.dumps({"version": version, "before": before, "owner": owner, "batch": batch_id}), "utf-8"))
     out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration())
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(fs.makeQualified(beside), fs.makeQualified(path), options)
+    old = found["before"] if found and not replayed else None
+    if old not in (None, "seed", version, before):
+        fs.delete(fs_path(f"{root}/{old}"), True)
 
 
 def read_evolved_schema(layouts: list[DataFrame], schema: str, defaults: dict[str, object],
@@ -88,14 +131,16 @@ def read_evolved_schema(layouts: list[DataFrame], schema: str, defaults: dict[st
     return union.select(*out)
 
 
-def append_run_history(runs: DataFrame, path: str) -> None:
-    """Append-only, one folder per local day of the run."""
-    out = runs.withColumn("trigger", F.coalesce(F.nullif(F.lower(F.trim("trigger")), F.lit("")), F.lit("scheduled")))
-    out.withColumn("day", F.to_date("executed_at")).write.mode("append").partitionBy("day").parquet(path)
+def append_run_history(runs: DataFrame, path: str, batch: str) -> None:
+    """History rows of one named batch, by day of the run; the same batch again replaces itself."""
+    out = run_history_rows(runs).withColumn("day", F.to_date("executed_at"))
+    out.write.mode("overwrite").partitionBy("day").parquet(f"{path.rstrip('/')}/batch={batch}")
 
 
 def run_history_rows(runs: DataFrame) -> DataFrame:
-    return runs.withColumn("trigger_kind", F.coalesce(F.nullif(F.lower(F.trim("trigger_kind")), F.lit("")), F.lit("scheduled")))
+    """Rows as the history keeps them: a blank trigger means scheduled."""
+    name = "trigger_kind" if "trigger_kind" in runs.columns else "trigger"
+    return runs.withColumn(name, F.coalesce(F.nullif(F.lower(F.trim(name)), F.lit("")), F.lit("scheduled")))
 
 
 def save_offsets(stored: DataFrame, seen: DataFrame) -> DataFrame:

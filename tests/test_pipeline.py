@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from listforge.operators import merge as mg
@@ -100,10 +101,65 @@ def test_ingest_merges_and_is_replay_safe(spark, tmp_path):
 
 def test_run_history_is_partitioned_by_day(spark, tmp_path):
     runs = spark.createDataFrame([(1, " Manual ", "2024-01-01 10:00:00"), (2, None, "2024-01-02 10:00:00")], "id long, trigger string, executed_at string")
-    tb.append_run_history(runs.withColumn("executed_at", F.col("executed_at").cast("timestamp")), str(tmp_path / "h"))
+    for _ in range(2):  # the same batch again replaces itself
+        tb.append_run_history(runs.withColumn("executed_at", F.col("executed_at").cast("timestamp")), str(tmp_path / "h"), "b0")
     got = spark.read.parquet(str(tmp_path / "h"))
     assert {r.id: r.trigger for r in got.collect()} == {1: "manual", 2: "scheduled"}
-    assert got.select("day").distinct().count() == 2
+    assert got.select("day").distinct().count() == 2 and got.count() == 2
+
+
+def messages_stream(spark, folder, rows):
+    spark.createDataFrame(rows, "chat_id string, message_id long").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema("chat_id string, message_id long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def test_second_stream_goes_on_from_the_table(spark, tmp_path):
+    """A stream with progress of its own starts from the table as it is, not from nothing."""
+    from listforge.streaming import streams as st
+
+    folder = str(tmp_path)
+    st.stream_messages(messages_stream(spark, f"{folder}/a", [("c", 1), ("c", 5)]), "s", f"{folder}/out", f"{folder}/cp1").awaitTermination()
+    st.stream_messages(messages_stream(spark, f"{folder}/b", [("c", 4), ("c", 6), ("d", 1)]), "s", f"{folder}/out", f"{folder}/cp2").awaitTermination()
+    assert sorted((r.chat_id, r.message_id) for r in spark.read.parquet(f"{folder}/out/messages").collect()) == [("c", 1), ("c", 5), ("c", 6), ("d", 1)]
+    assert {r.chat_id: r.last_message_id for r in tb.read_table(spark, f"{folder}/out/offsets", st.OFFSETS).collect()} == {"c": 6, "d": 1}
+
+
+def test_replayed_batch_and_lost_version(spark, tmp_path):
+    root, frame = str(tmp_path / "t"), lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    for owner, batch, ids in (("a", 0, (1,)), ("a", 1, (1, 2)), ("a", 1, (1, 2)), ("b", 0, (1, 2, 3))):
+        before = sorted(r.id for r in tb.state_before(spark, root, "id long", owner, batch).collect())
+        assert before == list(ids[:-1])
+        tb.publish(frame(*ids), root, f"v-{owner}-{batch}", owner=owner, batch_id=batch)
+    assert tb.pointer(spark, root)["before"] == "v-a-1" and not (tmp_path / "t" / "v-a-0").exists()
+    import shutil
+
+    shutil.move(str(tmp_path / "t" / "v-b-0"), str(tmp_path / "elsewhere"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tb.state_before(spark, root, "id long", "b", 1).collect()
+
+
+def test_late_runs_are_counted(spark, tmp_path):
+    from listforge.streaming import streams as st
+
+    shape = "id long, executed_at timestamp, status string, success boolean, scraped_count int"
+    rows = spark.createDataFrame([(1, "2024-01-31 10:00:00", "SUCCESS", True, 5), (2, "2024-01-02 10:00:00", "ERROR", False, 0), (3, "2024-01-31 12:00:00", "SUCCESS", True, 7)],
+                                 shape.replace("timestamp", "string")).withColumn("executed_at", F.col("executed_at").cast("timestamp"))
+    for i in (1, 3, 2):
+        rows.where(F.col("id") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    st.stream_run_rollup(stream, str(tmp_path / "table"), str(tmp_path / "cp")).awaitTermination()
+    got = {str(r.start)[:10]: (r.runs, r.extracted, r.failures) for r in tb.read_table(spark, str(tmp_path / "table"), st.ROLLUP).collect()}
+    assert got == {"2024-01-31": (2, 12, 0), "2024-01-02": (1, 0, 1)}
+
+
+def test_first_seen_over_batches(spark, tmp_path):
+    from listforge.streaming import streams as st
+
+    stream = messages_stream(spark, str(tmp_path), [("c", 1), ("c", 2)])
+    for rows in ([("c", 3), ("d", 1)], [("d", 2), ("e", 1)]):
+        stream = messages_stream(spark, str(tmp_path), rows)
+    st.stream_first_seen(stream, "chat_id", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.chat_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["c", "d", "e"]
 
 
 def test_filters_reach_the_scan(spark, tmp_path):
