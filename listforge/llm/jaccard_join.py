@@ -12,15 +12,17 @@ regions behind their own.  Regions of one class fall away, and so do sets that m
 regions, which leaves little more than the sets that have links.
 
 *Recursion.*  In each region a document becomes the pivot and its distance to the others is taken exactly.
-What lies within ``eps`` of it is one component and is not compared again among itself; the rest goes on
-with further pivots, from the smaller components first, and by the triangle inequality only pairs whose
-distances to the region's first pivot differ by at most ``eps`` (and whose sizes allow a link at all) are
-compared.  A region ends when it holds one component.  A group of copies of any size so costs one
-comparison a member, and no step puts a region into one task.
+What lies within ``eps`` of it is one component and is not compared again among itself, so a group of near
+copies costs one comparison a member.  Regions that hold one component are done.  Of the rest, small ones
+compare their members; large ones split again, with the empty set as the pivot: by the triangle inequality
+two linked sets differ in size by a share of ``eps``, which gives rings and the guests of a ring.  A ring
+that still holds several components is compared in pairs of tiles of bounded size, each a piece of work
+of its own that returns spanning links, so no step puts a region into one task or writes out its pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +30,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from listforge.llm.common import byte_slices, mix, stored
 from listforge.llm.components import components
+from listforge.llm.embedding_dedup import spanning
 from listforge.llm.lm_scoring import tokens_of
 
-BITS, CHUNKS, PIVOTS = 22, 32, 32
+BITS, CHUNKS = 22, 32
+SMALL, TILE = 48, 256
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -192,30 +195,81 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def link_classes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``node, label`` of the classes that have a link, over all regions."""
-    eps = 1 - percent / 100 + 1e-9
-    pair = lambda: [F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b")]
+    pair = [F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b")]
     pivots = rows.groupBy("key").agg(F.min(F.struct("n", "sid")).alias("p")).select("key", F.col("p.sid").alias("psid"), F.col("p.n").alias("pn"))
     first = rows.join(stored(pivots, "pivots"), "key").filter(F.col("sid") != F.col("psid"))
-    done = compared(first.filter(allowed(percent)).select(*pair()).distinct(), sets, percent)
-    near = done.select("a", "b", "d")
-    rows = stored(first.withColumns({"a": F.least("sid", "psid"), "b": F.greatest("sid", "psid")}).join(near, ["a", "b"], "left")
-                  .select("key", "sid", "n", "d"), "region-rows")
-    while True:
-        labels = components(done.filter("linked"))
-        named = rows.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        rows = stored(named.join(stored(mixed, "mixed"), "key", "left_semi"), "region-rows")
-        if rows.isEmpty():
-            return labels
-        weight = stored(rows.groupBy("key", "label").agg(F.count("*").alias("w")), "weights")
-        order = Window.partitionBy("key").orderBy("w", "n", "sid")
-        pivots = stored(rows.join(weight, ["key", "label"]).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PIVOTS)
-                        .select("key", F.col("sid").alias("psid"), F.col("n").alias("pn"), F.col("label").alias("plabel"), F.col("d").alias("pd")), "pivots")
-        apart = F.abs(F.col("d") - F.col("pd")) <= eps
-        pairs = (rows.join(pivots, "key").filter((F.col("label") != F.col("plabel")) & allowed(percent) & F.coalesce(apart, F.lit(True)))
-                 .select(*pair()).distinct().join(done, ["a", "b"], "left_anti"))
-        done = stored(done.unionByName(compared(pairs, sets, percent)), "compared")
-        rows = rows.join(pivots.select("key", F.col("psid").alias("sid")), ["key", "sid"], "left_anti").select("key", "sid", "n", "d")
+    done = compared(first.filter(allowed(percent)).select(*pair).distinct(), sets, percent)
+    labels = components(done.filter("linked"))
+    named = rows.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", "size")
+    rest = stored(named.join(stored(mixed, "mixed"), "key"), "rest")
+    few = rest.filter(F.col("size") <= SMALL)
+    other = few.select("key", F.col("sid").alias("psid"), F.col("n").alias("pn"), F.col("label").alias("plabel"))
+    close = (few.join(other, "key").filter((F.col("sid") < F.col("psid")) & (F.col("label") != F.col("plabel")) & allowed(percent))
+             .select(*pair).distinct().join(done, ["a", "b"], "left_anti"))
+    more = compared(close, sets, percent)
+    tiled = tile_links(rest.filter(F.col("size") > SMALL), sets, percent)
+    links = done.filter("linked").select("a", "b").unionByName(more.filter("linked").select("a", "b")).unionByName(tiled)
+    return components(links)
+
+
+def tile_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links that span the components within large regions (``key, sid, n, label``).
+
+    Regions that share members are one.  Its sets go into rings by size, the distance to the empty set,
+    each ring one link wide, so a set meets its own ring and, as a guest, the one below.  A ring that holds
+    one component is done; the others are cut into tiles, and each pair of tiles is one piece of work."""
+    hub = rows.groupBy("key").agg(F.min("sid").alias("b"))
+    area = components(rows.join(stored(hub, "hubs"), "key").filter(F.col("sid") != F.col("b")).select(F.col("sid").alias("a"), "b").distinct())
+    members = rows.select("sid", "n", "label").distinct().join(area.withColumnRenamed("node", "sid").withColumnRenamed("label", "area"), "sid")
+    ring = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) - 1e-9).cast("int")
+    placed = stored(members.select("*", F.explode(F.array(F.struct(ring.alias("ring"), F.lit(True).alias("own")), F.struct((ring - 1).alias("ring"), F.lit(False).alias("own")))).alias("r"))
+                    .select("area", "r.ring", "r.own", "sid", "label"), "rings")
+    rings = stored(placed.groupBy("area", "ring").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if("own").alias("owned"))
+                   .filter("lo <> hi and owned > 0").select("area", "ring", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "ring-sizes")
+    cut = placed.join(rings, ["area", "ring"]).withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
+    work = (cut.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+            .select("area", "ring", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "own", "sid").join(sets, "sid"))
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        table = table.sort_by("sid")
+        sids, tiles, own = (table.column(c).to_numpy() for c in ("sid", "tile", "own"))
+        items = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("items")]
+        i, j = np.flatnonzero(tiles == x), np.flatnonzero(tiles == y)
+        both = overlaps([items[k] for k in i], [items[k] for k in j])
+        n = np.array([len(v) for v in items])
+        hit = 100 * both >= percent * (n[i][:, None] + n[j][None, :] - both)
+        hit &= own[i][:, None] | own[j][None, :]
+        a, b = np.nonzero(np.triu(hit, 1) if x == y else hit)
+        root = spanning(i[a], j[b], len(sids))
+        some = np.flatnonzero(root != np.arange(len(sids)))
+        return pa.table({"a": sids[some], "b": sids[root[some]]})
+
+    return stored(work.groupBy("area", "ring", "x", "y").applyInArrow(run, "a long, b long").distinct(), "tile-links")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of 0/1 matrices over the items both sides have."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right)) if left and right else np.zeros(0, np.uint64)
+    out = np.zeros((len(left), len(right)), np.int64)
+    where = []
+    for side in (left, right):
+        row = np.repeat(np.arange(len(side)), [len(v) for v in side])
+        flat = np.concatenate(side) if side else np.zeros(0, np.uint64)
+        at = np.minimum(np.searchsorted(shared, flat), max(0, len(shared) - 1))
+        there = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        order = np.argsort(at[there], kind="stable")
+        where.append((row[there][order], at[there][order]))
+    for start in range(0, len(shared), width):
+        parts = []
+        for (row, at), side in zip(where, (left, right)):
+            lo, hi = np.searchsorted(at, [start, start + width])
+            m = np.zeros((len(side), min(width, len(shared) - start)), np.float32)
+            m[row[lo:hi], at[lo:hi] - start] = 1
+            parts.append(m)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
 
 
 def join_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:

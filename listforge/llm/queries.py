@@ -110,3 +110,51 @@ summed AS (
   FROM placed)
 SELECT doc_id, source, n_tokens, epoch, block, block_start, place FROM summed WHERE upto <= budget
 """
+
+
+ORACLES["op4_jaccard_join"] = r"""
+WITH toks AS (
+  SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM toks),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c
+  FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs WHERE 100 * c >= 85 * (nx + ny - c)),
+two_way AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  WITH RECURSIVE r AS (SELECT x AS start, y AS node FROM two_way UNION SELECT r.start, b.y FROM r JOIN two_way b ON b.x = r.node)
+  SELECT start, min(node) AS least FROM r GROUP BY start)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(r.least, s.doc_id)) AS component_id FROM sets s LEFT JOIN reach r ON r.start = s.doc_id
+"""
+
+ORACLES["op7_personal_data"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+hits AS (
+  SELECT doc_id, text, k.rank, k.kind, regexp_split_to_array(text, k.p) AS gaps, regexp_extract_all(text, k.p) AS hits
+  FROM t, (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
+    (2, 'card', '[0-9](?:[\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'),
+    (4, 'iban', '\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b')) k(rank, kind, p)),
+each AS (
+  SELECT doc_id, rank, kind, hits[i] AS hit,
+    (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM hits)),
+coded AS (SELECT *, start + length(hit) AS stop, regexp_replace(hit, '[^0-9]', '', 'g') AS d, replace(hit, ' ', '') AS bare FROM each),
+good AS (
+  SELECT doc_id, rank, kind, start, stop FROM coded WHERE CASE kind WHEN 'email' THEN TRUE
+    WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) > 3 OR ('0' || left(ltrim(x, '0'), 3))::INTEGER > 255)) = 0
+    WHEN 'card' THEN length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(0, length(d)), lambda i:
+      CASE WHEN i % 2 = 0 THEN d[length(d) - i]::INTEGER WHEN d[length(d) - i]::INTEGER > 4 THEN d[length(d) - i]::INTEGER * 2 - 9 ELSE d[length(d) - i]::INTEGER * 2 END)) % 10 = 0
+    WHEN 'phone' THEN length(d) BETWEEN 9 AND 15
+    ELSE list_reduce(list_prepend(0, list_transform(string_split(bare[5:] || bare[:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INTEGER ELSE ascii(c) - 55 END)),
+      lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1 END),
+joined AS (
+  SELECT doc_id, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 4) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM good GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN joined j ON j.doc_id = t.doc_id
+"""

@@ -188,8 +188,11 @@ def test_jaccard_components_equal_brute_force(docs, texts):
     assert got == linked(texts.items(), 4, 85)
 
 
-def test_jaccard_groups_that_recurse(spark):
+@pytest.mark.parametrize("small, tile", [(48, 256), (4, 8)])
+def test_jaccard_groups_that_recurse(spark, monkeypatch, small, tile):
     """Chains and two groups that share most of a passage: regions need more than one pivot."""
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -421,12 +424,13 @@ def test_exponent_meets_entropy(spark):
     assert seen[limit][1] <= 3.0 < seen[limit - 2.0 ** -mixing.STEPS][1]
 
 
-def test_mixing_equals_sql(spark):
+@pytest.mark.parametrize("name", ["op4_jaccard_join", "op7_personal_data", "op10_mixing"])
+def test_query_equals_sql(spark, name):
     from check import compare, duck_connection
 
     from listforge.llm import queries
 
-    message, _, good = compare(spark, duck_connection(FOLDER), "op10_mixing", queries.QUERIES["op10_mixing"], queries.ORACLES["op10_mixing"], FOLDER)
+    message, _, good = compare(spark, duck_connection(FOLDER), name, queries.QUERIES[name], queries.ORACLES[name], FOLDER)
     assert good, message
 
 
