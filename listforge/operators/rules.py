@@ -13,42 +13,41 @@ from listforge.functions import text as tx
 Rule = tuple[str, int, str, str]
 
 
-def rule_columns(text: Column, rules: list[Rule], anti: list[str]) -> dict[str, Column]:
-    """Building blocks over a normalized text column (it should be a plain column: it is used often)."""
-    signal = sum((F.when(text.contains(p), w).otherwise(0) for p, w, _, _ in rules), F.lit(0))
-    noise = sum((F.when(text.contains(p), 1).otherwise(0) for p in anti), F.lit(0))
-    hits = F.array_compact(F.array(*[F.when(text.contains(p), p.strip()) for p, _, _, _ in rules]))
-    return {"signal": signal, "noise": noise, "keywords": F.array_distinct(hits)}
+def matched(text: Column, phrases: list[str]) -> Column:
+    """Places in the list of the phrases a text contains, in order: every phrase is searched for once."""
+    return F.array_compact(F.array(*[F.when(text.contains(p), F.lit(i)) for i, p in enumerate(phrases)]))
 
 
-def best_label(text: Column, rules: list[Rule], position: int) -> Column:
+def weight_of(found: Column, rules: list[Rule]) -> Column:
+    weights = F.array(*[F.lit(r[1]) for r in rules])
+    return F.aggregate(found, F.lit(0), lambda total, i: total + F.get(weights, i))
+
+
+def best_label(found: Column, rules: list[Rule], position: int) -> Column:
     """Label with the greatest summed weight; on a tie the one whose first matching rule comes first."""
     labels = list(dict.fromkeys(r[position] for r in rules))
-    scored = []
-    for label in labels:
-        own = [(i, r) for i, r in enumerate(rules) if r[position] == label]
-        total = sum((F.when(text.contains(r[0]), r[1]).otherwise(0) for _, r in own), F.lit(0))
-        first = F.coalesce(*[F.when(text.contains(r[0]), -i) for i, r in own])
-        scored.append(F.struct(total.alias("total"), first.alias("first"), F.lit(label).alias("label")))
-    return F.array_max(F.filter(F.array(*scored), lambda s: s["total"] > 0))["label"]
+    numbers = F.array(*[F.lit(labels.index(r[position])) for r in rules])
+    own = F.transform(F.array(*[F.lit(k) for k in range(len(labels))]), lambda k: F.filter(found, lambda i: F.get(numbers, i) == k))
+    scored = F.transform(own, lambda hits, k: F.struct(
+        weight_of(hits, rules).alias("total"), (-F.get(hits, F.lit(0))).alias("first"), F.get(tx.word_table(labels), k).alias("label")))
+    return F.array_max(F.filter(scored, lambda s: s["total"] > 0))["label"]
 
 
 def score_rules(df: DataFrame, text: Column, rules: list[Rule] = fv.SIGNAL_RULES, anti: list[str] = fv.ANTI_PHRASES,
                 min_score: int = fv.FOCUS_MIN_SCORE) -> DataFrame:
-    """Adds score (0-100), focus, subtype, delivery and keywords."""
+    """Adds score (0-100), focus, subtype, delivery and keywords, all from the short array of matching rules."""
     staged = df.withColumn("__text", tx.match_text(text))
-    blocks = rule_columns(F.col("__text"), rules, anti)
-    scored = staged.select("*", blocks["signal"].alias("__signal"), blocks["noise"].alias("__noise"),
-                           blocks["keywords"].alias("__hits"))
-    score = F.greatest(F.lit(0), F.least(F.lit(100), F.col("__signal") - F.least(F.lit(60), F.col("__noise") * 20)))
+    scored = staged.select("*", matched(F.col("__text"), [r[0] for r in rules]).alias("__found"), F.size(matched(F.col("__text"), anti)).alias("__noise"))
+    names = tx.word_table([r[0].strip() for r in rules])
+    score = F.greatest(F.lit(0), F.least(F.lit(100), weight_of(F.col("__found"), rules) - F.least(F.lit(60), F.col("__noise") * 20)))
     scored = scored.withColumn("score", score.cast("int")).withColumn(
-        "focus", (F.size("__hits") > 0) & (F.col("score") >= min_score))
-    focus = F.col("focus")
+        "focus", (F.size("__found") > 0) & (F.col("score") >= min_score))
+    focus, found = F.col("focus"), F.col("__found")
     return scored.select(
         *df.columns, "score", "focus",
-        F.when(focus, best_label(F.col("__text"), rules, 2)).alias("subtype"),
-        F.when(focus, best_label(F.col("__text"), rules, 3)).alias("delivery"),
-        F.when(focus, F.col("__hits")).otherwise(F.array().cast("array<string>")).alias("keywords"))
+        F.when(focus, best_label(found, rules, 2)).alias("subtype"),
+        F.when(focus, best_label(found, rules, 3)).alias("delivery"),
+        F.when(focus, F.array_distinct(F.transform(found, lambda i: F.get(names, i)))).otherwise(F.array().cast("array<string>")).alias("keywords"))
 
 
 def classify_rules_join(df: DataFrame, key: str, text: Column, rules: list[Rule] = fv.SIGNAL_RULES) -> DataFrame:
