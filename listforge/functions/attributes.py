@@ -102,6 +102,24 @@ def typed_attributes(attributes: Column, category: str) -> Column:
     return tx.let(spellings(attributes, category), build)
 
 
+def typed_columns(values: dict[str, Column], category: str) -> Column:
+    """The typed struct of raw attributes whose names are known when the plan is made: every field is
+    built from its own columns, without a map that has to be renamed and searched for each row."""
+    spelled: dict[str, list[Column]] = {}
+    for name, value in values.items():
+        key = name.strip().lower()
+        if key and key not in fv.FORBIDDEN_ATTRIBUTES:
+            spelled.setdefault(fv.ATTRIBUTE_ALIASES.get(key, key), []).append(value)
+    fields = []
+    for key, spec in fv.CATEGORY_ATTRIBUTES[category].items():
+        parsed = [typed_value(key, spec, v) for v in reversed(spelled.get(key, []))]
+        if category == "jobs" and key == "salary_type":
+            parsed += [mo.salary_period(v) for v in spelled.get("salary_range", [])]
+        value = F.coalesce(*parsed) if parsed else F.lit(None)
+        fields.append(value.cast(SPARK_TYPES[kind_of(spec)]).alias(key))
+    return F.struct(*fields)
+
+
 def storage_map(typed: Column, category: str) -> Column:
     """Typed struct -> map<string,string> for storage; absent values have no entry."""
     entries = []
@@ -119,6 +137,12 @@ def raw_location(attributes: Column) -> Column:
     return tx.clean_text(F.try_element_at(hits, F.lit(1))["value"])
 
 
+def raw_location_of(values: dict[str, Column]) -> Column:
+    """The same where the names are known: the first that is not blank."""
+    hits = [F.when(F.trim(v) != "", v) for k, v in values.items() if k.strip().lower() in fv.RAW_LOCATION_ATTRIBUTES]
+    return tx.clean_text(F.coalesce(*hits, F.lit(None).cast("string")))
+
+
 def salary_sanitize(attributes: Column) -> Column:
     """Without a positive salary drop salary_range and salary_type; drop a type that is not known."""
     floor = salary_number(F.try_element_at(attributes, F.lit("salary_range")))

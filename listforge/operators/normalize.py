@@ -14,24 +14,44 @@ PAYLOAD_TYPES = {
     "attributes": "map<string,string>"}
 
 
-def payload(df: DataFrame, keep: tuple[str, ...] = (), **values: Column) -> DataFrame:
-    """Payload row from the given fields; all other fields are absent."""
+class RawAttributes(dict):
+    """Raw attributes by name, as columns."""
+
+    def as_map(self) -> Column:
+        return F.create_map(*[x for k, v in self.items() for x in (F.lit(k), v.cast("string"))])
+
+    def as_struct(self) -> Column:
+        return F.struct(*[v.cast("string").alias(k) for k, v in self.items()])
+
+
+def payload(df: DataFrame, keep: tuple[str, ...] = (), **values: Column | RawAttributes) -> DataFrame:
+    """Payload row from the given fields; all other fields are absent.  Raw attributes are a map and,
+    under ``__raw``, a struct that says which names there are."""
+    raw = values.get("attributes")
+    extra = []
+    if isinstance(raw, RawAttributes):
+        extra, values = [raw.as_struct().alias("__raw")], values | {"attributes": raw.as_map()}
     out = [values[n].cast(k).alias(n) if n in values else F.lit(None).cast(k).alias(n) for n, k in PAYLOAD_TYPES.items()]
-    return df.select(*keep, *out)
+    return df.select(*keep, *out, *extra)
 
 
-def attribute_map(**values: Column) -> Column:
-    """map<string,string> of raw attributes; entries without a value are dropped by the whitelist."""
-    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))])
+def attribute_map(**values: Column) -> RawAttributes:
+    """Raw attributes of a payload; those without a value are dropped."""
+    return RawAttributes(values)
 
 
 def normalize_listings(raw: DataFrame, category: str) -> DataFrame:
     """Contract row: cleaned title and description, city and state completed from the location hint,
     whitelisted and typed attributes (`typed` as a struct, `attributes` as the storage map)."""
-    other = [c for c in raw.columns if c not in PAYLOAD_TYPES]
-    hint = F.coalesce(tx.clean_text(F.col("location_raw")), at.raw_location(F.col("attributes")))
+    other = [c for c in raw.columns if c not in PAYLOAD_TYPES and c != "__raw"]
+    if "__raw" in raw.columns:
+        named = {f.name: F.col(f"__raw.{f.name}") for f in raw.schema["__raw"].dataType.fields}
+        typed, place = at.typed_columns(named, category), at.raw_location_of(named)
+    else:
+        typed, place = at.typed_attributes(F.col("attributes"), category), at.raw_location(F.col("attributes"))
+    hint = F.coalesce(tx.clean_text(F.col("location_raw")), place)
     staged = raw.select(
-        "*", at.typed_attributes(F.col("attributes"), category).alias("typed"),
+        "*", typed.alias("typed"),
         geo.fill_location(F.col("city"), F.col("state"), hint).alias("__place"))
     price = F.col("price")
     if category == "jobs":
