@@ -248,13 +248,17 @@ def _by_partition():
     return Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def ingest_batch(incoming: DataFrame, stored: DataFrame, now: Column, sources: DataFrame | None = None) -> DataFrame:
-    """New state of the listing table: untouched + merged + inserted."""
+def ingest_changes(incoming: DataFrame, stored: DataFrame, now: Column, sources: DataFrame | None = None) -> DataFrame:
+    """The listings a batch changes or adds, as they are after it."""
     folded = fold_merge(merge_targets(prepare_ingest(incoming, sources), stored)).checkpoint()
-    touched = folded.where("match_id is not null").select(F.col("match_id").alias("id"))
-    kept = stored.join(touched, "id", "left_anti")
     merged = merge_listing(stored, folded).withColumn("updated_at", now)
-    return kept.unionByName(merged).unionByName(insert_listing(folded, stored, now))
+    return merged.unionByName(insert_listing(folded, stored, now))
+
+
+def ingest_batch(incoming: DataFrame, stored: DataFrame, now: Column, sources: DataFrame | None = None) -> DataFrame:
+    """New state of the listing table: untouched + merged + inserted."""
+    changed = ingest_changes(incoming, stored, now, sources).checkpoint()
+    return stored.join(changed.select("id"), "id", "left_anti").unionByName(changed)
 
 
 # --- single-row writes ---------------------------------------------------------------------
