@@ -36,7 +36,7 @@ from listforge.llm.components import components
 from listforge.llm.embedding_dedup import spanning
 from listforge.llm.lm_scoring import tokens_of
 
-BITS, CHUNKS = 22, 32
+BITS, CHUNKS, MARKS = 22, 32, 24
 SMALL, TILE = 48, 256
 
 
@@ -112,21 +112,17 @@ def allowed(percent: int):
 
 
 def classes_of(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, text_key, n, sid`` for every row; ``sid`` names its set and is null without shingles."""
+    """``doc_id, n, sid`` for every row; ``sid`` names its set and is null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), k)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "text_key", "n", "sid"])
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "sid"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, n long, sid long")
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sid long")
 
 
 def regions(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -160,17 +156,40 @@ def regions(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return stored(met.join(stored(shared, "shared-pivots"), "key", "left_semi"), "regions")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``sid, items`` of the wanted classes (``sid, doc_id, text_key``), read from one document each."""
+def marks_of(ids: DataFrame) -> np.ndarray:
+    """A bit for each of ``2 ** MARKS`` slots that some of the ids fall into; its size is fixed."""
+    slot = F.shiftrightunsigned("sid", 64 - MARKS)
+
+    def pack(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << 15, np.uint8)
+        bits[table.column("low").to_numpy()] = 1
+        return pa.table({"chunk": table.column("chunk")[:1], "bits": pa.array([np.packbits(bits).tobytes()])})
+
+    got = (ids.select(F.shiftright(slot, 15).cast("int").alias("chunk"), slot.bitwiseAND(F.lit((1 << 15) - 1)).cast("int").alias("low"))
+           .distinct().groupBy("chunk").applyInArrow(pack, "chunk int, bits binary").collect())
+    out = np.zeros((1 << (MARKS - 15), 1 << 12), np.uint8)
+    for r in got:
+        out[r.chunk] = np.frombuffer(bytes(r.bits), np.uint8)
+    return np.unpackbits(out.ravel()).astype(bool)
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``sid, items`` of the wanted classes, and of few others: the texts are read once more, and a set is
+    kept when the slot of its name is marked, so that no text is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(marks_of(ids)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.unpackbits(sent.value)
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("sid"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), k)], pa.binary())], names=["sid", "items"])
+                found = {}
+                for s in shingle_sets(part.column("text"), k):
+                    if len(s) and marks[((sid := set_id(s)) % (1 << 64)) >> (64 - MARKS)]:
+                        found[sid] = s.tobytes()
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["sid", "items"])
 
-    rows = keyed(docs)
-    same = rows.doc_id.eqNullSafe(wanted.doc_id) & (rows.text_key == wanted.text_key)
-    return stored(rows.join(wanted, same).select("sid", "text").mapInArrow(run, "sid long, items binary").dropDuplicates(["sid"]), "sets")
+    return stored(docs.select("text").mapInArrow(run, "sid long, items binary").dropDuplicates(["sid"]), "sets")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -207,7 +226,9 @@ def link_classes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     other = few.select("key", F.col("sid").alias("psid"), F.col("n").alias("pn"), F.col("label").alias("plabel"))
     close = (few.join(other, "key").filter((F.col("sid") < F.col("psid")) & (F.col("label") != F.col("plabel")) & allowed(percent))
              .select(*pair).distinct().join(done, ["a", "b"], "left_anti"))
-    more = compared(close, sets, percent)
+    close = stored(close, "close")
+    ends = stored(close.select(F.col("a").alias("sid")).unionByName(close.select(F.col("b").alias("sid"))).distinct(), "ends")
+    more = compared(close, sets.join(ends, "sid", "left_semi"), percent)
     tiled = tile_links(rest.filter(F.col("size") > SMALL), sets, percent)
     links = done.filter("linked").select("a", "b").unionByName(more.filter("linked").select("a", "b")).unionByName(tiled)
     return components(links)
@@ -280,10 +301,9 @@ def join_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     members = stored(classes_of(docs, k), "classes")
-    reps = stored(members.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("at")), "reps")
+    reps = stored(members.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")), "reps")
     rows = regions(docs, k, percent)
-    wanted = stored(rows.select("sid").distinct().join(reps.select("sid", "at.doc_id", "at.text_key"), "sid"), "wanted")
-    labels = link_classes(rows, sets_of(docs, wanted, k), percent)
+    labels = link_classes(rows, sets_of(docs, rows.select("sid").distinct(), k), percent)
     named = stored(reps.select("sid", "least").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")), "named")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = stored(named.join(least, "label").select("sid", "component_id"), "components")
