@@ -2,6 +2,10 @@
 
 Every stage takes all rows the one before it kept, written as Parquet and read again.  All but the last
 return the columns of ``documents``; the last returns the plan of the mixture, one row for each use of a document.
+
+Rows without text (null, empty or white space) pass the first four stages as they are.  Extra columns and
+nulls in them pass through.  An empty table gives an empty table.  Rows that repeat an id and its text are one
+document: they stay or go together.  Of equal candidates the one with the lower id stays.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; blocks of 25 words or more that an earlier document holds are cut from the later text."""
+    """All documents; blocks of 25 words or more that an earlier document holds are cut from the later text,
+    which may leave it empty."""
     return line_dedup.without_repeats(docs)
 
 
@@ -34,7 +39,7 @@ def drop_benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of sources in which none is used more than 1.25 times."""
+    """The mixture of sources in which none is used more than 1.25 times; a null source is the source ''."""
     return mixing.mix_sources(docs, max_repeats=1.25)
 
 

@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from listforge.session import ensure_checkpoint_dir
 
-SPACE = r"[\x20\x09-\x0D]"
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
@@ -26,10 +23,6 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % n
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in slices of about ``limit`` bytes of ``column``; a longer value is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -48,11 +41,6 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def words(text: bytes) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case."""
-    return text.lower().split()
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (finalizer of splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
