@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from listforge.operators import normalize as nm
 from listforge.plans.registry import NOW, query
+from listforge.session import scratch_folder
 from listforge.sources import feeds as fe, mappings as mp
 
 A = ("amounts_v",)
@@ -28,9 +29,20 @@ def json_bodies(t):
     return good.union(good.select("page", F.concat(F.lit("{broken "), "body")))
 
 
+def _files(t, entry, opening, closing, name, broken=None):
+    """Feed files of a thousand orders each, and one that cannot be read."""
+    folder = scratch_folder(t.spark, name)
+    pages = t.orders.groupBy(F.floor(F.col("o_orderkey") / 1000).alias("page")).agg(F.collect_list(F.expr(entry)).alias("entries"))
+    pages.select("page", F.concat(F.lit(opening), F.array_join("entries", ","), F.lit(closing)).alias("body")).write.partitionBy("page").text(folder)
+    if broken:
+        t.spark.range(1).select(F.lit(-1).alias("page"), F.lit(broken).alias("body")).write.mode("append").partitionBy("page").text(folder)
+    return folder
+
+
 @query("read_json_feed", "SELECT CAST(o_orderkey AS VARCHAR) AS id, 'https://f.example/' || o_orderkey AS url, o_totalprice AS salary_min FROM orders")
 def read_json_feed(t):
-    return fe.parse_json_feed(json_bodies(t)).select("id", "url", "salary_min")
+    folder = _files(t, JSON_ENTRY, '[{"legal":"read the terms"},', "]", "json-feed", '{broken [{"id":"1"}]')
+    return fe.read_json_feed(t.spark, folder).select("id", "url", "salary_min")
 
 
 RSS_ENTRY = """concat('<item><title>Co ', o_custkey, ': ', CASE WHEN o_custkey % 2 = 0 THEN 'Backend Engineer' ELSE 'Nurse' END, '</title><link>https://r.example/', o_orderkey,
@@ -43,7 +55,8 @@ def rss_bodies(t):
 
 @query("read_rss_feed", "SELECT 'https://r.example/' || o_orderkey AS link, CASE WHEN o_custkey % 3 = 0 THEN 'Design' ELSE 'Back-End Programming' END AS category FROM orders")
 def read_rss_feed(t):
-    return fe.parse_rss_feed(rss_bodies(t)).select("link", "category")
+    folder = _files(t, RSS_ENTRY, "<rss><channel>", "</channel></rss>", "rss-feed", "no feed at all")
+    return fe.read_rss_feed(t.spark, folder).select("link", "category")
 
 
 TENDER_ENTRY = """concat('{"numeroControlePNCP":"', lpad(o_orderkey, 14, '1'), '-1-', lpad(o_custkey, 6, '0'), '/2024","numeroCompra":"', o_orderkey, '","objetoCompra":"',
@@ -58,7 +71,8 @@ def tender_bodies(t):
 
 @query("read_paged_api", "SELECT lpad(CAST(o_orderkey AS VARCHAR), 14, '1') || '-1-' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') || '/2024' AS number, CAST(o_orderkey AS VARCHAR) AS notice FROM orders")
 def read_paged_api(t):
-    return fe.parse_paged_api(tender_bodies(t), mp.TENDER_SCHEMA).select(F.col("numeroControlePNCP").alias("number"), F.col("numeroCompra").alias("notice"))
+    folder = _files(t, TENDER_ENTRY, '{"data":[3,', '],"totalPaginas":9}', "paged-api", "{not json")
+    return fe.read_paged_api(t.spark, folder, mp.TENDER_SCHEMA).select(F.col("numeroControlePNCP").alias("number"), F.col("numeroCompra").alias("notice"))
 
 
 @query("extract_job_feed", """SELECT 'https://f.example/' || o_orderkey AS url, 'Senior Python dev ' || o_orderkey AS title, o_totalprice AS price, 'senior' AS seniority, 'clt' AS contract_type, 5 AS years,
@@ -206,11 +220,3 @@ def normalize_listings(t):
     out = nm.normalize_listings(raw, "jobs")
     x = lambda n: F.col(f"typed.{n}")
     return out.select("id", "title", "description", "price", "city", "state", x("salary_range").alias("salary"), x("salary_type"), x("work_model"), x("contract_type"))
-
-
-@query("listing_mappings", """SELECT 'jobs' AS category, 10 AS mappings, (SELECT count(*) FROM pages) AS pages UNION ALL SELECT 'tenders', 1, (SELECT count(*) FROM pages) UNION ALL SELECT 'vehicles', 3, (SELECT count(*) FROM pages)
-UNION ALL SELECT 'properties', 4, (SELECT count(*) FROM pages) UNION ALL SELECT 'auctions', 3, (SELECT count(*) FROM pages) UNION ALL SELECT 'agribusiness', 2, (SELECT count(*) FROM pages) UNION ALL SELECT 'supplements', 1, (SELECT count(*) FROM pages)""")
-def listing_mappings(t):
-    catalog = mp.listing_mappings(t.spark).groupBy("category").agg(F.count(F.lit(1)).alias("mappings"))
-    pages = t.pages.select(F.explode(F.array(*[F.lit(c) for c in ("jobs", "tenders", "vehicles", "properties", "auctions", "agribusiness", "supplements")])).alias("category"))
-    return catalog.join(pages.groupBy("category").agg(F.count(F.lit(1)).alias("pages")), "category").select("category", "mappings", "pages")

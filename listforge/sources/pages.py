@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from listforge import fixed_values as fv
 from listforge.functions import attributes as at, text as tx, urls
 
 INVISIBLE = r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->"
