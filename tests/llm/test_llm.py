@@ -399,6 +399,43 @@ def test_passages_inside_lines_and_moved_blocks(spark):
     assert not any(s in got[2].text for s in a) and got[2].n_cut == 5 and got[3].text == "between\n"
 
 
+def plain_cuts(rows, m=25):
+    """Places of the words that stand in a window of ``m`` words that an earlier row (id, text) holds, by id."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        w = (t or "").encode().split()
+        own = [tuple(w[k:k + m]) for k in range(len(w) - m + 1)]
+        out[i] = {k + j for k, x in enumerate(own) if x in seen for j in range(m)}
+        seen |= set(own)
+    return out
+
+
+def test_cuts_equal_brute_force(spark, docs, texts):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    base = [[word() for _ in range(rng.randint(20, 120))] for _ in range(12)]
+    rows = list(texts.items())
+    for i in range(60):
+        parts = [base[i]] if i < 12 else [p[a:a + rng.randint(10, 60)] for p in rng.choices(base, k=3) for a in [rng.randrange(len(p))]]
+        rows.append((10 ** 6 + i, " ".join(w + rng.choice(["", "", ".", "\n"]) * (i < 12) for p in parts for w in p)))
+    got = {r.doc_id: r for r in line_dedup.cut_lines(spark.createDataFrame(rows, "doc_id long, text string"), 25).collect()}
+    for i, gone in plain_cuts(rows).items():
+        words = (dict(rows)[i] or "").encode().split()
+        assert got[i].text.encode().split() == [w for k, w in enumerate(words) if k not in gone] and got[i].cut_words == len(gone), i
+
+
+def test_copy_whose_lines_stand_apart_in_earlier_texts(spark):
+    """As 2440 and 1978 of sf0.1: every line of a copy has an earlier holder in another order; the copy still goes."""
+    rng = random.Random(11)
+    lines = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(10)) + "." for _ in range(15)]
+    rows = [(1, "\n".join(reversed(lines))), *((2 + i, f"free {i}\n{line}") for i, line in enumerate(lines)), (30, "\n".join(lines)), (31, "\n".join(lines)), (32, "start\n" + "\n".join(lines))]
+    got = {r.doc_id: r for r in line_dedup.cut_lines(spark.createDataFrame(rows, "doc_id long, text string"), 25).collect()}
+    assert got[30].n_cut == 0 and got[31].text == "" and got[31].cut_words == 150 and got[31].earlier == [30] and got[32].text == "start\n"
+    big = documents(spark, "/root/testdata/sf0.1")
+    wide = {r.doc_id: r for r in line_dedup.cut_lines(big.filter("doc_id <= 2440"), 25).collect()}
+    assert wide[2440].text == "" and wide[2440].cut_words == 150
+
+
 # --- mixing -------------------------------------------------------------------------------------
 def test_mixture_keeps_budget_and_limit(docs, odd):
     rows = mixing.mix_sources(docs, max_repeats=1.25).collect()
