@@ -436,6 +436,18 @@ def test_copy_whose_lines_stand_apart_in_earlier_texts(spark):
     assert wide[2440].text == "" and wide[2440].cut_words == 150
 
 
+def test_passages_within_sentences(spark):
+    """Passages that start and end within a sentence, in lines of any length, go to the word."""
+    rng = random.Random(12)
+    some = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    shared, short, mine = some(55), some(24), [some(7) for _ in range(6)]
+    rows = [(1, f"{some(9)} {shared} {some(9)}"), (2, f"{mine[0]} {shared}, {mine[1]}".replace(",", "")), (3, f"{mine[2]}. {mine[3]}\n{shared.replace(' ', chr(10), 3)} {mine[4]}"),
+            (4, f"{some(3)} {short} {some(3)}"), (5, f"{mine[5]} {short}")]
+    got = {r.doc_id: r for r in line_dedup.cut_lines(spark.createDataFrame(rows, "doc_id long, text string"), 25).collect()}
+    assert got[2].text == f"{mine[0]} {mine[1]}" and got[2].cut_words == 55 and got[3].text == f"{mine[2]}. {mine[3]}\n{mine[4]}"
+    assert got[1].n_cut == got[4].n_cut == got[5].n_cut == 0
+
+
 # --- mixing -------------------------------------------------------------------------------------
 def test_mixture_keeps_budget_and_limit(docs, odd):
     rows = mixing.mix_sources(docs, max_repeats=1.25).collect()
