@@ -448,6 +448,17 @@ def test_passages_within_sentences(spark):
     assert got[1].n_cut == got[4].n_cut == got[5].n_cut == 0
 
 
+def test_pieces_of_several_texts_are_no_block(spark):
+    """As 4321 and 5332 of sf0.1: lines that several texts hold singly, or one text holds apart, stay."""
+    rng = random.Random(13)
+    some = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(10)) + "."
+    lines = [some() for _ in range(4)]
+    rows = [*((i, f"{line}\n{some()}") for i, line in enumerate(lines)), (8, "\n".join(x for line in lines for x in (line, some()))), (9, "\n".join(lines)),
+            (10, "\n".join([lines[0], "one unit between", *lines[1:3]]))]
+    got = {r.doc_id: r for r in line_dedup.cut_lines(spark.createDataFrame(rows, "doc_id long, text string"), 25).collect()}
+    assert all(got[i].n_cut == 0 and got[i].text == t for i, t in rows)
+
+
 # --- mixing -------------------------------------------------------------------------------------
 def test_mixture_keeps_budget_and_limit(docs, odd):
     rows = mixing.mix_sources(docs, max_repeats=1.25).collect()
