@@ -23,9 +23,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; blocks of 25 words or more that an earlier document holds are cut from the later text,
-    which may leave it empty."""
-    return line_dedup.without_repeats(docs)
+    """Blocks of 25 words or more that an earlier document holds are cut from the later text; a document that
+    loses all its words goes."""
+    return line_dedup.without_repeats(docs, drop_emptied=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -312,7 +312,11 @@ def join_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows that stay when of every component only the document with the least id does."""
-    joined = join_documents(docs, k, percent)
-    gone = joined.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows that stay when of every component only one document does: that with the least id, null last, and of
+    rows that share an id with different texts that with the least hash.  Rows that repeat id and text stay or go together."""
+    key = F.xxhash64("doc_id", "text")
+    linked = stored(join_documents(docs.select(key.alias("doc_id"), "text"), k, percent).filter("n_shingles > 0").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("component"))
+                    .distinct().join(docs.select(key.alias("__row"), "doc_id").distinct(), "__row"), "linked")
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).getField("__row").alias("kept"))
+    gone = linked.join(first, "component").filter(F.col("__row") != F.col("kept")).select("__row")
+    return docs.withColumn("__row", key).join(gone, "__row", "left_anti").select(docs.columns)

@@ -236,8 +236,9 @@ def cut_lines(docs: DataFrame, min_words: int = 25) -> DataFrame:
     return keyed.mapInArrow(rewrite, "doc_id long, n_cut long, cut_words long, earlier array<long>, text string")
 
 
-def without_repeats(docs: DataFrame, min_words: int = 25) -> DataFrame:
-    """The rows with repeated blocks cut out of ``text``; all other columns stay, ``n_chars`` follows the text."""
+def without_repeats(docs: DataFrame, min_words: int = 25, drop_emptied: bool = False) -> DataFrame:
+    """The rows with repeated blocks cut out of ``text``; all other columns stay, ``n_chars`` follows the text.
+    ``drop_emptied`` leaves out rows that lost all their words; rows that had none stay."""
     found = find_cuts(docs, min_words).select(F.col("row").alias("__row"), F.col("copy").alias("__copy"), F.col("spans").alias("__spans"))
     columns, counted = docs.columns, "n_chars" in docs.columns
 
@@ -252,6 +253,8 @@ def without_repeats(docs: DataFrame, min_words: int = 25) -> DataFrame:
                 k = batch.schema.get_field_index("n_chars")
                 sizes = pc.if_else(pa.array([bool(p) for p in spans]), pc.utf8_length(column).cast(batch.column(k).type), batch.column(k))
                 out = out.set_column(k, batch.schema.field(k), sizes)
+            if drop_emptied:
+                out = out.filter(pa.array([not p or bool(t.strip()) for p, t in zip(spans, column.cast(pa.binary()).to_pylist())], pa.bool_()))
             yield out.select(columns)
 
     return docs.withColumn("__row", row_key()).join(found, "__row", "left").select(*columns, "__copy", "__spans").mapInArrow(rewrite, docs.schema)

@@ -511,3 +511,18 @@ def test_pipeline_stages(spark, odd):
     found = {r.doc_id for r in decontaminate.matches(docs, spark.read.parquet(f"{FOLDER}/benchmark.parquet")).collect()}
     assert not found and all(i == c[1] for i, c in linked([(r.doc_id, r.text) for r in docs.collect()], 5, 80).items())
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+def test_emptied_copies_go_and_repeated_ids_stay(spark):
+    import corpus_pipeline
+
+    own = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(4)]
+    shape = "doc_id long, text string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], shape)
+    copies = frame([(1, own[0]), (2, own[0]), (3, ""), (4, None), (5, "head " + own[0]), (1, own[0])])
+    got = corpus_pipeline.cut_repeated_lines(spark, copies, FOLDER).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == [(1, own[0]), (1, own[0]), (3, ""), (4, ""), (5, "head ")]
+    rows = [(1, own[0]), (2, own[0] + " tail"), (2, own[1]), (3, own[1] + " end"), (4, own[2]), (4, own[2] + " more"), (None, own[2]), (None, own[3]), (5, ""), (6, None), (1, own[0])]
+    got = [(r.doc_id, r.text) for r in jaccard_join.one_of_each(frame(rows), 5, 80).collect()]
+    assert {x for x in got if x[0] != 4} == {(1, own[0]), (2, own[1]), (None, own[3]), (5, ""), (6, None)}
+    assert got.count((1, own[0])) == 2 and sum(i == 4 for i, _ in got) == 1
