@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listforge.llm import decontaminate, embedding_dedup, jaccard_join, line_dedup, lm_scoring, mixing, personal_data, quality, token_counts, toxicity
+from listforge.llm import (decontaminate, embedding_dedup, html_consensus, jaccard_join, lexical_search, line_dedup, lm_scoring, mixing, personal_data,
+                           prefix_trie, quality, token_counts, toxicity)
 from listforge.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +78,21 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, folder), max_repeats=1.25)
 
 
+@query
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_consensus.digest(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.digest(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
 ORACLES["op10_mixing"] = r"""
 WITH rows AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens FROM documents),
@@ -158,3 +174,64 @@ joined AS (
 SELECT t.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN joined j ON j.doc_id = t.doc_id
 """
+# Pages of one family: the article element, up to the end where a page is cut off.
+ORACLES["op11_html_extraction"] = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '</?[a-zA-Z][^>]*$', '') AS inner_html FROM pages),
+b AS (SELECT page_id, url, unnest(string_split(regexp_replace(inner_html, '</?(?:h1|p)>', chr(1), 'g'), chr(1))) AS block, generate_subscripts(string_split(regexp_replace(inner_html, '</?(?:h1|p)>', chr(1), 'g'), chr(1)), 1) AS i FROM a),
+c AS (SELECT page_id, url, i, regexp_replace(block, '</?[a-zA-Z][^>]*>', '', 'g') AS block FROM b),
+e AS (SELECT page_id, url, i, replace(regexp_replace(replace(replace(replace(block, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', chr(1), 'g'), chr(1), '&') AS block FROM c),
+f AS (SELECT page_id, url, i, trim(regexp_replace(block, '[\s\x0B\x1C-\x1F\x{85}\x{A0}]+', ' ', 'g')) AS block FROM e),
+g AS (SELECT page_id, url, string_agg(block, chr(10) ORDER BY i) FILTER (block <> '') AS text FROM f GROUP BY page_id, url)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM g
+"""
+
+ORACLES["op12_lexical_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS t
+  FROM documents),
+tot AS (SELECT count(*) FILTER (len(t) > 0)::BIGINT AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d),
+tf AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM tf, tot GROUP BY term, n_docs),
+q AS (
+  SELECT DISTINCT item_id, unnest(list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term
+  FROM benchmark),
+s AS (
+  SELECT q.item_id, tf.r, any_value(tf.doc_id) AS doc_id, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * (50 + (50 * tf.n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN tf ON tf.term = q.term JOIN w ON w.term = q.term, tot GROUP BY q.item_id, tf.r),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+ORACLES["op13_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS mark,
+    len(list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'m': mark, 'w': words} ORDER BY pos) AS turns FROM t GROUP BY conv_id),
+crc AS (SELECT range AS b, list_reduce(range(0, 9)::UBIGINT[], lambda c, k: CASE WHEN k = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, range::UBIGINT) AS v FROM range(0, 256)),
+tab AS (SELECT list(v ORDER BY b) AS v FROM crc),
+h AS (
+  SELECT conv_id, (xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+      lambda a, c: xor(a >> 8, tab.v[(xor(a, c) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 4)::BIGINT AS h
+  FROM own, tab),
+paths AS (
+  SELECT o.conv_id, coalesce(b.turns, [])[1:h.h] || o.turns[h.h + 1:] AS p
+  FROM own o JOIN h ON h.conv_id = o.conv_id LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+pre AS (
+  SELECT conv_id, d, len(p) AS n, list_transform(p[1:d], lambda x: x.m) AS node, CASE WHEN d > 0 THEN list_transform(p[1:d - 1], lambda x: x.m) END AS parent,
+    CASE WHEN d > 0 THEN p[d].w ELSE 0 END AS words
+  FROM (SELECT *, unnest(range(0, len(p) + 1)) AS d FROM paths)),
+nodes AS (
+  SELECT node, any_value(parent) AS parent, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM pre GROUP BY node, d),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent),
+full_nodes AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.node = n.node),
+up AS (SELECT list_slice(node, 1, k) AS top, n_children, (n_convs - 1) * words AS saving FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM full_nodes)),
+sums AS (SELECT top, count(*) FILTER (n_children = 0) AS n_leaves, sum(saving) AS saved FROM up GROUP BY top)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves,
+  s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN sums s ON s.top = n.node LEFT JOIN full_nodes p ON p.node = n.parent
+"""
