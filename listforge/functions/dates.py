@@ -7,7 +7,11 @@ from pyspark.sql import Column, functions as F
 from listforge import fixed_values as fv
 from listforge.functions import text as tx
 
-ISO_LOCAL = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?(?:Z|[+-]\d{2}:?\d{2})?$"
+# An ISO 8601 text: calendar or week date, plain or compact; after any one character a time; an offset.
+ISO_DATE = r"\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(?:-\d)?|\d{4}W\d{2}\d?"
+ISO_TIME = r"\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?|\d{2}(?:\d{2}(?:[.,]\d+)?)?)?"
+ISO_OFFSET = r"[+-]\d{2}(?::\d{2}(?::\d{2})?|\d{2}(?:\d{2})?)?"
+ISO = rf"^({ISO_DATE})(?:.({ISO_TIME})({ISO_OFFSET})?)?$"
 
 
 def _pattern_of(fmt: str) -> str:
@@ -33,40 +37,60 @@ def _by_formats(raw: Column, formats: list[str]) -> Column:
     return F.coalesce(*[read(f) for f in formats])
 
 
-def _wall_clock(raw: Column) -> Column:
-    """ISO text read as wall-clock time: the offset is cut, as a date does not move with it."""
-    local = F.regexp_replace(raw, r"(?:Z|[+-]\d{2}:?\d{2})$", "")
-    return F.when(raw.rlike(ISO_LOCAL), F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), raw.try_cast("timestamp"))
-                  .otherwise(local.try_cast("timestamp")))
+def _iso_day(text: Column) -> Column:
+    """Date of a calendar or week date; a week without a day means its Monday."""
+    bare = F.replace(text, F.lit("-"), F.lit(""))
+    week = F.substring(bare, 6, 2).cast("int")
+    monday = F.trunc(F.try_to_date(F.concat(F.substring(bare, 1, 4), F.lit("0104")), "yyyyMMdd"), "week")
+    place = F.coalesce(F.nullif(F.substring(bare, 8, 1), F.lit("")).cast("int"), F.lit(1))
+    found = F.date_add(monday, (week - 1) * 7 + place - 1)
+    fits = (F.weekofyear(found) == week) & place.between(1, 7)
+    return F.when(F.contains(bare, F.lit("W")), F.when(fits, found)).otherwise(F.try_to_date(bare, "yyyyMMdd"))
+
+
+def _iso(raw: Column) -> Column:
+    """struct<stamp, offset, shift> of an ISO text: wall clock, offset as text ('' without one) and in seconds; else null."""
+    plain = F.replace(raw, F.lit("Z"), F.lit("+00:00"))
+
+    def read(text: Column) -> Column:
+        parts = F.struct(F.regexp_extract(text, ISO, 1).alias("day"), F.replace(F.regexp_extract(text, ISO, 2), F.lit(":"), F.lit("")).alias("time"),
+                         F.replace(F.regexp_extract(text, ISO, 3), F.lit(":"), F.lit("")).alias("offset"))
+        return F.when(text.rlike(ISO), tx.let(parts, build))
+
+    def build(p: Column) -> Column:
+        number = lambda c, at: F.coalesce(F.nullif(F.substring(c, at, 2), F.lit("")).cast("int"), F.lit(0))
+        seconds = F.concat(F.coalesce(F.nullif(F.substring(p["time"], 5, 2), F.lit("")), F.lit("0")), F.lit("."), F.substring(p["time"], 8, 6), F.lit("0")).cast("decimal(8,6)")
+        hours, minutes, rest = (number(p["offset"], at) for at in (2, 4, 6))
+        sign = F.when(F.startswith(p["offset"], F.lit("-")), -1).otherwise(1)
+        text = F.when(p["offset"] == "", "").otherwise(F.concat(
+            F.substring(p["offset"], 1, 3), F.lit(":"), F.lpad(minutes.cast("string"), 2, "0"), F.when(rest > 0, F.concat(F.lit(":"), F.lpad(rest.cast("string"), 2, "0"))).otherwise("")))
+        valid = (hours < 24) & (minutes < 60) & (rest < 60) & (number(p["time"], 5) < 60)
+        stamp = tx.let(_iso_day(p["day"]), lambda d: F.try_make_timestamp(F.year(d), F.month(d), F.day(d), number(p["time"], 1), number(p["time"], 3), seconds))
+        return F.struct(F.when(valid, stamp).alias("stamp"), text.alias("offset"), (sign * (hours * 3600 + minutes * 60 + rest)).alias("shift"))
+
+    return tx.let(plain, read)
 
 
 def parse_date_multi(c: Column) -> Column:
-    """ISO date text from ISO or one of the known formats, else null."""
+    """ISO date text from ISO or one of the known formats, else null.  A date does not move with an offset."""
     return tx.let(tx.strip_spaces(c), lambda raw: F.date_format(
-        F.coalesce(_wall_clock(raw), _by_formats(raw, fv.DATE_FORMATS)), "yyyy-MM-dd"))
+        F.coalesce(_iso(raw)["stamp"], _by_formats(raw, fv.DATE_FORMATS)), "yyyy-MM-dd"))
 
 
 def parse_datetime_multi(c: Column) -> Column:
     """ISO date-time text without fractions; an offset in the input is kept as text."""
-    return tx.let(tx.strip_spaces(c), _datetime_text)
-
+    def write(raw: Column) -> Column:
+        return tx.let(_iso(raw), lambda i: F.concat(
+            F.date_format(F.coalesce(i["stamp"], _by_formats(raw, fv.DATETIME_FORMATS)), "yyyy-MM-dd'T'HH:mm:ss"),
+            F.when(i["stamp"].isNotNull(), i["offset"]).otherwise("")))
 
-def _datetime_text(raw: Column) -> Column:
-    offset = F.regexp_replace(F.regexp_extract(raw, r"(?<=\d{2}:\d{2}.{0,12})(Z|[+-]\d{2}:?\d{2})$", 1), "Z", "+00:00")
-    offset = F.regexp_replace(offset, r"^([+-]\d{2})(\d{2})$", "$1:$2")
-    stamp = F.coalesce(_wall_clock(raw), _by_formats(raw, fv.DATETIME_FORMATS))
-    return F.concat(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"), offset)
+    return tx.let(tx.strip_spaces(c), write)
 
 
 def to_utc(c: Column) -> Column:
     """Timestamp of an ISO text: offsets are applied, a naive time counts as UTC."""
-    return tx.let(tx.strip_spaces(tx.unescape_basic(c)), _instant)
-
-
-def _instant(raw: Column) -> Column:
-    return F.when(raw.rlike(ISO_LOCAL), F.when(
-        raw.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$") & raw.contains(":"), raw.try_cast("timestamp")
-    ).otherwise(F.concat(raw, F.when(raw.contains(":"), "Z").otherwise("T00:00:00Z")).try_cast("timestamp")))
+    shifted = lambda i: F.timestamp_micros(F.unix_micros(i["stamp"]) - i["shift"].cast("long") * 1_000_000)
+    return tx.let(tx.strip_spaces(tx.unescape_basic(c)), lambda raw: tx.let(_iso(raw), shifted))
 
 
 def iso_utc(ts: Column) -> Column:

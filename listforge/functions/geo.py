@@ -49,7 +49,7 @@ def fill_location(city: Column, state: Column, hint: Column) -> Column:
 @tx.bound
 def maps_coords(c: Column) -> Column:
     """struct<latitude, longitude> from a map link, ranges checked, first pattern that fits."""
-    text = F.replace(F.replace(F.replace(c, F.lit(r"&"), F.lit("&")), F.lit("&amp;"), F.lit("&")),
+    text = F.replace(F.replace(F.replace(c, F.lit(r"\u0026"), F.lit("&")), F.lit("&amp;"), F.lit("&")),
                      F.lit(r"\/"), F.lit("/"))
 
     def by(pattern: str) -> Column:

@@ -129,19 +129,23 @@ def context_window(t):
 
 
 # --- dates -----------------------------------------------------------------------------------
-SHAPES = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "dd/MM/yyyy", "dd-MM-yyyy", "dd/MM/yy", "dd/MM/yyyy HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS'-03:00'", "yyyy/MM"]
+SHAPES = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "dd/MM/yyyy", "dd-MM-yyyy", "dd/MM/yy", "dd/MM/yyyy HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS'-03:00'", "yyyy/MM",
+          "yyyyMMdd", "yyyy-MM-dd'T'HH", "yyyyMMdd'T'HHmmss'+0300'", "WEEK"]
+
+
+WEEK = "concat(extract(yearofweek from d), '-W', lpad(weekofyear(d), 2, '0'), '-', weekday(d) + 1)"
 
 
 def _date_text(shapes=SHAPES, hours="deg % 24"):
+    """One shape for each id; WEEK stands for the ISO week date."""
     ts = F.expr(f"d + make_dt_interval(0, {hours}, mnt, deg % 60)")
-    text = None
+    text = F
     for i, shape in enumerate(shapes):
-        cond = F.expr(f"id % {len(shapes)} = {i}")
-        text = F.when(cond, F.date_format(ts, shape)) if text is None else text.when(cond, F.date_format(ts, shape))
+        text = text.when(F.expr(f"id % {len(shapes)} = {i}"), F.expr(WEEK) if shape == "WEEK" else F.date_format(ts, shape))
     return text
 
 
-@query("parse_date_multi", "SELECT id, CASE WHEN id % 8 < 7 THEN strftime(d, '%Y-%m-%d') END AS v FROM places_v", P)
+@query("parse_date_multi", "SELECT id, CASE WHEN id % 12 <> 7 THEN strftime(d, '%Y-%m-%d') END AS v FROM places_v", P)
 def parse_date_multi(t):
     return t.places_v.select("id", dt.parse_date_multi(F.concat(F.lit(" "), _date_text())).alias("v"))
 
@@ -149,17 +153,21 @@ def parse_date_multi(t):
 STAMP = "(d + to_hours(deg % 24) + to_minutes(mnt) + to_seconds({}))"
 
 
-@query("parse_datetime_multi", f"""SELECT id, CASE id % 4 WHEN 0 THEN strftime({STAMP.format('deg % 60')}, '%Y-%m-%dT%H:%M:%S') || '+00:00'
+@query("parse_datetime_multi", f"""SELECT id, CASE id % 8 WHEN 0 THEN strftime({STAMP.format('deg % 60')}, '%Y-%m-%dT%H:%M:%S') || '+00:00'
+WHEN 4 THEN strftime(d + to_hours(deg % 24), '%Y-%m-%dT%H:%M:%S') WHEN 5 THEN strftime({STAMP.format(0)}, '%Y-%m-%dT%H:%M:%S') || '+03:00'
+WHEN 6 THEN strftime({STAMP.format('deg % 60')}, '%Y-%m-%dT%H:%M:%S') || '-02:30' WHEN 7 THEN strftime(d, '%Y-%m-%dT%H:%M:%S')
 WHEN 1 THEN strftime({STAMP.format(0)}, '%Y-%m-%dT%H:%M:%S') WHEN 2 THEN strftime({STAMP.format('deg % 60')}, '%Y-%m-%dT%H:%M:%S') || '-03:00' END AS v FROM places_v""", P)
 def parse_datetime_multi(t):
-    shapes = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "dd/MM/yyyy HH:mm", "yyyy-MM-dd'T'HH:mm:ss.SSS'-03:00'", "dd.MM.yyyy"]
+    shapes = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "dd/MM/yyyy HH:mm", "yyyy-MM-dd'T'HH:mm:ss.SSS'-03:00'", "dd.MM.yyyy",
+              "yyyy-MM-dd'T'HH", "yyyyMMdd HH:mm'+03'", "yyyy-MM-dd'T'HHmmss'-0230'", "WEEK"]
     return t.places_v.select("id", dt.parse_datetime_multi(_date_text(shapes)).alias("v"))
 
 
-@query("to_utc", f"""SELECT id, strftime(CASE id % 4 WHEN 1 THEN date_trunc('day', d) WHEN 2 THEN {STAMP.format('deg % 60')} + INTERVAL 3 HOUR ELSE {STAMP.format('deg % 60')} END,
+@query("to_utc", f"""SELECT id, strftime(CASE id % 8 WHEN 4 THEN {STAMP.format(0)} - INTERVAL 3 HOUR WHEN 5 THEN d + to_hours(deg % 24) WHEN 6 THEN d WHEN 7 THEN {STAMP.format('deg % 60')} + INTERVAL 150 MINUTE WHEN 1 THEN date_trunc('day', d) WHEN 2 THEN {STAMP.format('deg % 60')} + INTERVAL 3 HOUR ELSE {STAMP.format('deg % 60')} END,
 '%Y-%m-%dT%H:%M:%S+00:00') AS v FROM places_v""", P)
 def to_utc(t):
-    shapes = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss'-03:00'", "yyyy-MM-dd'T'HH:mm:ss"]
+    shapes = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss'-03:00'", "yyyy-MM-dd'T'HH:mm:ss",
+              "yyyy-MM-dd'T'HH:mm'+03'", "yyyyMMdd'T'HH", "WEEK", "yyyyMMdd'T'HHmmss'-0230'"]
     return t.places_v.select("id", dt.iso_utc(dt.to_utc(_date_text(shapes))).alias("v"))
 
 

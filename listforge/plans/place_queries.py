@@ -32,12 +32,13 @@ def fill_location(t):
     return t.places_v.select("id", s.alias("s")).select("id", "s.city", "s.state")
 
 
-@query("maps_coords", """SELECT id, CASE WHEN id % 5 < 4 AND deg + 5.25 <= 90 THEN -(deg + 5.25) END AS latitude,
-CASE WHEN id % 5 < 4 AND deg + 5.25 <= 90 THEN mnt + 0.5 END AS longitude FROM places_v WHERE id >= 0""", P)
+@query("maps_coords", """SELECT id, CASE WHEN id % 6 < 5 AND deg + 5.25 <= 90 THEN -(deg + 5.25) END AS latitude,
+CASE WHEN id % 6 < 5 AND deg + 5.25 <= 90 THEN mnt + 0.5 END AS longitude FROM places_v WHERE id >= 0""", P)
 def maps_coords(t):
     pair = "concat('-', deg + 5, '.25,', mnt, '.5')"
-    text = F.expr(f"""CASE id % 5 WHEN 0 THEN concat('https://maps/@', {pair}, ',17z') WHEN 1 THEN concat('x!3d-', deg + 5, '.25!4d', mnt, '.5')
-        WHEN 2 THEN concat('y?a=1&amp;q=loc:', {pair}) WHEN 3 THEN concat('/maps\\\\/search/', {pair}) ELSE 'none' END""")
+    text = F.expr(f"""CASE id % 6 WHEN 0 THEN concat('https://maps/@', {pair}, ',17z') WHEN 1 THEN concat('x!3d-', deg + 5, '.25!4d', mnt, '.5')
+        WHEN 2 THEN concat('y?a=1&amp;q=loc:', {pair}) WHEN 3 THEN concat('/maps\\\\/search/', {pair})
+        WHEN 4 THEN concat('embed?x=1\\\\u0026q=', {pair}) ELSE 'none' END""")
     return t.places_v.select("id", geo.maps_coords(text).alias("s")).select("id", "s.latitude", "s.longitude")
 
 
