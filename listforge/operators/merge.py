@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from listforge import fixed_values as fv
 from listforge.functions import attributes as at, text as tx, urls
+from listforge.operators.scan import running
 from listforge.session import ensure_checkpoint_dir
 
 TEXT_FIELDS = ["title", "description", "state", "city", "zip_code", "street", "contact_name",
@@ -88,15 +89,26 @@ def _keys(df: DataFrame, links: Column, *extra: Column) -> DataFrame:
     return df.select(*extra, F.explode(usable).alias("k")).select(*extra, "k.rank", "k.scope", "k.key")
 
 
+def asked_keys(incoming: DataFrame) -> DataFrame:
+    """(row_id, rank, scope, key) of incoming rows."""
+    links = F.coalesce(F.col("links"), F.array().cast("array<string>"))
+    return _keys(incoming, F.array_distinct(urls.external_links(links)), F.col("row_id"))
+
+
+def stored_keys(stored: DataFrame) -> DataFrame:
+    """(id, updated_at, rank, scope, key) of stored listings."""
+    links = F.coalesce(F.col("links"), F.array().cast("array<string>"))
+    return _keys(stored, F.array_distinct(F.transform(links, lambda x: F.trim(x))), F.col("id"), F.col("updated_at"))
+
+
 def resolve_listing(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """(row_id, match_id): url first, then a shared link, then the dedupe key, in one join.
+    """(row_id, match_id): url first, then a shared link, then the dedupe key, in one join."""
+    return resolve_keys(asked_keys(incoming), stored_keys(stored))
 
-    Of the stored keys only those that the batch asks for are aggregated."""
-    empty = F.array().cast("array<string>")
-    stored_links = F.array_distinct(F.transform(F.coalesce(F.col("links"), empty), lambda x: F.trim(x)))
-    asked = _keys(incoming, F.array_distinct(urls.external_links(F.coalesce(F.col("links"), empty))), F.col("row_id"))
-    named = _keys(stored, stored_links, F.col("id"), F.col("updated_at")).join(
-        asked.select("rank", "scope", "key"), ["rank", "scope", "key"], "left_semi")
+
+def resolve_keys(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """(row_id, match_id) from the keys of both sides; of the stored keys only those asked for are aggregated."""
+    named = stored.join(asked.select("rank", "scope", "key"), ["rank", "scope", "key"], "left_semi")
     held = latest_by(named, ["rank", "scope", "key"], F.col("updated_at"))
     hit = asked.join(held, ["rank", "scope", "key"])
     best = F.max(F.struct((-F.col("rank")).alias("r"), F.col("match_order").alias("o"), (-F.col("match_id")).alias("i")))
@@ -113,6 +125,8 @@ def batch_groups(row_keys: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     shared = row_keys.groupBy("key").agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).where("lo < hi").select("key")
     edges = row_keys.join(shared, "key", "left_semi").distinct().checkpoint()
+    if edges.isEmpty():
+        return edges.select("row_id", F.col("row_id").alias("label"))
     labels = edges.groupBy("row_id").agg(F.min("row_id").alias("label"))
     while True:
         per_key = edges.join(labels, "row_id").groupBy("key").agg(F.min("label").alias("label"))
@@ -146,17 +160,17 @@ def prepare_ingest(incoming: DataFrame, sources: DataFrame | None = None) -> Dat
             .withColumn("currency", F.coalesce("currency", F.lit("BRL"))))
 
 
-def merge_targets(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+def merge_targets(incoming: DataFrame, held_keys: DataFrame) -> DataFrame:
     """incoming + (match_id, target): where every row of the batch goes.
 
     Rows that share a key, directly or through others, form a group.  A row that matches no stored
     listing itself goes where the last row before it in its group went that does, as it would if the
     rows came one by one; rows of a group before the first such row become one new listing.  Rows that
-    match different stored listings stay apart."""
+    match different stored listings stay apart.  ``held_keys`` are ``stored_keys``, of all listings or at least
+    of those with a key of the batch."""
     ensure_checkpoint_dir(incoming.sparkSession)
-    matched = incoming.join(resolve_listing(incoming, stored), "row_id", "left").checkpoint()
-    empty = F.array().cast("array<string>")
-    keys = _keys(matched, F.array_distinct(urls.external_links(F.coalesce(F.col("links"), empty))), F.col("row_id"))
+    matched = incoming.join(resolve_keys(asked_keys(incoming), held_keys), "row_id", "left").checkpoint()
+    keys = asked_keys(matched)
     groups = batch_groups(keys.select("row_id", F.concat_ws("\u0001", "rank", "scope", "key").alias("key")))
     own = matched.select("row_id", F.col("match_id").alias("own")).join(groups, "row_id", "left").withColumn("label", F.coalesce("label", "row_id"))
     held = own.where("own is not null").groupBy("label").agg(
@@ -165,8 +179,7 @@ def merge_targets(incoming: DataFrame, stored: DataFrame) -> DataFrame:
               .withColumn("match", F.coalesce("own", F.when(F.col("row_id") > F.col("first_row"), F.col("lo")))).select("row_id", "label", "match"))
     # only groups that touch several stored listings need their rows in order
     mixed = own.join(held.where("lo <> hi").select("label"), "label", "left_semi")
-    earlier = Window.partitionBy("label").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
-    several = mixed.select("row_id", F.last("own", True).over(earlier).alias("earlier"))
+    several = running(mixed, ["label"], ["row_id"], last={"earlier": F.col("own")}).select("row_id", "earlier")
     found = single.join(several, "row_id", "left").select("row_id", "label", F.coalesce("match", "earlier").alias("match_id"))
     return matched.drop("match_id").join(found, "row_id").withColumn("target", F.when(
         F.col("match_id").isNotNull(), F.concat(F.lit("s"), F.col("match_id").cast("string"))).otherwise(
@@ -197,13 +210,13 @@ def fold_merge(rows: DataFrame, key: str = "target", order: str = "row_id") -> D
     return folded.join(links, key, "left").join(pairs, key, "left")
 
 
-def merge_listing(stored: DataFrame, folded: DataFrame) -> DataFrame:
-    """Stored listings with the folded batch applied; only matched listings are returned."""
+def merge_listing(stored: DataFrame, folded: DataFrame, now: Column | None = None, untouched: bool = False) -> DataFrame:
+    """Stored listings with the folded batch applied, and with ``untouched`` the others as they are."""
     new = folded.where("match_id is not null").select(
-        [F.col(c).alias(f"new_{c}") for c in folded.columns if c not in ("match_id",)] + [F.col("match_id").alias("id")])
-    joined = stored.join(new, "id")
+        [F.col(c).alias(f"new_{c}") for c in folded.columns if c not in ("match_id",)] + [F.col("match_id").alias("id"), F.lit(True).alias("__hit")])
+    joined = stored.join(new, "id", "left" if untouched else "inner")
     empty = F.array().cast("array<string>")
-    out: dict[str, Column] = {c: F.col(c) for c in stored.columns}
+    out: dict[str, Column] = {}
     for name in TEXT_FIELDS + LIST_FIELDS + ["price", "location"]:
         if f"new_{name}" in joined.columns:
             out[name] = F.coalesce(F.col(f"new_{name}"), F.col(name))
@@ -212,14 +225,17 @@ def merge_listing(stored: DataFrame, folded: DataFrame) -> DataFrame:
     out["links"] = F.array_union(F.coalesce("links", empty), F.coalesce("new_links", empty))
     out["attributes"] = at.merge_attributes(F.col("attributes"), F.col("new_attributes"))
     out["version"] = (F.coalesce("version", F.lit(0)) + F.col("new_merged_rows")).cast("int")
-    return joined.select(*[c.alias(n) for n, c in out.items()])
+    if now is not None:
+        out["updated_at"] = now
+    kinds = dict(stored.dtypes)
+    return joined.select(*[(F.when(F.col("__hit"), out[n]).otherwise(F.col(n)).cast(kinds[n]) if n in out else F.col(n)).alias(n) for n in stored.columns])
 
 
-def insert_listing(folded: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
-    """Rows for groups without a stored match.  Ids continue after the greatest stored id in the order
-    of the groups, so a replayed batch gives the same ids."""
+def insert_listing(folded: DataFrame, stored: DataFrame, now: Column, base: DataFrame | None = None) -> DataFrame:
+    """Rows for groups without a stored match.  Ids continue after the greatest stored id (``base``, if known) in
+    the order of the groups, so a replayed batch gives the same ids."""
     fresh = folded.where("match_id is null")
-    numbered = with_row_ids(fresh, stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base")), "target")
+    numbered = with_row_ids(fresh, stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base")) if base is None else base, "target")
     empty = F.array().cast("array<string>")
     columns = {"id": F.col("id"), "version": F.col("merged_rows").cast("int"), "created_at": now, "updated_at": now,
                "links": F.coalesce("links", empty), "attributes": at.merge_attributes(F.lit(None).cast("map<string,string>"), F.col("attributes"))}
@@ -248,17 +264,10 @@ def _by_partition():
     return Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def ingest_changes(incoming: DataFrame, stored: DataFrame, now: Column, sources: DataFrame | None = None) -> DataFrame:
-    """The listings a batch changes or adds, as they are after it."""
-    folded = fold_merge(merge_targets(prepare_ingest(incoming, sources), stored)).checkpoint()
-    merged = merge_listing(stored, folded).withColumn("updated_at", now)
-    return merged.unionByName(insert_listing(folded, stored, now))
-
-
 def ingest_batch(incoming: DataFrame, stored: DataFrame, now: Column, sources: DataFrame | None = None) -> DataFrame:
-    """New state of the listing table: untouched + merged + inserted."""
-    changed = ingest_changes(incoming, stored, now, sources).checkpoint()
-    return stored.join(changed.select("id"), "id", "left_anti").unionByName(changed)
+    """New state of the listing table: merged + untouched in one join, and inserted."""
+    folded = fold_merge(merge_targets(prepare_ingest(incoming, sources), stored_keys(stored))).checkpoint()
+    return merge_listing(stored, folded, now, untouched=True).unionByName(insert_listing(folded, stored, now))
 
 
 # --- single-row writes ---------------------------------------------------------------------
@@ -295,13 +304,14 @@ def replace_listing(replacements: DataFrame, stored: DataFrame, order: str = "ro
     held = stored.select("id", F.col("version").alias("__version"), F.lit(True).alias("__held"))
     if order not in replacements.columns:
         replacements = replacements.withColumn(order, F.lit(0))
-    place = F.row_number().over(Window.partitionBy("id").orderBy(order))
-    last = F.lead(F.lit(1)).over(Window.partitionBy("id").orderBy(order)).isNull()
-    staged = sanitized(replacements).withColumns({"__place": place, "__last": last}).join(held, "id", "left")
+    names = [c for c in replacements.columns if c != "version"]
+    asked = replacements.withColumn("__t", F.monotonically_increasing_id())
+    placed = running(asked, ["id"], [order, "__t"], total={"__place": F.lit(1)})
+    staged = sanitized(placed).join(asked.groupBy("id").agg(F.count(F.lit(1)).alias("__n")), "id", "left").join(held, "id", "left")
+    last = F.coalesce(F.col("__place") == F.col("__n"), F.lit(True))
     return staged.select(
-        *[F.col(c) for c in replacements.columns if c != "version"],
-        F.when(F.col("__held"), F.coalesce("__version", F.lit(0)) + F.col("__place")).cast("int").alias("version"),
-        F.when(F.col("__held"), F.when(F.col("__last"), "replaced").otherwise("superseded")).otherwise("missing").alias("status"))
+        *names, F.when(F.col("__held"), F.coalesce("__version", F.lit(0)) + F.col("__place")).cast("int").alias("version"),
+        F.when(F.col("__held"), F.when(last, "replaced").otherwise("superseded")).otherwise("missing").alias("status"))
 
 
 def patch_status(exists: Column, version: Column, updated_at: Column, expected: Column, submitted: Column, field_names: Column) -> Column:
@@ -318,46 +328,56 @@ def patch_listing(stored: DataFrame, patches: DataFrame, now: Column | None = No
 
     ``patches``: id, expected_version, submitted_at, fields (names that are set) and one new_<field>
     column per field that can be set.  Patches of one id are applied in their order, each against the
-    version the ones before it left; an applied patch sets the time of the listing to ``now``."""
-    ranked = patches.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(F.col(order).asc_nulls_first(), F.monotonically_increasing_id())))
-    ensure_checkpoint_dir(stored.sparkSession)
-    ranked = ranked.checkpoint()
+    version the ones before it left; an applied patch sets the time of the listing to ``now``.
+
+    All patches are decided at once.  The first one that fits the stored version starts a chain.  After it a
+    patch without an expected version applies whenever its time and fields allow.  One with an expected version, less
+    the number of such free patches before it, applies when the chain has that length, so each patch has one
+    successor: the first later one that asks for the next version.  The patches on the chain are found by pointer jumping."""
     now = F.current_timestamp() if now is None else now
-    state = stored.join(ranked.select("id").distinct(), "id", "left_semi")
-    out, turn = None, 1
+    ensure_checkpoint_dir(stored.sparkSession)
+    asked = patches.withColumn("__t", F.monotonically_increasing_id()).orderBy("id", F.col(order).asc_nulls_first(), "__t").drop("__t")
+    asked = asked.withColumn("__n", F.monotonically_increasing_id()).checkpoint()
+    held = stored.select("id", F.lit(True).alias("__held"), F.coalesce("version", F.lit(0)).cast("long").alias("__v"), F.col("updated_at").alias("__u"))
+    known = asked.join(held, "id", "left")
+
+    usable = F.coalesce(F.col("__held"), F.lit(False)) & F.coalesce(F.exists("fields", lambda f: f.isin(fv.PATCHABLE_FIELDS)), F.lit(False))
+    fits = usable & ~F.coalesce(F.col("__u") > F.col("submitted_at"), F.lit(False)) & F.coalesce(F.col("expected_version") == F.col("__v"), F.lit(True))
+    known = known.join(known.where(fits).groupBy("id").agg(F.min("__n").alias("__first")), "id", "left")
+    later = usable & (F.col("__n") > F.col("__first")) & ~F.coalesce(now > F.col("submitted_at"), F.lit(False))
+    known = known.withColumn("__kind", F.when(F.col("__n") == F.col("__first"), "first").when(later & F.col("expected_version").isNull(), "free").when(later, "bound"))
+    known = running(known, ["id"], ["__n"], total={"__free": (F.col("__kind") == "free").cast("int")})
+
+    level = F.when(F.col("__kind") == "first", F.col("__v")).otherwise(F.col("expected_version") - F.col("__free"))
+    nodes = known.where("__kind in ('first', 'bound')").select("id", "__n", level.alias("level"), (F.col("__kind") == "first").alias("first")).checkpoint()
+    both = nodes.select("id", "level", "__n", F.col("__n").alias("to")).unionByName(nodes.select("id", (F.col("level") + 1).alias("level"), "__n", F.lit(None).cast("long").alias("to")))
+    jump = running(both, ["id", "level"], [F.col("__n").desc()], last={"next": F.col("to")}).where("to is null and next is not null").select("__n", "next").checkpoint()
+    chain = nodes.where("first").select("__n")
     while True:
-        asked = ranked.where(F.col("__n") == turn).drop("__n")
-        done = _patched(state, asked, now).checkpoint()
-        out = done if out is None else out.unionByName(done)
-        turn += 1
-        if ranked.where(F.col("__n") == turn).isEmpty():
-            return out
-        state = done.where("status <> 'missing'").drop("status")
-
-
-def _patched(stored: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
-    """One patch per id."""
-    joined = patches.join(stored.withColumn("__held", F.lit(True)), "id", "left")
-    status = patch_status(F.col("__held"), F.col("version"), F.col("updated_at"), F.col("expected_version"),
-                          F.col("submitted_at"), F.col("fields"))
-    joined = joined.withColumn("status", status)
-    applied = F.col("status") == "applied"
-    out = []
-    for name in stored.columns:
-        if f"new_{name}" in joined.columns and name in fv.PATCHABLE_FIELDS:
-            value = F.col(f"new_{name}")
-            if name == "description":
-                value = tx.clean_description_ingest(value)
-            elif name == "attributes":
-                value = at.salary_sanitize(value)
-            out.append(F.when(applied & F.array_contains("fields", name), value).otherwise(F.col(name)).alias(name))
-        elif name == "version":
-            out.append(F.when(applied, F.coalesce("version", F.lit(0)) + 1).otherwise(F.col("version")).cast("int").alias("version"))
-        elif name == "updated_at":
-            out.append(F.when(applied, now).otherwise(F.col(name)).cast("timestamp").alias(name))
-        else:
-            out.append(F.col(name))
-    return joined.select(*out, "status")
+        newest = chain.join(jump, "__n").select(F.col("next").alias("__n")).checkpoint()
+        if newest.isEmpty():
+            break
+        chain = chain.unionByName(newest).checkpoint()
+        jump = jump.join(jump.select(F.col("__n").alias("next"), F.col("next").alias("far")), "next").select("__n", F.col("far").alias("next")).checkpoint()
+
+    known = known.join(chain.withColumn("__on", F.lit(True)), "__n", "left")
+    applied = F.coalesce(F.col("__on"), F.lit(False)) | F.coalesce(F.col("__kind") == "free", F.lit(False))
+    known = known.withColumn("__applied", applied.cast("int"))
+    settable = [n for n in stored.columns if f"new_{n}" in patches.columns and n in fv.PATCHABLE_FIELDS]
+    values = {n: F.when((F.col("__applied") == 1) & F.array_contains("fields", n), F.struct(_patch_value(n).alias("v"))) for n in settable}
+    done = running(known, ["id"], ["__n"], last={f"__set_{n}": c for n, c in values.items()}, total={"__count": F.col("__applied")})
+    done = done.drop(*[c for c in stored.columns if c != "id"]).join(stored, "id", "left")
+    before = F.col("__count") - F.col("__applied")
+    status = patch_status(F.col("__held"), F.col("__v") + before, F.when(before > 0, now).otherwise(F.col("__u")), F.col("expected_version"), F.col("submitted_at"), F.col("fields"))
+    out = {"version": F.when(F.col("__count") > 0, F.col("__v") + F.col("__count")).otherwise(F.col("version")).cast("int")} if "version" in stored.columns else {}
+    out["updated_at"] = F.when(F.col("__count") > 0, now).otherwise(F.col("updated_at")).cast("timestamp")
+    out |= {n: F.when(F.col(f"__set_{n}").isNotNull(), F.col(f"__set_{n}.v")).otherwise(F.col(n)) for n in settable}
+    return done.select(*[out.get(n, F.col(n)).alias(n) for n in stored.columns], status.alias("status"))
+
+
+def _patch_value(name: str) -> Column:
+    value = F.col(f"new_{name}")
+    return tx.clean_description_ingest(value) if name == "description" else at.salary_sanitize(value) if name == "attributes" else value
 
 
 def delete_listings(stored: DataFrame, ids: DataFrame) -> DataFrame:

@@ -62,20 +62,24 @@ def apply_deletes(listings: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def process_queue(pending: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
-    """Queue rows after one tick: completed, completed with a delete, or error.
+    """Queue rows after one tick: claimed and finished at once."""
+    return finish_queue(mark_processing(pending), outcomes, now)
+
+
+def finish_queue(claimed: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """Claimed rows after their tick: completed, completed with a delete, or error.
 
     ``outcomes`` has found (an item came back), chat_missing, status_code, blocked, fetch_error and raised
     for a queue id.  Of several outcomes of one id the least counts, so that a replay changes nothing."""
     names = [c for c in outcomes.columns if c != "id"]
     single = outcomes.groupBy("id").agg(F.min(F.struct(*names)).alias("o")).select("id", "o.*")
-    joined = pending.join(single, "id", "left")
+    joined = claimed.join(single, "id", "left")
     gone = cl.item_missing(F.col("item_id"), F.col("url"), F.col("chat_missing"), F.col("status_code"), F.col("blocked"),
                            F.col("fetch_error"), F.col("raised"))
     found = F.coalesce(F.col("found"), F.lit(False)) & F.col("raised").isNull()
     status = F.when(found | gone, "completed").otherwise("error")
     message = F.coalesce(F.col("raised"), F.lit("Scraper não retornou item para a URL solicitada"))
-    keep = [c for c in pending.columns if c not in ("status", "attempts", "last_error", "last_processed_at")]
+    keep = [c for c in claimed.columns if c not in ("status", "attempts", "last_error", "last_processed_at")]
     return joined.select(
-        *keep, status.alias("status"), (F.coalesce("attempts", F.lit(0)) + 1).alias("attempts"),
-        F.when(status == "error", F.substring(message, 1, 2000)).alias("last_error"),
+        *keep, status.alias("status"), "attempts", F.when(status == "error", F.substring(message, 1, 2000)).alias("last_error"),
         now.alias("last_processed_at"), (gone & ~found).alias("delete_item"))

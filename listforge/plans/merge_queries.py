@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from listforge.functions import attributes as at, urls
-from listforge.operators import merge as mg
+from listforge.operators import listing_store as ls, merge as mg
 from listforge.plans.registry import NOW, query
+from listforge.session import scratch_folder
 from listforge.sources import tables as tb
 
 SI = ("stored_v", "incoming_v")
@@ -158,6 +159,17 @@ def ingest_in_batches(t):
     return state.select("url", "title", "price", "currency", "version")
 
 
+@query("ingest_indexed", INGESTED, SI)
+def ingest_indexed(t):
+    """A listing store takes half of the rows, then one in a hundred, then the rest, each batch in parts of its own size."""
+    stored, incoming, root = stored_listings(t), incoming_listings(t), scratch_folder(t.spark, "store")
+    schema = ", ".join(f"{n} {k}" for n, k in stored.dtypes)
+    ls.create(stored, root, schema, 2000)
+    for k, cut in enumerate(("row_id % 100 < 50", "row_id % 100 = 50", "row_id % 100 > 50")):
+        ls.ingest(incoming.where(cut), root, F.lit(NOW), f"v{k}", schema)
+    return ls.read_listings(t.spark, root, schema).select("url", "title", "price", "currency", "version")
+
+
 @query("upsert_listings", f"""WITH {RESOLVED} SELECT (SELECT count(*) FROM stored_v) + (SELECT count(*) FROM res WHERE match_id IS NULL) AS n,
 (SELECT max(id) FROM stored_v) + (SELECT count(*) FROM res WHERE match_id IS NULL) AS max_id, (SELECT count(*) FROM stored_v) + (SELECT count(*) FROM res WHERE match_id IS NULL) AS ids""", SI)
 def upsert_listings(t):

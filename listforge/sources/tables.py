@@ -57,42 +57,35 @@ def current_version(spark: SparkSession, root: str) -> str | None:
     return found and found["version"]
 
 
-def _places(found: dict, before: bool = False) -> list[str] | None:
-    """Folders of the current version or of the one before: the version's own, or one for each part."""
-    parts = found.get("before_parts" if before else "parts")
-    if parts:
-        return [f"{version}/{PART}={part}" for part, version in sorted(parts.items())]
-    version = found["before" if before else "version"]
-    return None if version is None else [version]
-
-
-def _read(spark: SparkSession, root: str, schema: str, places: list[str] | None) -> DataFrame:
-    if not places:
+def _read(spark: SparkSession, root: str, schema: str, version: str | None) -> DataFrame:
+    if version is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[f"{root.rstrip('/')}/{p}" for p in places])
+    return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{version}")
 
 
 def read_table(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """Current state of a versioned table; an empty frame before the first version.  A version that is
     named but gone is an error."""
-    found = pointer(spark, root)
-    return _read(spark, root, schema, found and _places(found))
+    return _read(spark, root, schema, current_version(spark, root))
+
+
+def has_seed(spark: SparkSession, root: str) -> bool:
+    fs, _ = _pointer(spark, root)
+    return fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/seed"))
 
 
-def _start(spark: SparkSession, root: str, owner: str | None, batch_id: int | None) -> tuple[list[str] | None, dict]:
-    """(folders a batch starts from, their parts): the current version, whoever wrote it, or the one before
-    it when the current one is this very batch's (a replay).  Without a pointer the seed folder, else nothing."""
-    root, found = root.rstrip("/"), pointer(spark, root)
+def _start(spark: SparkSession, root: str, owner: str, batch_id: int) -> str | None:
+    """The version a batch starts from: the current one, whoever wrote it, or the one before it when the current
+    one is this very batch's (a replay).  Without a pointer the seed folder, else nothing."""
+    found = pointer(spark, root)
     if found is None:
-        fs, _ = _pointer(spark, root)
-        return (["seed"] if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/seed")) else None), {}
-    replayed = owner is not None and found.get("owner") == owner and found.get("batch") == batch_id
-    return _places(found, replayed), found.get("before_parts" if replayed else "parts") or {}
+        return "seed" if has_seed(spark, root) else None
+    return found["before"] if (found.get("owner"), found.get("batch")) == (owner, batch_id) else found["version"]
 
 
 def state_before(spark: SparkSession, root: str, schema: str, owner: str, batch_id: int) -> DataFrame:
     """The state a batch starts from."""
-    return _read(spark, root, schema, _start(spark, root, owner, batch_id)[0])
+    return _read(spark, root, schema, _start(spark, root, owner, batch_id))
 
 
 def _move_pointer(spark: SparkSession, root: str, state: dict) -> None:
@@ -109,13 +102,6 @@ def _move_pointer(spark: SparkSession, root: str, state: dict) -> None:
     context.rename(fs.makeQualified(beside), fs.makeQualified(path), options)
 
 
-def _versions(state: dict | None) -> set[str]:
-    if not state:
-        return set()
-    parts = [*(state.get("parts") or {}).values(), *(state.get("before_parts") or {}).values()]
-    return {v for v in (state["version"], state["before"], *parts) if v and v != "seed"}
-
-
 def publish(df: DataFrame, root: str, version: str, partition_by: list[str] | None = None, owner: str | None = None, batch_id: int | None = None) -> None:
     """Write a version and make it current.
 
@@ -123,46 +109,16 @@ def publish(df: DataFrame, root: str, version: str, partition_by: list[str] | No
     older than the one before go, so that a stream keeps two."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root.rstrip('/')}/{version}")
-    _publish(df.sparkSession, root, version, owner, batch_id, None)
-
-
-def publish_changes(changed: DataFrame, key: str, root: str, version: str, schema: str, owner: str, batch_id: int, parts: int = 64) -> None:
-    """Make current a version that differs from the one before it in the rows of ``changed`` (by ``key``).
-
-    The table is kept in parts by hash of the key, and only the parts that hold a changed row are read and
-    written; the pointer names the folder of every part.  The first version is written in full."""
-    spark, root = changed.sparkSession, root.rstrip("/")
-    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias(PART)
-    changed = changed.select("*", part)
-    places, known = _start(spark, root, owner, batch_id)
-    touched = {str(r[0]) for r in changed.select(PART).distinct().collect()}
-    if known:
-        old = _read(spark, root, schema, [f"{v}/{PART}={p}" for p, v in known.items() if p in touched])
-    else:
-        old = _read(spark, root, schema, places)
-    kept = old.join(changed.select(key), key, "left_anti").select("*", part)
-    kept.unionByName(changed).repartition(PART).write.mode("overwrite").partitionBy(PART).parquet(f"{root}/{version}")
-    if not known:
-        fs, _ = _pointer(spark, root)
-        written = fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{version}"))
-        touched = {n.split("=")[1] for n in (s.getPath().getName() for s in written) if n.startswith(f"{PART}=")}
-    _publish(spark, root, version, owner, batch_id, known | {p: version for p in touched})
-
-
-def _publish(spark: SparkSession, root: str, version: str, owner: str | None, batch_id: int | None, parts: dict | None) -> None:
-    root, found = root.rstrip("/"), pointer(spark, root)
-    fs, _ = _pointer(spark, root)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    spark, root = df.sparkSession, root.rstrip("/")
+    found = pointer(spark, root)
     if found is None:
-        before, before_parts = "seed" if fs.exists(fs_path(f"{root}/seed")) else None, None
-    elif found["version"] == version:
-        before, before_parts = found["before"], found.get("before_parts")
+        before = "seed" if has_seed(spark, root) else None
     else:
-        before, before_parts = found["version"], found.get("parts")
-    state = {"version": version, "before": before, "owner": owner, "batch": batch_id, "parts": parts, "before_parts": before_parts}
-    _move_pointer(spark, root, state)
-    for old in _versions(found) - _versions(state):
-        fs.delete(fs_path(f"{root}/{old}"), True)
+        before = found["before"] if found["version"] == version else found["version"]
+    _move_pointer(spark, root, {"version": version, "before": before, "owner": owner, "batch": batch_id})
+    fs, _ = _pointer(spark, root)
+    for old in {found["version"], found["before"]} - {version, before, "seed", None} if found else ():
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{old}"), True)
 
 
 def read_evolved_schema(layouts: list[DataFrame], schema: str, defaults: dict[str, object],
