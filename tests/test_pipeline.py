@@ -138,23 +138,6 @@ def test_replayed_batch_and_lost_version(spark, tmp_path):
         tb.state_before(spark, root, "id long", "b", 1).collect()
 
 
-def test_only_touched_parts_are_written(spark, tmp_path):
-    root, shape = str(tmp_path / "t"), "id long, v string"
-    frame = lambda **rows: spark.createDataFrame([(int(k[1:]), v) for k, v in rows.items()], shape)
-    tb.publish_changes(frame(**{f"i{i}": "a" for i in range(40)}), "id", root, "v0", shape, "s", 0, 8)
-    for _ in range(2):  # the second time is a replay
-        before = {r.id: r.v for r in tb.state_before(spark, root, shape, "s", 1).collect()}
-        assert before == {i: "a" for i in range(40)}
-        tb.publish_changes(frame(i3="b", i99="c"), "id", root, "v1", shape, "s", 1, 8)
-        got = {r.id: r.v for r in tb.read_table(spark, root, shape).collect()}
-        assert got == {**{i: "a" for i in range(40)}, 3: "b", 99: "c"}
-    assert len([p for p in (tmp_path / "t" / "v1").iterdir() if p.name.startswith("__part=")]) <= 2
-    tb.publish_changes(frame(i3="d"), "id", root, "v2", shape, "s", 2, 8)
-    tb.publish_changes(frame(i3="e"), "id", root, "v3", shape, "s", 3, 8)
-    assert {r.id: r.v for r in tb.read_table(spark, root, shape).collect()} == {**{i: "a" for i in range(40)}, 3: "e", 99: "c"}
-    assert (tmp_path / "t" / "v0").exists() and (tmp_path / "t" / "v2").exists()
-
-
 def test_late_runs_are_counted(spark, tmp_path):
     from listforge.streaming import streams as st
 
