@@ -400,15 +400,14 @@ CHAT_ROLE_PATTERNS = [
     r"(?iU)\b(pmo)\b",
 ]
 # A brand is a word that starts with a letter and up to N more such words.
-_BRAND_WORD = r"[A-Z][A-Za-z0-9.&/\-]+"
 CHAT_COMPANY_LINE_PATTERNS = [
-    rf"(?iU)\bconsultoria\s+({_BRAND_WORD}(?:\s+{_BRAND_WORD}){{0,2}})\b",
-    rf"(?iU)\bvem\s+(?:ser|para)\s+({_BRAND_WORD}(?:\s+{_BRAND_WORD}){{0,2}})\b",
-    rf"(?iU)\bgrupo\s+({_BRAND_WORD}(?:\s+{_BRAND_WORD}){{0,3}})\b",
-    rf"(?iU)\b(?:aqui na|na|no|para a|para o)\s+({_BRAND_WORD}(?:\s+{_BRAND_WORD}){{0,4}})\b",
+    r"(?iU)\bconsultoria\s+([A-Z][A-Za-z0-9.&/\-]+(?:\s+[A-Z][A-Za-z0-9.&/\-]+){0,2})\b",
+    r"(?iU)\bvem\s+(?:ser|para)\s+([A-Z][A-Za-z0-9.&/\-]+(?:\s+[A-Z][A-Za-z0-9.&/\-]+){0,2})\b",
+    r"(?iU)\bgrupo\s+([A-Z][A-Za-z0-9.&/\-]+(?:\s+[A-Z][A-Za-z0-9.&/\-]+){0,3})\b",
+    r"(?iU)\b(?:aqui na|na|no|para a|para o)\s+([A-Z][A-Za-z0-9.&/\-]+(?:\s+[A-Z][A-Za-z0-9.&/\-]+){0,4})\b",
 ]
-CHAT_COMPANY_FIRST_LINE_PATTERN = rf"(?iU)\bna\s+({_BRAND_WORD}(?:\s+{_BRAND_WORD}){{0,4}})\b"
-CHAT_COMPANY_TITLE_PATTERN = rf"(?iU)\bna\s+({_BRAND_WORD}(?:\s+{_BRAND_WORD}){{0,3}})\b"
+CHAT_COMPANY_FIRST_LINE_PATTERN = r"(?iU)\bna\s+([A-Z][A-Za-z0-9.&/\-]+(?:\s+[A-Z][A-Za-z0-9.&/\-]+){0,4})\b"
+CHAT_COMPANY_TITLE_PATTERN = r"(?iU)\bna\s+([A-Z][A-Za-z0-9.&/\-]+(?:\s+[A-Z][A-Za-z0-9.&/\-]+){0,3})\b"
 CHAT_COMPANY_VERB_PATTERN = (
     r"(?imU)^\s*(?:a|o)?\s*([A-Z][A-Za-z0-9&.\- ]{2,60})\s+"
     r"(?:busca|esta|está|procura|quer|abre|abriu|contrata)\b"

@@ -254,7 +254,7 @@ def caption_sanitize(c: Column) -> Column:
 
 CARD_LABELS = [("Cidade", "cidade"), ("Nível", "n[ií]vel"), ("Duração", "dura(?:ção|cao)"), ("Idioma", "idioma"),
                ("Requisitos", "requisitos"), ("Observações", "obs(?:erva(?:ções|coes))?")]
-CARD_LINE = r"(?iU)^(cidade|n[ií]vel|dura(?:ção|cao)|idioma|requisitos|observa(?:ções|coes)|obs)(?:\s*:\s*(.*))?$"
+CARD_LINE = r"(?iU)^(cidade|n[ií]vel|dura(?:ção|cao)|idioma|requisitos|obs|observa(?:ções|coes))(?:\s*:\s*(.*))?$"
 
 
 def ocr_card_text(c: Column) -> Column:
@@ -273,19 +273,20 @@ def ocr_card_text(c: Column) -> Column:
         return tx.let(entries, arrange)
 
     def arrange(es: Column) -> Column:
-        # the section a line belongs to is the last label above it; metadata labels close a section
-        def section(e: Column) -> Column:
-            above = F.filter(es, lambda o: (o["i"] <= e["i"]) & o["label"].isNotNull())
-            return F.try_element_at(above, F.lit(-1))["label"]
+        # a section is a label and the lines up to the next one; metadata labels close a section
+        def sections(marks: Column) -> Column:
+            named = lambda part, label: F.transform(part, lambda e: F.struct(
+                e["i"].alias("i"), e["label"].alias("label"), label.alias("section"),
+                F.when(e["label"].isNotNull(), e["value"]).otherwise(e["text"]).alias("text")))
+            until = lambda at: F.coalesce(F.get(marks, at)["i"], F.size(es))
+            head = named(F.slice(es, F.lit(1), until(F.lit(0))), F.lit(None).cast("string"))
+            return F.concat(head, F.flatten(F.transform(marks, lambda m, at: named(F.slice(es, m["i"] + 1, until(at + 1) - m["i"]), m["label"]))))
 
         def bullet(t: Column) -> Column:
             return F.regexp_replace(F.regexp_replace(tx.clean_line(t), r"^[\-•·▪▫]+\s*", ""), "^[ ;]+|[ ;]+$", "")
 
         title = F.when(es[0]["label"].isNull(), es[0]["text"])
-        body = F.filter(F.transform(es, lambda e: F.struct(
-            e["i"].alias("i"), e["label"].alias("label"), section(e).alias("section"),
-            F.when(e["label"].isNotNull(), e["value"]).otherwise(e["text"]).alias("text"))),
-            lambda e: (e["i"] > 0) | e["label"].isNotNull())
+        body = F.filter(tx.let(F.filter(es, lambda e: e["label"].isNotNull()), sections), lambda e: (e["i"] > 0) | e["label"].isNotNull())
         meta = F.transform(F.filter(body, lambda e: e["label"].isin("Cidade", "Nível", "Duração", "Idioma")),
                            lambda e: F.when(e["text"] != "", F.concat(e["label"], F.lit(": "), e["text"])).otherwise(
                                F.concat(e["label"], F.lit(":"))))

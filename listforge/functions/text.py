@@ -214,14 +214,18 @@ def lines_of(c: Column) -> Column:
                     lambda line: line != "")
 
 
+def first_of_key(entries: Column) -> Column:
+    """Of an array of struct<k, i, ...> the entries that come first, by i, among those of their key, ordered by key.
+    The array is sorted once and each entry compared with the one before it."""
+    return let(F.array_sort(entries), lambda es: F.filter(es, lambda e, at: e["k"].isNotNull() & (
+        (at == 0) | F.coalesce(F.get(es, at - 1)["k"] != e["k"], F.lit(True)))))
+
+
 def distinct_by_token(items: Column) -> Column:
     """Keep the first element for every norm_token, drop empty elements; order kept."""
-    def keep(pair: Column) -> Column:
-        first = F.filter(pair["v"], lambda v, i: (F.coalesce(v, F.lit("")) != "") & (
-            F.array_position(pair["k"], F.get(pair["k"], i)) == i + 1))
-        return first
-
-    return let(items, lambda xs: let(F.struct(F.transform(xs, norm_token).alias("k"), xs.alias("v")), keep))
+    entries = F.transform(items, lambda v, i: F.struct(norm_token(v).alias("k"), i.alias("i"), v.alias("v")))
+    back = F.array_sort(F.transform(first_of_key(entries), lambda e: F.struct(e["i"].alias("i"), e["v"].alias("v"))))
+    return F.filter(F.transform(back, lambda e: e["v"]), lambda v: F.coalesce(v, F.lit("")) != "")
 
 
 def sanitize_page_line(c: Column) -> Column:

@@ -74,13 +74,6 @@ UNION ALL SELECT '*/15 * 1 * *', min(t) FROM m WHERE minute(t) % 15 = 0 AND day(
 SELECT s.id, CASE WHEN s.enabled THEN strftime(timezone('UTC', timezone('America/Sao_Paulo', f.t)), '%Y-%m-%d %H:%M') END AS next_fire_at FROM sources_v s JOIN fire f ON f.cron = s.scraper_schedule"""
 
 
-@query("schedule_leap_day", "SELECT id, '2044-02-29 03:00' AS next_fire_at, '2072-02-29 03:00' AS after_it, CAST(NULL AS VARCHAR) AS never FROM sources_v", S)
-def schedule_leap_day(t):
-    """A 29 February on a Monday is up to 40 years away; a 30 February never comes."""
-    at = lambda cron, y: F.date_format(ca.next_fire(F.lit(cron), F.lit(datetime(y, 3, 1))), "yyyy-MM-dd HH:mm")
-    return t.sources_v.select("id", at("0 0 29 2 mon", 2024).alias("next_fire_at"), at("0 0 29 2 mon", 2044).alias("after_it"), at("0 0 30 2 *", 2024).alias("never"))
-
-
 @query("schedule_expand", CRON, S)
 def schedule_expand(t):
     out = ca.schedule_expand(t.sources_v, F.lit(datetime(2024, 1, 31, 15, 43)))

@@ -54,13 +54,6 @@ def page_links(t):
     return t.pages.select("page_id", F.array_join(pg.page_links(F.col("html"), F.col("url")), " ").alias("v"))
 
 
-@query("page_images_all", """SELECT page_id, 40 AS n, 'https://img.example/' || page_id || '-40.jpg' AS last FROM pages""")
-def page_images_all(t):
-    many = "array_join(transform(sequence(1, 40), i -> concat('<img src=\"https://img.example/', page_id, '-', i, '.jpg\">')), ' ')"
-    found = t.pages.select("page_id", pg.page_images(F.expr(f"concat(regexp_replace(html, '(?i)https?://[^\"]*[.](jpe?g|png|webp)', ''), {many})")).alias("v"))
-    return found.select("page_id", F.size("v").alias("n"), F.try_element_at("v", F.lit(-1)).alias("last"))
-
-
 @query("page_images", """SELECT page_id, 'https://img.example/' || page_id || '.jpg?x=1&y=2 https://img.example/b.PNG' AS v FROM pages""")
 def page_images(t):
     tail = """'<img src="https://img.example/', page_id, '.jpg?x=1&amp;y=2"><img src="https://s.example/assets/a.png"><img src=https://img.example/b.PNG><img src="https://img.example/', page_id, '.jpg?x=1&amp;y=2"><i url="https://h/logo.webp">'"""

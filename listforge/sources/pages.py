@@ -209,16 +209,17 @@ def longest_text(candidates: Column) -> Column:
 def best_images(found: Column, asset_pattern: str) -> Column:
     """Widest variant per asset; widths 1-199 are thumbnails; on equal width the later one."""
     ranked = F.filter(F.transform(found, lambda u, i: F.struct(
-        F.coalesce(tx.extract(u, asset_pattern), u).alias("asset"),
-        F.coalesce(tx.extract(u, r"(?i)[?&]width=(\d+)").try_cast("int"), F.lit(0)).alias("width"),
-        i.alias("pos"), u.alias("url"))), lambda s: (s["width"] == 0) | (s["width"] >= 200))
+        F.coalesce(tx.extract(u, asset_pattern), u).alias("k"), i.alias("i"),
+        F.coalesce(tx.extract(u, r"(?i)[?&]width=(\d+)").try_cast("int"), F.lit(0)).alias("width"), u.alias("url"))),
+        lambda s: (s["width"] == 0) | (s["width"] >= 200))
 
     def pick(rs: Column) -> Column:
-        best = F.filter(rs, lambda s: ~F.exists(rs, lambda o: (o["asset"] == s["asset"]) & (
-            (o["width"] > s["width"]) | ((o["width"] == s["width"]) & (o["pos"] > s["pos"])))))
-        first = F.transform(best, lambda s: F.struct(F.array_min(F.transform(
-            F.filter(rs, lambda o: o["asset"] == s["asset"]), lambda o: o["pos"])).alias("p"), s["url"].alias("u")))
-        return F.transform(F.array_sort(first), lambda s: s["u"])
+        # both orders list every asset once, by name: where it was found first, and its widest variant
+        firsts = tx.first_of_key(rs)
+        widest = tx.first_of_key(F.transform(rs, lambda s: F.struct(
+            s["k"].alias("k"), F.struct((-s["width"]).alias("w"), (-s["i"]).alias("at")).alias("i"), s["url"].alias("url"))))
+        both = F.zip_with(firsts, widest, lambda f, w: F.struct(f["i"].alias("p"), w["url"].alias("u")))
+        return F.transform(F.array_sort(both), lambda s: s["u"])
 
     return F.array_distinct(tx.let(ranked, pick))
 

@@ -1,6 +1,9 @@
 """Literal cases for the column library."""
 
-from datetime import datetime
+import random
+import re
+import time
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +166,70 @@ def test_rounds_run_to_the_next_label(one):
     text = "1ª Praça: 01/02/2024 às 10:00 " + "lote " * 500 + "R$ 1.234,56 2ª Praça: 08/02/2024 às 10:00 R$ 600,00"
     got = one(dt.auction_rounds, text)
     assert (got["first"]["value"], got["second"]["day"], got["second"]["value"]) == ("1.234,56", "08/02/2024", "600,00")
+
+
+# --- dates, map links, long rows ---------------------------------------------------------------
+@pytest.mark.parametrize("text", [
+    "2024-01-02", "20240102", "2024-01-02T10", "2024-01-02T10:00+03", "2024-W01-2", "2024W012", "2024-W01", "2024W53", "2020-W53-7", "2024-01-02T10:11:12.123456789Z",
+    "2024-01-02 101112-0330", "2024-01-02T10:11:12,5", "2024-01-02T25:00", "2024-13-01", "2024-02-30", "2024-01-02Z", "2024-01-02T10:1112", "2024-01-02T10:11:60",
+    "2024-01-02T10:11:12+25:00", "2024-01-02T10:11:12+03:00:30", "12345678", "2024-01-02T", "2024-01-02T10:11:12.", "2024-W01-8", "2024-01-02+03", "0001-01-01"])
+def test_iso_forms_equal_the_standard_library(one, text):
+    try:
+        want = datetime.fromisoformat(text.replace("Z", "+00:00")).replace(microsecond=0)
+    except ValueError:
+        want = None
+    assert one(dt.parse_date_multi, text) == (want and want.date().isoformat())
+    assert one(dt.parse_datetime_multi, text) == (want and want.isoformat())
+    utc = want and (want if want.tzinfo else want.replace(tzinfo=timezone.utc)).astimezone(timezone.utc).isoformat()
+    assert one(lambda c: dt.iso_utc(dt.to_utc(c)), text) == utc
+
+
+def test_map_link_inside_a_script(one):
+    assert one(geo.maps_coords, r"https://maps/embed?x=1&q=-10.5,-20.5") == {"latitude": -10.5, "longitude": -20.5}
+    assert one(geo.maps_coords, "https://maps/embed?x=1&amp;q=-10.5,-20.5") == {"latitude": -10.5, "longitude": -20.5}
+
+
+def test_a_leap_day_on_a_monday(one):
+    """A 29 February on a Monday is up to 40 years away; a 30 February never comes."""
+    at = lambda y: lambda c: F.date_format(ca.next_fire(c, F.lit(datetime(y, 3, 1))), "yyyy-MM-dd HH:mm")
+    assert one(at(2024), "0 0 29 2 mon") == "2044-02-29 03:00"
+    assert one(at(2044), "0 0 29 2 mon") == "2072-02-29 03:00"
+    assert one(at(2024), "0 0 30 2 *") is None
+
+
+def test_all_images_of_a_page_are_found(one):
+    page = "".join(f'<img src="https://img.example/{i}.jpg">' for i in range(1, 41))
+    assert one(pg.page_images, page) == [f"https://img.example/{i}.jpg" for i in range(1, 41)]
+
+
+def test_kept_images_equal_a_loop(one):
+    rng = random.Random(2)
+    urls = [f"https://i/?url={rng.choice('abc')}" + rng.choice(["", "&width=100", "&width=200", "&width=900", "&v=1&width=900"]) for _ in range(60)]
+    urls += ["https://j/plain.png", urls[0]]
+    found = {}
+    for i, u in enumerate(urls):
+        asset, width = re.search(r"url=([^\s&]+)", u), re.search(r"width=(\d+)", u)
+        asset, width = asset[1] if asset else u, int(width[1]) if width else 0
+        if width == 0 or width >= 200:
+            first, best = found.get(asset, (i, (-1, -1, "")))
+            found[asset] = (first, max(best, (width, i, u)))
+    want = list(dict.fromkeys(best[2] for _, best in sorted(found.values())))
+    assert one(lambda c: pg.best_images(F.split(c, " "), r"url=([^\s&]+)"), " ".join(urls)) == want
+
+
+def test_repeated_lines_go(one):
+    lines = ["Água boa", "x", "", "agua  BOA", "!!!", "x ", "y", "???", "Z z"]
+    assert one(lambda c: tx.distinct_by_token(F.split(c, "\n")), "\n".join(lines)) == ["Água boa", "x", "y", "Z z"]
+
+
+@pytest.mark.parametrize("kernel", [tx.drop_noise_lines, lambda c: F.array_join(pg.best_images(F.split(c, "\n"), r"line (\d+)"), " ")])
+def test_long_rows_take_time_in_proportion(spark, kernel):
+    def seconds(n):
+        df = spark.createDataFrame([("\n".join(f"line {i}" for i in range(n)),)], "c string")
+        start = time.time()
+        assert df.select(F.length(kernel(F.col("c"))).alias("n")).first()[0] > n
+        return time.time() - start
+
+    seconds(2000)
+    small = min(seconds(40_000) for _ in range(2))
+    assert min(seconds(80_000) for _ in range(2)) <= 2.5 * small + 0.5
