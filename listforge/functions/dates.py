@@ -53,8 +53,9 @@ def _iso(raw: Column) -> Column:
     plain = F.replace(raw, F.lit("Z"), F.lit("+00:00"))
 
     def read(text: Column) -> Column:
-        parts = F.struct(F.regexp_extract(text, ISO, 1).alias("day"), F.replace(F.regexp_extract(text, ISO, 2), F.lit(":"), F.lit("")).alias("time"),
-                         F.replace(F.regexp_extract(text, ISO, 3), F.lit(":"), F.lit("")).alias("offset"))
+        pieces = F.split(F.regexp_replace(text, ISO, "$1\u0001$2\u0001$3"), "\u0001")
+        bare = lambda c: F.replace(c, F.lit(":"), F.lit(""))
+        parts = tx.let(pieces, lambda p: F.struct(p[0].alias("day"), bare(p[1]).alias("time"), bare(p[2]).alias("offset")))
         return F.when(text.rlike(ISO), tx.let(parts, build))
 
     def build(p: Column) -> Column:

@@ -350,10 +350,12 @@ def patch_listing(stored: DataFrame, patches: DataFrame, now: Column | None = No
 
     level = F.when(F.col("__kind") == "first", F.col("__v")).otherwise(F.col("expected_version") - F.col("__free"))
     nodes = known.where("__kind in ('first', 'bound')").select("id", "__n", level.alias("level"), (F.col("__kind") == "first").alias("first")).checkpoint()
-    both = nodes.select("id", "level", "__n", F.col("__n").alias("to")).unionByName(nodes.select("id", (F.col("level") + 1).alias("level"), "__n", F.lit(None).cast("long").alias("to")))
-    jump = running(both, ["id", "level"], [F.col("__n").desc()], last={"next": F.col("to")}).where("to is null and next is not null").select("__n", "next").checkpoint()
     chain = nodes.where("first").select("__n")
-    while True:
+    bound = not nodes.where("not first").isEmpty()
+    if bound:
+        both = nodes.select("id", "level", "__n", F.col("__n").alias("to")).unionByName(nodes.select("id", (F.col("level") + 1).alias("level"), "__n", F.lit(None).cast("long").alias("to")))
+        jump = running(both, ["id", "level"], [F.col("__n").desc()], last={"next": F.col("to")}).where("to is null and next is not null").select("__n", "next").checkpoint()
+    while bound:
         newest = chain.join(jump, "__n").select(F.col("next").alias("__n")).checkpoint()
         if newest.isEmpty():
             break
