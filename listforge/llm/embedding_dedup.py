@@ -28,8 +28,8 @@ TILE = 1024
 MISS = 0.02
 
 
-def unit_rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(which values are usable, the usable ones scaled to length one, in double precision)."""
+def unit_rows(lists: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(which values are usable, the usable ones scaled to length one, in double precision; they may differ in length)."""
     good, out = [], []
     for v in lists.to_pylist():
         x = np.array([np.nan] if v is None or not v else [np.nan if e is None else e for e in v], np.float64)
@@ -37,7 +37,7 @@ def unit_rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         good.append(norm > 0 and np.isfinite(norm))
         if good[-1]:
             out.append(x / norm)
-    return np.array(good, bool), np.array(out)
+    return np.array(good, bool), out
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -67,12 +67,9 @@ def rotation(sample: np.ndarray, seed: int, rounds: int = 30) -> np.ndarray:
 def learn(units: DataFrame, rows: int, width: int, tables: int) -> np.ndarray | None:
     """Projection to the code bits of all tables, learned from the ``rows`` vectors with the least hash of the id."""
     got = units.withColumn("h", F.xxhash64("vec_id")).orderBy("h", "vec_id").limit(rows).select("unit").collect()
-    by_size: dict[int, list[np.ndarray]] = {}
-    for r in got:
-        by_size.setdefault(len(r[0]), []).append(np.frombuffer(bytes(r[0])))
-    if not by_size:
+    if not got:
         return None
-    x = np.array(max(by_size.values(), key=len))
+    x = np.array([np.frombuffer(bytes(r[0])) for r in got])
     _, _, vt = np.linalg.svd(x.T @ x)
     codes = -(-width * tables // x.shape[1])
     return np.concatenate([vt.T @ rotation(x @ vt.T, seed) for seed in range(codes)], 1)[:, :width * tables]
@@ -119,16 +116,19 @@ def dedup(vectors: DataFrame, least: float = 0.95, sample: int = 4000) -> DataFr
     """``vec_id, n_links, component_id, kept`` for every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing.  Equal
-    directions are looked up once and count for each other with their number.  Vectors of another length
-    than most of the sample link only with their equals.  A row with a null id is in the result alone.
+    directions are looked up once and count for each other with their number.  Vectors of different lengths
+    link with nothing of each other; every length is searched on its own.  A row with a null id is in the result alone.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     units = stored(usable(rows.filter("vec_id is not null")), "units")
     same = stored(units.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "directions")
-    width, tables = table_shape(same.count(), least)
-    p = learn(same.select(F.col("rep").alias("vec_id"), "unit"), sample, width, tables)
-    none = vectors.sparkSession.createDataFrame([], "rep long, more long, b long")
-    found = none if p is None else stored(found_links(same, p, width, least), "links")
+    found = vectors.sparkSession.createDataFrame([], "rep long, more long, b long")
+    sizes = same.groupBy(F.length("unit").alias("size")).count().filter("count > 1").orderBy("size").collect()
+    for size, n in sizes:
+        of_size = same.filter(F.length("unit") == size)
+        width, tables = table_shape(n, least)
+        p = learn(of_size.select(F.col("rep").alias("vec_id"), "unit"), sample, width, tables)
+        found = found.unionByName(stored(found_links(of_size, p, width, least), "links"))
     joined = components(found.select(F.col("rep").alias("a"), "b").filter("a <> b"))
     extra = found.groupBy("rep").agg(F.sum("more").alias("more"))
     by_rep = (same.join(extra, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
@@ -142,16 +142,13 @@ def dedup(vectors: DataFrame, least: float = 0.95, sample: int = 4000) -> DataFr
 def found_links(same: DataFrame, p: np.ndarray, width: int, least: float) -> DataFrame:
     """``rep, more, b``: links of a direction found in one pair of tiles, and a direction of its component there."""
     sent = same.sparkSession.sparkContext.broadcast(p)
-    size = 8 * len(p)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fits = [i for i, u in enumerate(batch.column("unit").to_pylist()) if len(u) == size]
-            if fits:
-                part = batch.take(pa.array(fits))
-                x = np.frombuffer(b"".join(part.column("unit").to_pylist())).reshape(len(fits), -1)
+            if batch.num_rows:
+                x = np.frombuffer(b"".join(batch.column("unit").to_pylist())).reshape(batch.num_rows, -1)
                 keys = keys_of(x @ sent.value > 0, width)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(keys.astype(np.int32)), pa.list_(pa.int32()))], names=["unit", "rep", "m", "keys"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(keys.astype(np.int32)), pa.list_(pa.int32()))], names=["unit", "rep", "m", "keys"])
 
     coded = stored(same.mapInArrow(keyed, "unit binary, rep long, m long, keys array<int>"), "codes")
     buckets = coded.select("*", F.posexplode("keys").alias("t", "key"))

@@ -1,4 +1,7 @@
-"""Line de-duplication by pairwise alignment, word by word.
+"""Line de-duplication: blocks of words that an earlier document holds, found by hashed windows.
+
+This replaces the alignment of document pairs by patience diff: pairs chosen by shared rare lines missed blocks whose lines
+stand apart in other texts, or that start or end within a line, and cut words no earlier document holds in one piece.
 
 A text is read as its words (white space, so line ends too, does not count).  A block of ``min_words`` words is
 deleted from the later document when one earlier document holds it without a gap, wherever it starts or ends in a
@@ -144,14 +147,14 @@ def find_cuts(docs: DataFrame, min_words: int = 25) -> DataFrame:
                                                   pa.array(hashed[kept].view(np.int64))], names=["row", "doc_id", "place", "name"])
 
     keyed = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("whole"), "text")
-    key = F.struct("doc_id", "row")
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     first = keyed.groupBy("whole").agg(F.min(key).alias("f"))
     anchors = stored(keyed.select("whole", "text").mapInArrow(read, "whole long, anchor long"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).filter(F.col("a") != F.col("b")).select("anchor")
     asked = (anchors.join(shared, "anchor").groupBy("whole").agg(F.collect_set("anchor").alias("anchors"))
              .join(first, "whole").select(F.col("f.row").alias("row"), "anchors"))
     held = stored(keyed.select("row", "doc_id", "text").join(asked, "row").mapInArrow(name, "row long, doc_id long, place int, name long"), "windows")
-    earliest = (held.groupBy("name").agg(F.min(key).alias("f"), F.max(key).alias("l")).filter(F.col("f.row") != F.col("l.row"))
+    earliest = (held.groupBy("name").agg(F.min(key).alias("f"), F.min("row").alias("a"), F.max("row").alias("b")).filter("a <> b")
                 .select("name", F.col("f.row").alias("other"), F.col("f.doc_id").alias("other_id")))
     found = (held.join(earliest, "name").filter(F.col("row") != F.col("other"))
              .groupBy("row").agg(F.collect_set("place").alias("places"), F.array_sort(F.collect_set("other_id")).alias("earlier")))
@@ -218,7 +221,8 @@ def cut_lines(docs: DataFrame, min_words: int = 25) -> DataFrame:
     every word that went the id of the earliest document that holds a block around it.
 
     Null and empty texts stay as they are.  Rows that repeat both id and text are one document and get one
-    answer each; of rows that share an id only, the one with the lower hash counts as the earlier.
+    answer each; of rows that share an id only, the one with the lower hash counts as the earlier.  A null id
+    comes after all others.
     """
     found = find_cuts(docs, min_words)
     keyed = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "row", "left")

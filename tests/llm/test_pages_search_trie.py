@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from listforge.llm import html_consensus, lexical_search, prefix_trie
+from listforge.llm import embedding_dedup, html_consensus, lexical_search, line_dedup, prefix_trie
 from listforge.llm.html_consensus import Page
 
 
@@ -191,3 +191,32 @@ def test_trie_of_little(spark):
     only = prefix_trie.digest(spark.createDataFrame([(lone, 1, "a", "b")], shape)).collect()
     assert [(r.conv_id, r.depth, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens) for r in only] == [(lone, 0, 1, 0, 1, 0)]
     assert only[0].ends_sha256 == hashlib.sha256(str(lone).encode()).hexdigest()
+
+
+# --- odd rows of two earlier operators -----------------------------------------------------------
+def test_vectors_of_several_lengths_link_within_their_length(spark):
+    rng = np.random.default_rng(3)
+    rows, at = [], 0
+    for size, n in ((8, 60), (5, 40), (3, 1), (1, 4)):
+        base = rng.standard_normal((max(1, n // 4), size))
+        for i in range(n):
+            rows.append((at, [float(x) for x in base[i % len(base)] + rng.standard_normal(size) * 0.03]))
+            at += 1
+    rows += [(at, None), (at + 1, []), (at + 2, [0.0] * 5), (at + 3, [None] * 8), (None, rows[0][1])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), 0.95).collect() if r.vec_id is not None}
+    use = {i: np.array(v) for i, v in rows[:at]}
+    links = {(i, j) for i in use for j in use if i < j and len(use[i]) == len(use[j]) and use[i] @ use[j] / np.sqrt((use[i] @ use[i]) * (use[j] @ use[j])) >= 0.95}
+    root = {i: i for i, _ in rows if i is not None}
+    for _ in rows:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    found = sum(n for n, _, _ in got.values()) / 2
+    assert 0.9 * len(links) <= found <= len(links)
+    assert sum(got[i][1] == root[i] for i in root) >= 0.9 * len(root) and {got[i] for i in range(at, at + 4)} == {(0, i, True) for i in range(at, at + 4)}
+
+
+def test_a_null_id_is_the_latest_document(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, passage + " zz"), (5, passage), (9, "head " + passage)]
+    got = {r.doc_id: (r.cut_words, r.text) for r in line_dedup.cut_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: (0, passage), 9: (60, "head"), None: (60, "zz")} or got == {5: (0, passage), 9: (60, "head "), None: (60, "zz")}
