@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from listforge.llm.common import as_bytes, byte_slices, mix, stored
 
@@ -37,6 +38,7 @@ LINE = re.compile(rb"[^\n]*\n|[^\n]+")
 SENTENCE = re.compile(rb"(?<=[.!?])[ \t]+")
 WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 BASE = 0x9E3779B97F4A7C15
+LAST = (1 << 63) - 1
 
 
 def units(text: bytes) -> list[tuple[int, int, int]]:
@@ -147,17 +149,16 @@ def find_cuts(docs: DataFrame, min_words: int = 25) -> DataFrame:
                                                   pa.array(hashed[kept].view(np.int64))], names=["row", "doc_id", "place", "name"])
 
     keyed = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("whole"), "text")
-    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    key = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "row")
     first = keyed.groupBy("whole").agg(F.min(key).alias("f"))
     anchors = stored(keyed.select("whole", "text").mapInArrow(read, "whole long, anchor long"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).filter(F.col("a") != F.col("b")).select("anchor")
     asked = (anchors.join(shared, "anchor").groupBy("whole").agg(F.collect_set("anchor").alias("anchors"))
              .join(first, "whole").select(F.col("f.row").alias("row"), "anchors"))
     held = stored(keyed.select("row", "doc_id", "text").join(asked, "row").mapInArrow(name, "row long, doc_id long, place int, name long"), "windows")
-    earliest = (held.groupBy("name").agg(F.min(key).alias("f"), F.min("row").alias("a"), F.max("row").alias("b")).filter("a <> b")
-                .select("name", F.col("f.row").alias("other"), F.col("f.doc_id").alias("other_id")))
-    found = (held.join(earliest, "name").filter(F.col("row") != F.col("other"))
-             .groupBy("row").agg(F.collect_set("place").alias("places"), F.array_sort(F.collect_set("other_id")).alias("earlier")))
+    holder = held.withColumn("f", F.min(key).over(Window.partitionBy("name")))
+    found = (holder.filter(F.col("row") != F.col("f.row")).groupBy("row")
+             .agg(F.collect_set("place").alias("places"), F.array_sort(F.collect_set(F.nullif("f.id", F.lit(LAST)))).alias("earlier")))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +166,7 @@ def find_cuts(docs: DataFrame, min_words: int = 25) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([False] * len(spans)), pa.array(spans, pa.list_(pa.int32())), batch.column("earlier")],
                                              names=["row", "copy", "spans", "earlier"])
 
-    copies = (keyed.select("row", "whole").join(first, "whole").filter(F.col("row") != F.col("f.row")).groupBy("row").agg(F.first("f.doc_id").alias("id"))
+    copies = (keyed.select("row", "whole").join(first, "whole").filter(F.col("row") != F.col("f.row")).groupBy("row").agg(F.first(F.nullif("f.id", F.lit(LAST))).alias("id"))
               .select("row", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("spans"), F.array_compact(F.array("id")).alias("earlier")))
     return found.mapInArrow(align, "row long, copy boolean, spans array<int>, earlier array<long>").unionByName(copies)
 
