@@ -10,7 +10,7 @@ norm_token format_description parse_amount salary_floor parse_float_br choose_pr
 norm_url control_number typed_attributes message_title message_company message_dedupe_key page_links page_blocks extract_jsonld
 page_label_values rule_score rule_argmax matched_keywords resolve_listing merge_listing ingest_batch batch_groups fold_links patch_listing
 sync_catalog schedule_expand normalize_listings extract_job_feed extract_messages extract_vehicles stream_dedup stream_first_seen stream_run_rollup stream_queue
-schedule_leap_day page_images_all envelope_json find_or_create_source append_run_history create_rejects replace_listing""".split()
+ingest_indexed stream_messages envelope_json find_or_create_source append_run_history create_rejects replace_listing""".split()
 
 
 @pytest.fixture(scope="module")
