@@ -1,11 +1,15 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over word and character
 inputs, trained in numpy, scoring all overlapping windows of a text.
 
-A word enters as its hashed word vector plus the mean of its hashed character trigram vectors.  A text is
-read in windows of ``WIDTH`` words, each starting ``STRIDE`` after the one before, and its score is that
-of its most toxic window.  Training works the same way: of every labelled text the window that scores
-highest now carries the gradient.  Tasks train on their part of a bounded sample and the driver averages
-the parameters between rounds, so what travels is the model alone.
+A word enters as its hashed word vector plus the mean of its hashed character trigram vectors.  Only words of
+``least_texts`` different labelled texts have a vector of their own, so that a word of one text cannot stand for
+its label; the vector's first place starts as the log ratio of the shares of toxic and of clean texts that hold the word.  A text is read in windows of ``WIDTH`` words, each starting ``STRIDE`` after the one before, and its
+score is that of its most toxic window.  In training the highest window of a clean text carries the gradient, and of
+a toxic text one drawn in proportion to ``exp(logit)``: while nothing is learned any window may be the toxic one.
+
+Tasks train on their part of a bounded sample and the driver averages parameters and moments between rounds, so
+what travels is the model alone.  A fifth of the sample is never counted or trained on: rounds go on until its loss has not
+fallen for ``patience`` rounds, and the parameters with the least loss are the model.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from listforge.llm.common import as_bytes, byte_slices, fold, stored
 from listforge.llm.quality import sample_of_labels
 
 WIDTH, STRIDE = 32, 16
-WORDS, GRAMS, DIM, HIDDEN = 1 << 13, 1 << 11, 12, 8
+WORDS, GRAMS, DIM, HIDDEN, SLOTS = 1 << 14, 1 << 11, 12, 8, 1 << 17
 EDGE = b".,;:!?\"'()[]{}|*%$&#-_"
 
 
@@ -37,6 +41,7 @@ def fresh(seed: int = 7) -> dict[str, np.ndarray]:
     p["att"] = draw(2 * HIDDEN, scale=0.3)
     p["out"] = draw(2 * HIDDEN, scale=0.5)
     p["bias"] = np.zeros(1, np.float32)
+    p["known"] = np.ones(SLOTS, np.float32)  # which words, by hash, have a vector; never trained
     return p
 
 
@@ -52,10 +57,17 @@ def unpack(raw: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def spell(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed word, hashed trigrams and the trigrams' owner of every token."""
+def named(bare: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh32_intdigest, bare), np.int64, len(bare))
+
+
+def spell(tokens: list[bytes], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of the word, 0 if it is not known, hashed trigrams and the trigrams' owner of every token."""
     bare = [t.strip(EDGE) or t for t in tokens]
-    word = np.fromiter((xxhash.xxh32_intdigest(t) for t in bare), np.int64, len(bare)) % (WORDS - 1) + 1
+    h = named(bare)
+    word = h % (WORDS - 1) + 1
+    if known is not None:
+        word = np.where(known[h % SLOTS] > 0, word, 0)
     line = np.frombuffer(b"\0" + b"\0".join(bare) + b"\0", np.uint8).astype(np.int64)
     centre = np.flatnonzero(line)
     grams = (line[centre - 1] * 1009 + line[centre] * 31 + line[centre + 1] * 7919) % GRAMS
@@ -92,7 +104,7 @@ class Lexicon:
                     rows[t] = len(rows) + 1
                     new.append(t)
         if new and self.p is not None:
-            vectors, _ = embed(self.p, *spell(new))
+            vectors, _ = embed(self.p, *spell(new, self.p["known"]))
             need = self.size + len(new)
             for s in "fb":
                 if need > len(self.gates[s]):
@@ -155,7 +167,7 @@ def forward(p: dict[str, np.ndarray], x: dict[str, np.ndarray], held: np.ndarray
 def backward(p, x, held, cache, dlogit, at, word, grams, owner, counts, vectors):
     """Gradients of all parameters; ``at`` is (WIDTH, windows) into the distinct words of the batch."""
     states, bent, a, pooled, kept = cache
-    g = {"bias": np.array([dlogit.sum()], np.float32), "out": pooled.T @ dlogit}
+    g = {"bias": np.array([dlogit.sum()], np.float32), "out": pooled.T @ dlogit, "known": np.zeros_like(p["known"])}
     dpool = dlogit[:, None] * p["out"]
     da = np.einsum("tnh,nh->tn", states, dpool)
     de = a * (da - (a * da).sum(0))
@@ -187,8 +199,10 @@ def backward(p, x, held, cache, dlogit, at, word, grams, owner, counts, vectors)
     return g
 
 
-def best_windows(p: dict[str, np.ndarray], lexicon: Lexicon, texts: list[list[bytes]], batch: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """(highest logit of each text, first word of that window)."""
+def best_windows(p: dict[str, np.ndarray], lexicon: Lexicon, texts: list[list[bytes]], batch: int = 4096,
+                 drawn: np.ndarray | None = None, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(highest logit of each text, first word of that window); for texts marked in ``drawn`` a window drawn in
+    proportion to ``exp(logit)`` takes the place of the highest."""
     sizes = np.array([len(t) for t in texts], np.int64)
     rows = lexicon.read(texts)
     owner, start = windows(sizes)
@@ -196,6 +210,8 @@ def best_windows(p: dict[str, np.ndarray], lexicon: Lexicon, texts: list[list[by
     for i in range(0, len(owner), batch):
         seen = fill(rows, sizes, owner[i:i + batch], start[i:i + batch]).T
         logits[i:i + batch] = forward(p, {s: lexicon.gates[s][seen] for s in "fb"}, seen > 0)
+    if drawn is not None:
+        logits += np.where(drawn[owner], rng.gumbel(size=len(owner)), 0).astype(np.float32)
     first = np.searchsorted(owner, np.arange(len(texts)))
     best = np.maximum.reduceat(logits, first)
     order = np.lexsort((start, -logits, owner))
@@ -203,25 +219,37 @@ def best_windows(p: dict[str, np.ndarray], lexicon: Lexicon, texts: list[list[by
 
 
 class Adam:
-    def __init__(self, p: dict[str, np.ndarray], rate: float):
-        self.m, self.v, self.t, self.rate = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0, rate
+    """Adam with decay of the weights; ``m`` and ``v`` live on from round to round."""
+
+    def __init__(self, m: dict[str, np.ndarray], v: dict[str, np.ndarray], t: int, rate: float, decay: float):
+        self.m, self.v, self.t, self.rate, self.decay = m, v, t, rate, decay
 
     def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:
         self.t += 1
-        for k in p:
+        for k in p.keys() - {"known"}:
             self.m[k] += 0.1 * (g[k] - self.m[k])
             self.v[k] += 0.005 * (g[k] * g[k] - self.v[k])
             p[k] -= self.rate * (self.m[k] / (1 - 0.9 ** self.t)) / (np.sqrt(self.v[k] / (1 - 0.995 ** self.t)) + 1e-6)
-
-
-def local_round(p: dict[str, np.ndarray], texts: list[list[bytes]], ys: np.ndarray, seed: int, updates: int = 60,
-                batch: int = 64, rate: float = 0.01) -> dict[str, np.ndarray]:
-    """At least ``updates`` steps, and at least one pass, over the texts' best windows under the given parameters."""
-    rng, adam = np.random.default_rng(seed), Adam(p, rate)
-    share = np.where(ys == 1, len(ys) / (2 * max(1, (ys == 1).sum())), len(ys) / (2 * max(1, (ys == 0).sum()))).astype(np.float32)
-    done = 0
-    while done < updates:
-        _, start = best_windows(p, Lexicon(p, 1 << 60), texts)
+            if k != "bias":
+                p[k] *= 1 - self.rate * self.decay
+
+
+def class_weights(ys: np.ndarray) -> np.ndarray:
+    """Weights that give both classes the same sum."""
+    ones = max(1, int((ys == 1).sum()))
+    zeros = max(1, int((ys == 0).sum()))
+    return np.where(ys == 1, len(ys) / (2 * ones), len(ys) / (2 * zeros)).astype(np.float32)
+
+
+def local_round(p: dict[str, np.ndarray], adam: Adam, texts: list[list[bytes]], ys: np.ndarray, seed: int,
+                updates: int = 60, fresh_after: int = 12, batch: int = 64) -> None:
+    """At least ``updates`` steps, and at least one pass; windows are chosen anew at the start of a pass, but not
+    before ``fresh_after`` steps with the last choice."""
+    rng, share, until, chosen_at = np.random.default_rng(seed), class_weights(ys), adam.t + updates, -fresh_after
+    while adam.t < until:
+        if adam.t >= chosen_at + fresh_after:
+            _, start = best_windows(p, Lexicon(p, 1 << 60), texts, drawn=ys == 1, rng=rng)
+            chosen_at = adam.t
         order = rng.permutation(len(texts))
         for i in range(0, len(order), batch):
             chosen = order[i:i + batch]
@@ -231,7 +259,7 @@ def local_round(p: dict[str, np.ndarray], texts: list[list[bytes]], ys: np.ndarr
             sizes = np.array([len(t) for t in parts], np.int64)
             owner = np.arange(len(parts))
             at = fill(rows, sizes, owner, np.cumsum(sizes) - sizes).T
-            spelled = spell(list(lexicon.rows))
+            spelled = spell(list(lexicon.rows), p["known"])
             vectors, counts = embed(p, *spelled)
             held = at > 0
             x = {}
@@ -240,44 +268,104 @@ def local_round(p: dict[str, np.ndarray], texts: list[list[bytes]], ys: np.ndarr
                 x[s] = gates[at]
             logit, cache = forward(p, x, held, keep=True)
             d = (share[chosen] * (1 / (1 + np.exp(-logit)) - ys[chosen]) / len(chosen)).astype(np.float32)
-            adam.step(p, backward(p, x, held, cache, d, at, *spelled, counts, vectors))
-            done += 1
-    return p
+            g = backward(p, x, held, cache, d, at, *spelled, counts, vectors)
+            g["word"][0] = 0
+            adam.step(p, g)
 
 
-def round_of(sent: bytes, turn: int):
-    """One task's part of a round, from the parameters of the last round."""
+def loss_of(p: dict[str, np.ndarray], texts: list[list[bytes]], ys: np.ndarray) -> tuple[float, float, int, int]:
+    """Sums of the log loss over toxic and over clean texts, and their numbers."""
+    if not texts:
+        return 0.0, 0.0, 0, 0
+    best, _ = best_windows(p, Lexicon(p, 1 << 60), texts)
+    each = np.logaddexp(0, np.where(ys == 1, -best, best).astype(np.float64))
+    return float(each[ys == 1].sum()), float(each[ys == 0].sum()), int((ys == 1).sum()), int((ys == 0).sum())
+
+
+def round_of(sent: tuple[bytes, bytes, bytes], turn: int, steps: int, rate: float, decay: float):
+    """One task's part of a round, from the parameters of the last round: their loss on the texts held back, then training."""
 
     def fit(table: pa.Table) -> pa.Table:
         found = sorted(zip(table.column("doc_id").to_pylist(), as_bytes(table.column("text").combine_chunks()), table.column("y").to_pylist()))
-        got = local_round(unpack(sent), [r[1].lower().split() for r in found], np.array([r[2] for r in found], np.float32), turn)
-        return pa.table({"n": pa.array([len(found)], pa.int64()), "p": pa.array([pack(got)])})
+        back = np.array([held_back(t) for _, t, _ in found])
+        texts, ys = [t.lower().split() for _, t, _ in found], np.array([y for *_, y in found], np.float32)
+        p, m, v = map(unpack, sent)
+        loss = loss_of(p, [t for t, b in zip(texts, back) if b], ys[back])
+        used = [t for t, b in zip(texts, back) if not b]
+        adam = Adam(m, v, steps, rate, decay)
+        if used:
+            local_round(p, adam, used, ys[~back], turn)
+        columns = {"n": len(used), "steps": adam.t, "toxic": loss[0], "clean": loss[1], "n_toxic": loss[2], "n_clean": loss[3], "p": pack(p), "m": pack(m), "v": pack(v)}
+        return pa.table({k: pa.array([x]) for k, x in columns.items()})
 
     return fit
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: tuple[int, int] = (5, 0), rows: int = 4000,
-          shards: int = 4, rounds: int = 6) -> dict[str, np.ndarray]:
-    """Learn from at most ``rows`` labelled texts of each class, none of the held-out fold, in up to
-    ``shards`` tasks of 500 texts or more; without any labelled text the fresh parameters come back with
-    a bias that scores everything clean."""
+FITTED = "n long, steps long, toxic double, clean double, n_toxic long, n_clean long, p binary, m binary, v binary"
+
+
+def held_back(text: bytes) -> bool:
+    return xxhash.xxh32_intdigest(text) % 5 == 0
+
+
+def with_ratios(p: dict[str, np.ndarray], sample: DataFrame, least_texts: int) -> dict[str, np.ndarray]:
+    """The parameters with the known words of the sample and their log ratios.  Repeated texts count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, y in zip(as_bytes(batch.column("text")), batch.column("y").to_pylist()):
+                if not held_back(text):
+                    h = np.unique(named([t.strip(EDGE) or t for t in [*text.lower().split(), b""]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), int(y == 1)))], names=["h", "toxic"])
+
+    words = (sample.groupBy("text").agg(F.max("y").alias("y")).mapInArrow(run, "h long, toxic long")
+             .groupBy("h").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).filter(F.col("n") >= least_texts))
+    found = np.array([(r.h, r.n, r.toxic) for r in words.collect()], np.int64).reshape(-1, 3)
+    p["known"][:] = 0
+    p["word"][0] = 0
+    if len(found):
+        h, n, toxic = found.T
+        all_toxic, all_clean = toxic[n.argmax()], n.max() - toxic[n.argmax()]  # the empty word stands in every text
+        ratio = np.log((toxic + 0.5) / (all_toxic + 1)) - np.log((n - toxic + 0.5) / (all_clean + 1))
+        p["known"][h % SLOTS] = 1
+        p["word"][h % (WORDS - 1) + 1, 0] = ratio / 4
+    return p
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: tuple[int, int] = (5, 0), rows: int = 4000, shards: int = 4,
+          rounds: int = 16, patience: int = 3, least_texts: int = 4, rate: float = 0.01, decay: float = 0.02) -> dict[str, np.ndarray]:
+    """Learn from at most ``rows`` labelled texts of each class, none of the held-out fold, in ``shards`` tasks and
+    at most ``rounds`` rounds; without any labelled text the fresh parameters come back with a bias that scores
+    everything clean."""
     sample = stored(sample_of_labels(docs, labels, label, held, rows), "toxicity")
-    shards = max(1, min(shards, sample.count() // 500))
-    p = fresh()
-    for turn in range(rounds):
-        fit = round_of(pack(p), turn)
-        got = sample.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")).applyInArrow(fit, "n long, p binary").collect()
-        if not got:
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
+    dealt = sample.select("*", shard).repartition(8 * shards, "shard")  # a stated number, so that the shards stay tasks of their own
+    p = with_ratios(fresh(), sample, least_texts)
+    m, v, steps = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
+    best, least_loss, waited = p, np.inf, 0
+    for turn in range(rounds + 1):
+        fit = round_of((pack(p), pack(m), pack(v)), turn, steps, rate, decay)
+        got = dealt.groupBy("shard").applyInArrow(fit, FITTED).collect()
+        total = sum(r.n for r in got)
+        if not total:
             p["bias"] -= 5
             return p
-        total = sum(r.n for r in got)
-        parts = [(unpack(bytes(r.p)), r.n / total) for r in got]
-        p = {k: sum(q[k] * share for q, share in parts).astype(np.float32) for k in p}
-    return p
+        loss = sum(sum(r[c] for r in got) / max(1, sum(r["n_" + c] for r in got)) for c in ("toxic", "clean")) / 2
+        if turn and loss < least_loss:
+            best, least_loss, waited = p, loss, 0
+        elif turn:
+            waited += 1
+        if waited == patience:
+            break
+        p, m, v = ({k: sum(q[k] * r.n for q, r in zip(parts, got)).astype(np.float32) / np.float32(total) for k in p}
+                   for parts in ([unpack(bytes(r[c])) for r in got] for c in "pmv"))
+        steps = max(r.steps for r in got)
+    return best
 
 
 def score_toxicity(docs: DataFrame, p: dict[str, np.ndarray], held: tuple[int, int] = (5, 0), slice_bytes: int = 1_500_000) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row.  Null and empty texts score by the bias alone."""
+    """``doc_id, held_out, score, predicted`` for every row.  Null and empty texts score by the bias alone; a null id
+    is not held out, and has no label to learn from."""
     sent = docs.sparkSession.sparkContext.broadcast(pack(p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +378,7 @@ def score_toxicity(docs: DataFrame, p: dict[str, np.ndarray], held: tuple[int, i
                     [part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(best.astype(np.float64), -30, 30))))], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (fold("doc_id", held[0]) == held[1]).alias("held_out"), "score",
+    return scored.select("doc_id", F.coalesce(fold("doc_id", held[0]) == held[1], F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -302,6 +302,25 @@ def test_toxic_words_are_learned(spark):
     assert kept == {i for i, r in got.items() if r.predicted == 0}
 
 
+def test_few_toxic_labels_are_enough(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels)).filter("held_out").join(labels.filter("toxic in (0, 1)").select("doc_id", "toxic"), "doc_id")
+    rows = scored.collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == y] for y in (1, 0))
+    assert sum(toxic) > len(toxic) / 2 and sum(clean) <= 0.02 * len(clean)
+
+
+def test_text_score_is_that_of_its_best_window():
+    rng = random.Random(3)
+    p = toxicity.fresh()
+    texts = [[rng.choice(["red", "blue,", "stone", "vile"]).encode() for _ in range(n)] for n in (0, 1, 32, 33, 50, 130)]
+    best, _ = toxicity.best_windows(p, toxicity.Lexicon(p), texts, batch=3)
+    for text, got in zip(texts, best):
+        starts = range(0, max(1, len(text) - toxicity.WIDTH + toxicity.STRIDE), toxicity.STRIDE)
+        alone = [toxicity.best_windows(p, toxicity.Lexicon(p), [text[s:s + toxicity.WIDTH]])[0][0] for s in starts]
+        assert abs(max(alone) - got) < 1e-4
+
+
 def test_classifiers_on_odd_rows(odd, docs, labels):
     p, w = toxicity.train(odd, labels, rounds=1), quality.train(docs, labels)
     for df in (toxicity.score_toxicity(odd, p), quality.score_quality(odd, w)):
