@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -285,7 +286,7 @@ def loss_of(p: dict[str, np.ndarray], texts: list[list[bytes]], ys: np.ndarray)
 def round_of(sent: tuple[bytes, bytes, bytes], turn: int, steps: int, rate: float, decay: float):
     """One task's part of a round, from the parameters of the last round: their loss on the texts held back, then training."""
 
-    def fit(table: pa.Table) -> pa.Table:
+    def fit(table: pa.Table) -> pa.RecordBatch:
         found = sorted(zip(table.column("doc_id").to_pylist(), as_bytes(table.column("text").combine_chunks()), table.column("y").to_pylist()))
         back = np.array([held_back(t) for _, t, _ in found])
         texts, ys = [t.lower().split() for _, t, _ in found], np.array([y for *_, y in found], np.float32)
@@ -296,9 +297,16 @@ def round_of(sent: tuple[bytes, bytes, bytes], turn: int, steps: int, rate: floa
         if used:
             local_round(p, adam, used, ys[~back], turn)
         columns = {"n": len(used), "steps": adam.t, "toxic": loss[0], "clean": loss[1], "n_toxic": loss[2], "n_clean": loss[3], "p": pack(p), "m": pack(m), "v": pack(v)}
-        return pa.table({k: pa.array([x]) for k, x in columns.items()})
+        return pa.RecordBatch.from_pydict({k: [x] for k, x in columns.items()})
 
-    return fit
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = [b for b in batches if b.num_rows]
+        if read:
+            table = pa.Table.from_batches(read)
+            for shard in sorted(set(table.column("shard").to_pylist())):
+                yield fit(table.filter(pc.equal(table.column("shard"), shard)))
+
+    return run
 
 
 FITTED = "n long, steps long, toxic double, clean double, n_toxic long, n_clean long, p binary, m binary, v binary"
@@ -339,13 +347,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: tuple[
     everything clean."""
     sample = stored(sample_of_labels(docs, labels, label, held, rows), "toxicity")
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
-    dealt = sample.select("*", shard).repartition(8 * shards, "shard")  # a stated number, so that the shards stay tasks of their own
+    dealt = stored(sample.select("*", shard).repartition(8 * shards, "shard"), "toxicity-shards")  # a file is one shard, read anew by every round
     p = with_ratios(fresh(), sample, least_texts)
     m, v, steps = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
     best, least_loss, waited = p, np.inf, 0
     for turn in range(rounds + 1):
         fit = round_of((pack(p), pack(m), pack(v)), turn, steps, rate, decay)
-        got = dealt.groupBy("shard").applyInArrow(fit, FITTED).collect()
+        got = dealt.mapInArrow(fit, FITTED).collect()
         total = sum(r.n for r in got)
         if not total:
             p["bias"] -= 5
