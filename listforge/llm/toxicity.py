@@ -9,7 +9,7 @@ a toxic text one drawn in proportion to ``exp(logit)``: while nothing is learned
 
 Tasks train on their part of a bounded sample and the driver averages parameters and moments between rounds, so
 what travels is the model alone.  A fifth of the sample is never counted or trained on: rounds go on until its loss has not
-fallen for ``patience`` rounds, and the parameters with the least loss are the model.
+fallen by ``gain`` for ``patience`` rounds, and the parameters with the least loss are the model.
 """
 
 from __future__ import annotations
@@ -341,7 +341,7 @@ def with_ratios(p: dict[str, np.ndarray], sample: DataFrame, least_texts: int) -
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: tuple[int, int] = (5, 0), rows: int = 4000, shards: int = 4,
-          rounds: int = 16, patience: int = 3, least_texts: int = 4, rate: float = 0.01, decay: float = 0.02) -> dict[str, np.ndarray]:
+          rounds: int = 16, patience: int = 3, gain: float = 0.003, least_texts: int = 4, rate: float = 0.01, decay: float = 0.02) -> dict[str, np.ndarray]:
     """Learn from at most ``rows`` labelled texts of each class, none of the held-out fold, in ``shards`` tasks and
     at most ``rounds`` rounds; without any labelled text the fresh parameters come back with a bias that scores
     everything clean."""
@@ -350,7 +350,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: tuple[
     dealt = stored(sample.select("*", shard).repartition(8 * shards, "shard"), "toxicity-shards")  # a file is one shard, read anew by every round
     p = with_ratios(fresh(), sample, least_texts)
     m, v, steps = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
-    best, least_loss, waited = p, np.inf, 0
+    best, least_loss, counted, waited = p, np.inf, np.inf, 0
     for turn in range(rounds + 1):
         fit = round_of((pack(p), pack(m), pack(v)), turn, steps, rate, decay)
         got = dealt.mapInArrow(fit, FITTED).collect()
@@ -359,10 +359,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: tuple[
             p["bias"] -= 5
             return p
         loss = sum(sum(r[c] for r in got) / max(1, sum(r["n_" + c] for r in got)) for c in ("toxic", "clean")) / 2
-        if turn and loss < least_loss:
-            best, least_loss, waited = p, loss, 0
-        elif turn:
-            waited += 1
+        if turn:
+            waited = 0 if loss < counted - gain else waited + 1
+            counted = loss if not waited else counted
+            if loss < least_loss:
+                best, least_loss = p, loss
         if waited == patience:
             break
         p, m, v = ({k: sum(q[k] * r.n for q, r in zip(parts, got)).astype(np.float32) / np.float32(total) for k in p}
