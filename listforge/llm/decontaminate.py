@@ -3,7 +3,9 @@
 Texts and test items are folded (lower case, runs of anything but letters and digits become one space).
 An item of ``n`` characters may differ from a passage by ``k = n * rate`` edits.  Cut into ``k + 1`` pieces, at
 least one piece of a matching passage is unchanged, so an automaton over all pieces finds every candidate
-in one pass over a text, and Myers' bit-parallel distance decides about the passage around it.
+in one pass over a text, and Myers' bit-parallel distance decides about the passage around it.  Ends that
+stand next to each other belong to one passage, of which the nearest end counts; every passage is returned.  An item
+too short for an edit must stand between word bounds, so that a one-word item is not found inside other words.
 """
 
 from __future__ import annotations
@@ -51,10 +53,10 @@ def pieces(item: str, edits: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def best_end(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
-    """(least distance of the pattern to any part of the text, end of the first such part)."""
+def ends_within(masks: dict[str, int], m: int, text: str, edits: int) -> Iterator[tuple[int, int]]:
+    """(end, distance) of every part of the text within ``edits`` of a pattern of ``m`` characters, by rising end."""
     full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best, end = full, 0, m, m, 0
+    pv, mv, score = full, 0, m
     for j, ch in enumerate(text):
         eq = masks.get(ch, 0)
         xv = eq | mv
@@ -66,9 +68,8 @@ def best_end(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
             score -= 1
         ph, mh = (ph << 1) & full, (mh << 1) & full
         pv, mv = mh | ~(xv | ph) & full, ph & xv
-        if score < best:
-            best, end = score, j + 1
-    return best, end
+        if score <= edits:
+            yield j + 1, score
 
 
 def masks_of(pattern: str) -> dict[str, int]:
@@ -99,7 +100,7 @@ class Matcher:
             self.automaton.make_automaton()
 
     def match(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item id, distance, start, end) of the nearest passage of every item within its budget."""
+        """(item id, distance, start, end) of every passage of every item within its budget."""
         if not self.items:
             return []
         wanted: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -107,24 +108,51 @@ class Matcher:
             for k, upto in where:
                 edits, n = self.items[k][2], len(self.items[k][1])
                 a = max(0, end + 1 - upto - edits)
-                spans = wanted[k]
-                if spans and a <= spans[-1][1] and a >= spans[-1][0]:
-                    spans[-1] = (spans[-1][0], max(spans[-1][1], a + n + 2 * edits))
-                else:
-                    spans.append((a, a + n + 2 * edits))
+                wanted[k].append((a, a + n + 2 * edits))
         out = []
         for k, spans in wanted.items():
-            item_id, pattern, edits, forward, backward = self.items[k]
-            best = None
-            for a, b in dict.fromkeys(spans):
-                d, end = best_end(forward, len(pattern), text[a:b])
-                if d <= edits and (best is None or (d, a + end) < (best[0], best[2])):
-                    _, back = best_end(backward, len(pattern), text[a:a + end][::-1])
-                    best = (d, a + end - back, a + end)
-            if best:
-                out.append((item_id, *best))
+            passages: dict[int, tuple[int, int]] = {}
+            for a, b in joined(spans):
+                for d, end in self.passages(k, text, a, b):
+                    start = self.start(k, text, a, end, d)
+                    passages[start] = min(passages.get(start, (d, end)), (d, end))
+            out += [(self.items[k][0], d, start, end) for start, (d, end) in sorted(passages.items())]
         return out
 
+    def passages(self, k: int, text: str, a: int, b: int) -> list[tuple[int, int]]:
+        """(distance, end) of the passages of one item in a part of the text."""
+        _, pattern, edits, forward, _ = self.items[k]
+        ends = [(d, a + end) for end, d in ends_within(forward, len(pattern), text[a:b], edits)]
+        if not edits:
+            bound = lambda i: i in (0, len(text)) or " " in text[i - 1:i + 1]
+            return [(d, end) for d, end in ends if bound(end) and bound(end - len(pattern))]
+        found: list[tuple[int, int]] = []
+        last = None
+        for d, end in ends:
+            if last is None or end > last + 1:
+                found.append((d, end))
+            elif d < found[-1][0]:
+                found[-1] = (d, end)
+            last = end
+        return found
+
+    def start(self, k: int, text: str, a: int, end: int, d: int) -> int:
+        """Where the passage that ends at ``end`` with distance ``d`` starts; of several the latest."""
+        _, pattern, _, _, backward = self.items[k]
+        back, _ = next(ends_within(backward, len(pattern), text[a:end][::-1], d))
+        return end - back
+
+
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Parts that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
 
 def blocks_of(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size, so that what a task holds does not grow with the benchmark."""
@@ -141,10 +169,10 @@ def blocks_of(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[t
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, spans: bool = True) -> DataFrame:
     """``doc_id, item_id, distance, start, end``: for each text and test item within ``rate`` edits a character
-    of the item, the nearest passage, as places in the text (end exclusive).
+    of the item, every passage, as places in the text (end exclusive).
 
-    Null and empty texts and items match nothing; repeated rows are repeated; equal distances give the
-    first passage.  The items go to the tasks in blocks of ``BLOCK_CHARS`` characters, one pass for each.
+    Null and empty texts and items match nothing; repeated rows are repeated; of equal distances in one
+    passage the first end counts.  The items go to the tasks in blocks of ``BLOCK_CHARS`` characters, one pass for each.
     """
     spark = docs.sparkSession
     shape = "doc_id long, item_id long, distance int, start long, end long"
