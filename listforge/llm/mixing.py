@@ -7,7 +7,9 @@ then realised as block permutations: the documents of a source are dealt into bl
 goes through all blocks in an order of its own, and the last one stops when the budget is used up.
 
 Everything is done with DataFrame operations.  Sources and blocks are aggregated before anything is
-ordered, and the only windows are over the blocks of a source and the documents of a block.
+ordered.  Where the blocks of a source start is a sum in two levels: over ``RANGES`` ranges of their order, then
+over the blocks of one range, so that no window holds all blocks of a source.  A block has at most about
+``block_tokens`` documents, empty ones included.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql.window import Window
 from listforge.llm.common import stored
 
 STEPS, LEVELS = 12, 6
+RANGES = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -80,19 +83,25 @@ def mix_sources(docs: DataFrame, max_repeats: float | None = 1.25, entropy: floa
     Rows that repeat an id are documents of their own.
     """
     rows = stored(counted(docs), "tokens")
-    sources = stored(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "sources")
+    sources = stored(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_rows")), "sources")
     total = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     budget = total if budget is None else budget
     a = exponent(sources, total, budget, max_repeats, entropy) if total else 1.0
     z = sources.filter("tokens > 0").agg(F.coalesce(F.sum(F.pow(F.col("tokens") / F.lit(float(total or 1)), F.lit(a))), F.lit(1.0))).first()[0]
     share = F.round(F.pow(F.col("tokens") / F.lit(float(total or 1)), F.lit(a)) / F.lit(z), 12)
-    plan = stored(sources.filter("tokens > 0").select("source", "tokens", F.floor(F.lit(budget) * share).alias("budget"))
-                  .select("*", F.ceil(F.col("tokens") / F.lit(float(block_tokens))).alias("blocks"), F.expr("budget div tokens").alias("full")), "plan")
+    plan = stored(sources.filter("tokens > 0").select("source", "tokens", "n_rows", F.floor(F.lit(budget) * share).alias("budget"))
+                  .select("*", F.ceil(F.greatest("tokens", "n_rows") / F.lit(float(block_tokens))).alias("blocks"), F.expr("budget div tokens").alias("full")), "plan")
     dealt = rows.join(plan.select("source", "blocks"), "source").withColumn("block", hashed(str(seed), F.col("doc_id")) % F.col("blocks"))
     blocks = stored(dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("size")), "blocks")
     epochs = blocks.join(plan, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full"))))
-    before = Window.partitionBy("source", "epoch").orderBy(hashed(str(seed), F.col("source"), F.col("epoch"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
-    started = (epochs.withColumn("block_start", F.coalesce(F.sum("size").over(before), F.lit(0)) + F.col("epoch") * F.col("tokens"))
+    ordered = (epochs.withColumn("key", hashed(str(seed), F.col("source"), F.col("epoch"), F.col("block")))
+               .withColumn("range", F.floor(F.col("key") / F.lit(float((1 << 60) // RANGES)))))
+    earlier = Window.unboundedPreceding, -1
+    ranges = ordered.groupBy("source", "epoch", "range").agg(F.sum("size").alias("held")).withColumn(
+        "base", F.coalesce(F.sum("held").over(Window.partitionBy("source", "epoch").orderBy("range").rowsBetween(*earlier)), F.lit(0)))
+    before = Window.partitionBy("source", "epoch", "range").orderBy("key", "block").rowsBetween(*earlier)
+    started = (ordered.join(ranges.drop("held"), ["source", "epoch", "range"])
+               .withColumn("block_start", F.col("base") + F.coalesce(F.sum("size").over(before), F.lit(0)) + F.col("epoch") * F.col("tokens"))
                .filter((F.col("epoch") < F.col("full")) | (F.col("block_start") < F.col("budget")))
                .select("source", "block", "epoch", "block_start", "budget"))
     place = hashed(str(seed), F.col("epoch"), F.col("doc_id"), F.lit("place"))

@@ -25,6 +25,7 @@ WORDS = {
 }
 START = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.5, "iban": 0.9}
 CONTEXT = 40
+LIKELY = 0.8
 SPANS = "array<struct<start:int,end:int,hit:string>>"
 
 EMAIL = f"(?:\\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9\\-]++{MARK}[A-Za-z0-9\\-{MARK}]*+"
@@ -122,10 +123,14 @@ def find_spans(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts and a digest of the spans of every row, as one line of text."""
+    """Counts and a digest of the spans of every row, as one line of text; ``scores`` are those of the spans in
+    the same order, in hundredths, and ``n_likely`` counts the spans with a score of at least ``LIKELY``."""
     rows = find_spans(docs)
     written = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))
     base = F.filter("spans", lambda x: x["rank"] < 4)
     count = lambda rank: F.size(F.filter("spans", lambda x: x["rank"] == rank)).cast("long")
     counts = [count(rank).alias(f"n_{k}") for rank, k in enumerate(KINDS[:4])]
-    return rows.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    hundredths = F.transform("spans", lambda x: F.round(x["score"] * 100).cast("int").cast("string"))
+    likely = F.size(F.filter("spans", lambda x: x["score"] >= LIKELY)).cast("long")
+    return rows.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"),
+                       F.concat_ws(",", hundredths).alias("scores"), likely.alias("n_likely"))

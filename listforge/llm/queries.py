@@ -96,7 +96,7 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op10_mixing"] = r"""
 WITH rows AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens FROM documents),
-sources AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM rows GROUP BY source HAVING sum(n_tokens) > 0),
+sources AS (SELECT source, sum(n_tokens)::BIGINT AS tokens, count(*) AS n_rows FROM rows GROUP BY source HAVING sum(n_tokens) > 0),
 tot AS (SELECT sum(tokens)::DOUBLE AS t FROM sources),
 fig AS (
   SELECT k / 4096.0::DOUBLE AS a, max(pow(tokens / t, k / 4096.0::DOUBLE) / tokens) * any_value(t) / sum(pow(tokens / t, k / 4096.0::DOUBLE)) AS r
@@ -104,7 +104,7 @@ fig AS (
 ex AS (SELECT coalesce(min(a) FILTER (WHERE r <= 1.25 + 1e-12), 1.0) AS a FROM fig),
 zed AS (SELECT sum(pow(tokens / t, a)) AS z FROM sources, tot, ex),
 plan AS (
-  SELECT source, tokens, floor(t * round(pow(tokens / t, a) / z, 12))::BIGINT AS budget, ceil(tokens / 65536.0)::BIGINT AS blocks
+  SELECT source, tokens, floor(t * round(pow(tokens / t, a) / z, 12))::BIGINT AS budget, ceil(greatest(tokens, n_rows) / 65536.0)::BIGINT AS blocks
   FROM sources, tot, ex, zed),
 dealt AS (
   SELECT r.*, p.tokens, p.budget, ('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '-')), 1, 15))::BIGINT % p.blocks AS block
@@ -155,24 +155,32 @@ hits AS (
     (2, 'card', '[0-9](?:[\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'),
     (4, 'iban', '\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b')) k(rank, kind, p)),
 each AS (
-  SELECT doc_id, rank, kind, hits[i] AS hit,
+  SELECT doc_id, text, rank, kind, hits[i] AS hit,
     (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
   FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM hits)),
 coded AS (SELECT *, start + length(hit) AS stop, regexp_replace(hit, '[^0-9]', '', 'g') AS d, replace(hit, ' ', '') AS bare FROM each),
 good AS (
-  SELECT doc_id, rank, kind, start, stop FROM coded WHERE CASE kind WHEN 'email' THEN TRUE
+  SELECT doc_id, rank, kind, start, stop, lower(substr(text, greatest(start - 40, 0) + 1, least(start, 40))) AS before FROM coded WHERE CASE kind WHEN 'email' THEN TRUE
     WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) > 3 OR ('0' || left(ltrim(x, '0'), 3))::INTEGER > 255)) = 0
     WHEN 'card' THEN length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(0, length(d)), lambda i:
       CASE WHEN i % 2 = 0 THEN d[length(d) - i]::INTEGER WHEN d[length(d) - i]::INTEGER > 4 THEN d[length(d) - i]::INTEGER * 2 - 9 ELSE d[length(d) - i]::INTEGER * 2 END)) % 10 = 0
     WHEN 'phone' THEN length(d) BETWEEN 9 AND 15
     ELSE list_reduce(list_prepend(0, list_transform(string_split(bare[5:] || bare[:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::INTEGER ELSE ascii(c) - 55 END)),
       lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1 END),
+scored AS (
+  SELECT *, CASE kind
+    WHEN 'email' THEN CASE WHEN regexp_matches(before, 'mail|contact|write') THEN 100 ELSE 80 END
+    WHEN 'ip' THEN CASE WHEN regexp_matches(before, 'ip|host|server|address') THEN 80 ELSE 60 END
+    WHEN 'card' THEN CASE WHEN regexp_matches(before, 'card|visa|credit|payment') THEN 100 ELSE 80 END
+    WHEN 'phone' THEN CASE WHEN regexp_matches(before, 'phone|tel|call|mobile') THEN 70 ELSE 50 END
+    ELSE CASE WHEN regexp_matches(before, 'iban|account|bank') THEN 100 ELSE 90 END END AS score FROM good),
 joined AS (
   SELECT doc_id, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone,
     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 4) AS base,
-    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM good GROUP BY doc_id)
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+    string_agg(score::VARCHAR, ',' ORDER BY start, rank) AS scores, count(*) FILTER (score >= 80) AS n_likely FROM scored GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN joined j ON j.doc_id = t.doc_id
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores, coalesce(n_likely, 0) AS n_likely FROM t LEFT JOIN joined j ON j.doc_id = t.doc_id
 """
 # Pages of one family: the article element, up to the end where a page is cut off.
 ORACLES["op11_html_extraction"] = r"""
