@@ -98,14 +98,16 @@ class Leader:
 
 def sample_of_labels(docs: DataFrame, labels: DataFrame, label: str, held: tuple[int, int], rows: int) -> DataFrame:
     """``text, y``: up to ``rows`` labelled training texts of each class, those with the least hash of
-    the id.  ``held`` is (modulus, remainder) of the fold that is never learned from."""
+    the id.  ``held`` is (modulus, remainder) of the fold that is never learned from.  Of rows that repeat an id
+    the least text is taken, so the sample has at most ``2 * rows`` texts however often an id stands in the table."""
     marked = (labels.filter(F.col(label).isin(0, 1) & (fold("doc_id", held[0]) != held[1]))
               .groupBy("doc_id").agg(F.max(label).alias("y")))
     chosen = None
     for y in (0, 1):
         part = marked.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+            .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held: tuple[int, int] = (3, 1), bits: int = 18,
@@ -135,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held: tupl
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray, held: tuple[int, int] = (3, 1), slice_bytes: int = 1_000_000) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row; null reads as the empty text, which scores by the bias alone."""
+    """``doc_id, held_out, score, predicted`` for every row; null reads as the empty text, which scores by the bias
+    alone.  A null id is not held out, and has no label to learn from."""
     bits = int(np.log2(len(weights) - 1))
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -150,5 +153,5 @@ def score_quality(docs: DataFrame, weights: np.ndarray, held: tuple[int, int] =
                     [part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))), pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (fold("doc_id", held[0]) == held[1]).alias("held_out"), "score",
+    return scored.select("doc_id", F.coalesce(fold("doc_id", held[0]) == held[1], F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -141,15 +141,33 @@ def test_edit_matching_equals_dynamic_programming():
     for _ in range(300):
         items = [(k, draw(rng.randint(1, 25))) for k in range(4)]
         text = decontaminate.folded(draw(rng.randint(0, 60)))
-        got = {i: d for i, d, a, b in decontaminate.Matcher(items, 0.2).match(text)}
+        found = decontaminate.Matcher(items, 0.2).match(text)
+        got = {i: min(d for j, d, _, _ in found if j == i) for i, *_ in found}
         want = {}
         for i, item in items:
             item = decontaminate.folded(item)
-            if item and text and (d := nearest(item, text)) <= int(len(item) * 0.2):
+            if item and len(item) < 5:
+                if f" {item} " in f" {text} ":
+                    want[i] = 0
+            elif item and text and (d := nearest(item, text)) <= int(len(item) * 0.2):
                 want[i] = d
         assert got == want, (items, text)
 
 
+def test_every_passage_and_word_bounds():
+    item, rng = "the quick brown fox jumps over the lazy dog near the river", random.Random(5)
+    for times in range(1, 6):
+        text, places = "", []
+        for _ in range(times):
+            text += " ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.randint(1, 30))) + " "
+            places.append((len(text), len(text) + len(item)))
+            text += item + " "
+        for rate in (0.0, 0.06):
+            assert decontaminate.Matcher([(1, item)], rate).match(text.strip()) == [(1, 0, a, b) for a, b in places]
+    assert sorted(decontaminate.Matcher([(1, "cat"), (2, "a")], 0.06).match("concatenate cat a cat")) == [(1, 0, 12, 15), (1, 0, 18, 21), (2, 0, 16, 17)]
+    assert len(decontaminate.Matcher([(1, "ab " * 10)], 0.06).match("ab " * 200)) >= 1
+
+
 def test_leaks_are_found_with_their_places(spark):
     item = "The quick brown fox, jumps over the lazy dog near the river bank at noon."
     near = item.replace("brown", "browne").replace("lazy", "lzy").upper()
@@ -325,7 +343,9 @@ def test_classifiers_on_odd_rows(odd, docs, labels):
     p, w = toxicity.train(odd, labels, rounds=1), quality.train(docs, labels)
     for df in (toxicity.score_toxicity(odd, p), quality.score_quality(odd, w)):
         rows = df.collect()
-        assert len(rows) == odd.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+        assert len(rows) == odd.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out is not None for r in rows)
+    once, twice = (quality.sample_of_labels(d, labels, "quality", (3, 1), 50) for d in (docs, docs.union(docs)))
+    assert sorted(once.collect()) == sorted(twice.collect())
     assert toxicity.without_toxic(odd, toxicity.train(odd, empty(labels))).columns == odd.columns
     assert toxicity.score_toxicity(empty(odd), p).count() == quality.score_quality(empty(odd), w).count() == 0
     assert quality.train(odd, empty(labels)).any() == np.False_
@@ -377,6 +397,9 @@ def test_checksums_and_context(spark):
     spans = personal_data.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
     assert [(s.kind, text[s.start:s.end]) for s in spans] == [("iban", "GB82WEST12345698765432"), ("ip", "10.0.0.1")]
     assert spans[0].score == 1.0 and spans[1].score == 0.8
+    rows = [(1, text), (2, "x" * 60 + " 10.0.0.1 then call +49 30 1234567"), (3, "10.0.0.1"), (4, None)]
+    got = by_id(personal_data.digest(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [(got[i].scores, got[i].n_likely) for i in (1, 2, 3, 4)] == [("100,80", 2), ("60,70", 0), ("60", 0), ("", 0)]
 
 
 # --- line de-duplication ------------------------------------------------------------------------
