@@ -1,20 +1,26 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-Every word falls into one of ``SIDE * SIDE`` buckets: frequent words have one of their own, the others
-share buckets by hash.  The probability of a token is the product of three factors,
-
-    P(class | context) * P(slot | class, context) * P(word | bucket),
-
-a softmax over classes, a softmax over the slots of the class, and the add-one share of the word within
-its bucket by corpus counts.  The first two are log-linear in hashed features of the context: the
-previous word, the previous two words, the word before the previous one (a skip), and a bias.  They are
-trained by gradient updates in tasks: each round every task steps through its part of the round's texts
-from the parameters of the last round, and the tasks' changes are averaged row by row with the number of
-updates as weight.  Every training text is learned from in exactly one round.
-
-Words are named by 64-bit hashes; two of ``n`` distinct words share one with probability about
-``n * n / 2 ** 65``.  Counts of all words stay a distributed table.  What is broadcast is the model and
-the counts of the ``HEAD`` most frequent words, both of fixed size; rarer words meet their counts in a join.
+The ``HEAD`` most frequent words are outcomes of their own, the others share ``1 << TAIL_BITS`` hashed outcomes.
+Outcomes fall into ``SIDE`` classes of about equal mass by frequency.  The probability of a token is the product
+
+    P(class | context) * P(outcome | class, context) * P(word | outcome),
+
+a softmax over classes, a softmax over the outcomes of the class, and for shared outcomes the add-one share of
+the word by corpus counts.  The class factor is log-linear in hashed features of the context: the previous word,
+the previous two words, the word before the previous one (a skip), and a bias.  The outcome factor starts
+from the outcome's share of its class and has a weight for every (previous word, outcome) and every (previous two
+words, outcome) of the training texts; outcomes without a weight share what the class total leaves them, so the
+softmax over all of them is summed over the weighted ones alone.
+
+Weights grow with the corpus: tokens are dealt by their previous word to shards of about ``SHARD`` tokens, a shard
+holds all weights of its contexts, and its task learns and scores.  The tokens of a word that precedes more than
+``HOT`` tokens are spread over several shards by text, so that no word, passage or copy makes a shard large.  Each
+shard steps along its gradient: in batches for the classes, over its counts for the outcomes, whose expected counts
+are led to the observed ones less a discount estimated from words seen once and twice.
+
+Words are named by 64-bit hashes; two of ``n`` distinct words share one with probability about ``n * n / 2 ** 65``;
+contexts in a shard by 32 and 40 bits.  Counts of all words stay a distributed table.  What is broadcast are the
+figures of the outcomes, of fixed size; rarer words meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -30,15 +36,19 @@ from pyspark.sql import types as T
 
 from listforge.llm.common import byte_slices, fold, mix, stored
 
-SIDE, OWN, HEAD = 16, 128, 16384
-ROWS = (1 << 14, 1 << 15)
+SIDE, HEAD, TAIL_BITS = 16, 1 << 17, 18
+OUTCOMES = HEAD + (1 << TAIL_BITS)
+OUTCOME_BITS = 19
+ROWS = 1 << 15
 CONTEXTS = 3
-CHUNKS = 32
+SHARD, HOT = 1_500_000, 300_000
+TOKEN = np.dtype([("one", "<u4"), ("two", "<u4"), ("at", "<u4"), ("row", "<u2")])
+TRAIN = np.uint32(1 << 31)
 BASE = 0x9E3779B97F4A7C15
 BACK = np.uint64(pow(BASE, -1, 1 << 64))
 END = np.uint64(0xD6E8FEB86659FD93)
 BLOCK = 1 << 20
-SLOT = np.uint64(46)
+SLOT = np.uint64(43)
 LOWER = np.arange(256, dtype=np.uint64)
 LOWER[65:91] += np.uint64(32)
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -117,17 +127,18 @@ def count_words(docs: DataFrame, slice_bytes: int = 2_000_000, held_most: int =
 
 @dataclass
 class Lexicon:
-    """Figures of fixed size every task needs: the most frequent words and the totals of the buckets."""
+    """Figures of fixed size every task needs: the most frequent words and what is known of every outcome."""
 
     names: np.ndarray
     counts: np.ndarray
-    own: np.ndarray
-    share: np.ndarray
+    kind: np.ndarray  # class of every outcome
+    base: np.ndarray  # natural log of its share of the class
+    share: np.ndarray  # log10 of one over the total of a shared outcome, 0 for a word of its own
     total: int
     distinct: int
 
     def __post_init__(self) -> None:
-        self.place = np.zeros(1 << 18, np.int32)
+        self.place = np.zeros(1 << 21, np.int32)
         self.place[(self.names >> SLOT).astype(np.int64)] = np.arange(len(self.names))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,72 +148,67 @@ class Lexicon:
         at = self.place[(h >> SLOT).astype(np.int64)]
         return at, self.names[at] == h
 
-    def buckets(self, h: np.ndarray) -> np.ndarray:
+    def outcomes(self, h: np.ndarray) -> np.ndarray:
         at, there = self.find(h)
-        own = np.where(there, self.own[at], -1) if len(self.names) else np.full(len(h), -1)
-        return np.where(own >= 0, own, OWN + (h % np.uint64(SIDE * SIDE - OWN)).astype(np.int64))
+        return np.where(there, at, HEAD + (h >> np.uint64(64 - TAIL_BITS)).astype(np.int64))
+
+    def parts(self, h: np.ndarray) -> np.ndarray:
+        """Over how many shards the tokens after each word are spread."""
+        at, there = self.find(h)
+        if not len(self.names):
+            return np.ones(len(h), np.int64)
+        rest = self.counts.min() if len(self.names) > HEAD // 2 else 0
+        return 1 + np.where(there, self.counts[at], rest) // HOT
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(HEAD).collect()
-    h = np.array([r.h for r in top], np.int64).view(np.uint64)
-    c = np.array([r.c for r in top], np.int64)
+    top = counts.orderBy(F.desc("c"), "h").limit(HEAD).toArrow()
+    h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
     _, leads = np.unique(h >> SLOT, return_index=True)  # of two words with one place the rarer is not of the head
-    leads.sort()
+    leads = leads[np.argsort(h[leads])]
     h, c = h[leads], c[leads]
-    own = np.full(len(h), -1, np.int64)
-    ranked = [i for i in range(len(h)) if h[i] != END][:OWN - 1]
-    own[ranked] = np.arange(1, len(ranked) + 1)
-    own[h == END] = 0
-    order = np.argsort(h)
-    lex = Lexicon(h[order], c[order], own[order], np.zeros(SIDE * SIDE), total, distinct)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = lex.buckets(b.column(0).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIDE * SIDE)), pa.array(np.bincount(at, weights=b.column(1).to_numpy() + 1, minlength=SIDE * SIDE).astype(np.int64))], names=["b", "n"])
-
-    for b, n in counts.select("h", "c").mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n")).collect():
-        lex.share[b] = n
-    lex.share = np.where(np.arange(SIDE * SIDE) < OWN, 0.0, -np.log10(lex.share + 1))
-    return lex
-
-
-def contexts(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Hashes of the three context features of every token; before a text stands the end mark."""
+    masses = np.zeros(OUTCOMES)
+    masses[:len(h)] = c
+    shared = counts.groupBy(F.shiftrightunsigned("h", 64 - TAIL_BITS).alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()
+    tail = HEAD + np.arange(1 << TAIL_BITS)
+    words_in = np.zeros(1 << TAIL_BITS)
+    masses[HEAD + shared.column("b").to_numpy()] = shared.column("c").to_numpy()
+    words_in[shared.column("b").to_numpy()] = shared.column("n").to_numpy()
+    own = (h >> np.uint64(64 - TAIL_BITS)).astype(np.int64)
+    np.subtract.at(masses, HEAD + own, c)
+    np.subtract.at(words_in, own, 1)
+    share = np.zeros(OUTCOMES)
+    share[tail] = -np.log10(masses[tail] + words_in + 1)
+    masses[:len(h)] += 1
+    masses[tail] += words_in + 1
+    order = np.argsort(-masses, kind="stable")
+    before = np.cumsum(masses[order]) - masses[order]
+    kind = np.zeros(OUTCOMES, np.uint8)
+    kind[order] = np.minimum(SIDE - 1, before * SIDE // masses.sum())
+    base = np.log(np.maximum(masses, 1e-300)) - np.log(np.bincount(kind, weights=masses, minlength=SIDE))[kind]
+    return Lexicon(h, c, kind, base, share, total, distinct)
+
+
+def words_before(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before every token and the one before that; before a text stands the end mark."""
     place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     one, two = np.full(len(h), END), np.full(len(h), END)
     one[1:], two[2:] = h[:-1], h[:-2]
     one[place < 1], two[place < 2] = END, END
-    pair = mix(one * np.uint64(3) + mix(two))
-    return np.stack([mix(one), pair, mix(two + np.uint64(17))])
-
+    return one, two
 
-def pack(model: list[np.ndarray]) -> bytes:
-    return b"".join(a.astype(np.float32).tobytes() for a in model)
 
-
-def unpack(raw: bytes) -> list[np.ndarray]:
-    flat, out, at = np.frombuffer(raw, np.float32), [], 0
-    for shape in [(ROWS[0] + SIDE, SIDE), (ROWS[1] + SIDE, SIDE)]:
-        n = shape[0] * shape[1]
-        out.append(flat[at:at + n].reshape(shape).copy())
-        at += n
-    return out
-
-
-def fresh() -> list[np.ndarray]:
-    return [np.zeros((ROWS[0] + SIDE, SIDE), np.float32), np.zeros((ROWS[1] + SIDE, SIDE), np.float32)]
+def contexts(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Hashes of the three context features of every token, from short names of the words before it."""
+    one, two = one.astype(np.uint64), two.astype(np.uint64)
+    return np.stack([mix(one), mix(one * np.uint64(3) + mix(two)), mix(two + np.uint64(17))])
 
 
-def rows_of(ctx: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of every token in the class table and in the slot table."""
-    wide = kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def rows_of(ctx: np.ndarray) -> np.ndarray:
+    """Feature rows of every token in the class table."""
     salt = (np.arange(CONTEXTS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[:, None]
-    first = (ctx + salt) >> np.uint64(64 - ROWS[0].bit_length() + 1)
-    second = (((ctx + salt) ^ wide) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - ROWS[1].bit_length() + 1)
-    return first.astype(np.uint16), second.astype(np.uint16)
+    return ((ctx + salt) >> np.uint64(64 - ROWS.bit_length() + 1)).astype(np.uint16)
 
 
 def logits(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -221,7 +227,7 @@ def log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return chosen - np.log(z.sum(1))
 
 
-def step(table: np.ndarray, squares: np.ndarray, uses: np.ndarray, rows: np.ndarray, bias: np.ndarray, at: np.ndarray, rate: float) -> None:
+def step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, bias: np.ndarray, at: np.ndarray, rate: float) -> None:
     """One gradient update of a table on a batch, with a step per row that falls with its past gradients."""
     z = logits(table, rows, bias)
     z -= z.max(1, keepdims=True)
@@ -237,111 +243,174 @@ def step(table: np.ndarray, squares: np.ndarray, uses: np.ndarray, rows: np.ndar
     which[np.arange(len(at)), bias] = 1
     touched = np.concatenate([ordered[first].astype(np.int64), np.arange(len(table) - SIDE, len(table))])
     g = np.concatenate([g, which.T @ z])
-    uses[touched] += np.concatenate([np.diff(np.append(first, len(flat))), which.sum(0)])
     squares[touched] += (g * g).mean(1)
     table[touched] -= g * (rate / np.sqrt(squares[touched] + 1e-6))[:, None]
 
 
-def train(docs: DataFrame, lex: Lexicon, rounds: int = 2, rate: float = 0.25, batch: int = 32768, slice_bytes: int = 2_000_000) -> list[np.ndarray]:
-    model = fresh()
-    spark = docs.sparkSession
-    for turn in range(rounds):
-        sent = spark.sparkContext.broadcast((pack(model), lex))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            raw, words_known = sent.value
-            tables = unpack(raw)
-            squares = [np.full(len(t), 1.0, np.float32) for t in tables]
-            uses = [np.zeros(len(t), np.float32) for t in tables]
-            seen = False
-            for b in batches:
-                for part in byte_slices(b, "text", slice_bytes):
+def class_scores(ctx: np.ndarray, kind: np.ndarray, learned: np.ndarray, rate: float = 0.25, batch: int = 16384) -> np.ndarray:
+    """Natural log of the class factor of every token, after one pass of updates over those to learn from."""
+    table, squares = np.zeros((ROWS + SIDE, SIDE), np.float32), np.full(ROWS + SIDE, 1.0, np.float32)
+    rows, none, kind = rows_of(ctx), np.zeros(batch, np.int64), kind.astype(np.int64)
+    order = np.random.default_rng(5).permutation(np.flatnonzero(learned))
+    for i in range(0, len(order), batch):
+        at = order[i:i + batch]
+        step(table, squares, rows[:, at], none[:len(at)], kind[at], rate)
+    out = np.empty(len(kind))
+    for i in range(0, len(kind), batch):
+        part = rows[:, i:i + batch]
+        out[i:i + batch] = log_share(logits(table, part, none[:part.shape[1]]), kind[i:i + batch])
+    return out
+
+
+class Level:
+    """The (context, outcome) items of all tokens by sorted key, and the (context, class) groups they fall into."""
+
+    def __init__(self, context: np.ndarray, kind: np.ndarray, at: np.ndarray, learned: np.ndarray):
+        bits = np.uint64(OUTCOME_BITS)
+        keys = (((context << np.uint64(4)) | kind.astype(np.uint64)) << bits) | at.astype(np.uint64)
+        keys, self.first, self.item = np.unique(keys, return_index=True, return_inverse=True)
+        groups = keys >> bits
+        self.starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+        self.group = np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, len(keys))))
+        self.count = np.bincount(self.item, weights=learned, minlength=len(keys))
+        self.seen = self.count > 0
+        once, twice = (self.count == 1).sum(), (self.count == 2).sum()
+        self.wanted = np.maximum(self.count - min(0.9, max(0.1, once / (once + 2 * twice + 1))), 0)
+        self.n = self.sums(self.count)
+        self.weight = np.zeros(len(keys))
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.starts)
+
+    def begin(self, p: np.ndarray) -> None:
+        """Weights that meet the wanted counts when the outcomes have the probabilities ``p`` without them."""
+        target = self.wanted / np.maximum(self.n, 1)[self.group]
+        z = np.maximum(1 - self.sums(np.where(self.seen, p, 0)), 1e-4) / np.maximum(1 - self.sums(target), 1e-4)
+        self.weight = np.where(self.seen, np.log(np.maximum(target * z[self.group], 1e-12) / p), 0.0)
+
+    def move(self, expected: np.ndarray) -> None:
+        """A step along the gradient, wanted less expected counts, scaled by the size of both."""
+        self.weight += np.where(self.seen, (self.wanted - expected) / np.maximum(self.wanted + expected, 1e-9), 0.0)
+
+
+def outcome_scores(one: np.ndarray, pair: np.ndarray, kind: np.ndarray, at: np.ndarray, base: np.ndarray, learned: np.ndarray, steps: int = 4) -> np.ndarray:
+    """Natural log of the outcome factor of every token.  ``base`` is the log of the outcome's share of its class."""
+    near, far = Level(one, kind, at, learned), Level(pair, kind, at, learned)
+    share, up = np.exp(base[near.first]), near.item[far.first]  # an item of two words belongs to one of the last word
+    over = near.group[up[far.starts]]
+
+    def totals() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        q = share * np.exp(near.weight)
+        z = np.maximum(1 + near.sums(np.where(near.seen, q - share, 0)), 1e-9)
+        more = q[up] * np.expm1(far.weight)
+        return q, z, more, np.maximum(z[over] + far.sums(more), 1e-9)
+
+    near.begin(share)
+    q, z, _, _ = totals()
+    far.begin(q[up] / z[near.group[up]])
+    for _ in range(steps):
+        q, z, more, deep = totals()
+        rate = far.n / deep
+        near.move(np.bincount(over, weights=rate, minlength=len(near.starts))[near.group] * q + np.bincount(up, weights=rate[far.group] * more, minlength=len(q)))
+        far.move(rate[far.group] * (q[up] + more))
+    _, _, _, deep = totals()
+    return base + near.weight[near.item] + far.weight[far.item] - np.log(deep)[far.group[far.item]]
+
+
+def dealt(docs: DataFrame, lex: Lexicon, shards: int, held: tuple[int, int], slice_bytes: int) -> DataFrame:
+    """``shard, base, tokens``: the tokens of a slice of texts for one shard, as ``TOKEN`` records; texts are counted from ``base``."""
+    sent = docs.sparkSession.sparkContext.broadcast(lex)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            for whole in byte_slices(batch, "text", slice_bytes):
+                for part in (whole.slice(i, 65536) for i in range(0, whole.num_rows, 65536)):
                     h, sizes = tokens_of(part.column("text"))
-                    bucket = words_known.buckets(h)
-                    kind, slot = bucket // SIDE, bucket % SIDE
-                    ctx, none = contexts(h, sizes), np.zeros(len(h), np.int64)
-                    for i in range(0, len(h), batch):
-                        rows = rows_of(ctx[:, i:i + batch], kind[i:i + batch])
-                        for k, (bias, at) in enumerate(((none, kind), (kind, slot))):
-                            step(tables[k], squares[k], uses[k], rows[k], bias[i:i + batch], at[i:i + batch], rate)
-                    seen = True
-            if not seen:
-                return
-            start = unpack(raw)
-            change = np.concatenate([(t - s) * u[:, None] for t, s, u in zip(tables, start, uses)])
-            use = np.concatenate(uses)
-            for k, (c, u) in enumerate(zip(np.array_split(change, CHUNKS), np.array_split(use, CHUNKS))):
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([int(u.sum()) % 8]), pa.array([c.astype(np.float32).tobytes()]),
-                                                  pa.array([u.astype(np.float64).tobytes()])], names=["k", "salt", "c", "u"])
-
-        def added(table: pa.Table) -> pa.Table:
-            c = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table.column("c").to_pylist())
-            u = sum(np.frombuffer(x, np.float64) for x in table.column("u").to_pylist())
-            return pa.table({"k": table.column("k")[:1], "salt": pa.array([0]), "c": pa.array([c.astype(np.float32).tobytes()]), "u": pa.array([u.tobytes()])})
-
-        shape = "k long, salt long, c binary, u binary"
-        part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn).select("text").mapInArrow(run, shape)
-        got = {r.k: r for r in part.groupBy("k", "salt").applyInArrow(added, shape).groupBy("k").applyInArrow(added, shape).collect()}
-        if not got:
-            continue
-        change = np.concatenate([np.frombuffer(bytes(got[k].c), np.float32) for k in range(CHUNKS)]).reshape(-1, SIDE)
-        use = np.concatenate([np.frombuffer(bytes(got[k].u), np.float64) for k in range(CHUNKS)])
-        change = change / np.maximum(use, 1)[:, None]
-        model = [m + c.astype(np.float32) for m, c in zip(model, np.split(change, [len(model[0])]))]
-    return model
-
-
-def score_texts(docs: DataFrame, held: tuple[int, int] = (7, 2), slice_bytes: int = 2_000_000, batch: int = 8192) -> DataFrame:
+                    one, two = words_before(h, sizes)
+                    row = np.repeat(np.arange(len(sizes)), sizes)
+                    base = part.column("row")[0].as_py()
+                    learned = part.column("learned").to_numpy(zero_copy_only=False)[row]
+                    turn = mix((row + base).astype(np.uint64)) >> np.uint64(33)
+                    shard = ((one >> np.uint64(20)) + turn % known.parts(one).astype(np.uint64)) % np.uint64(shards)
+                    out = np.empty(len(h), TOKEN)
+                    out["one"], out["two"], out["row"] = one.astype(np.uint32), two.astype(np.uint32), row
+                    out["at"] = known.outcomes(h).astype(np.uint32) | np.where(learned, TRAIN, np.uint32(0))
+                    order = np.lexsort((out["one"], shard)) if shards > 1 else np.argsort(out["one"], kind="stable")
+                    out, shard = out[order], shard[order]
+                    cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+                    blobs = [b"".join(x[c].tobytes() for c in TOKEN.names) for x in np.split(out, cuts[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[cuts].astype(np.int64)), pa.array(np.full(len(cuts), base)), pa.array(blobs, pa.binary())],
+                                                     names=["shard", "base", "tokens"])
+
+    learned = F.coalesce(fold("doc_id", held[0]) != held[1], F.lit(True)).alias("learned")
+    return docs.select("text", learned, "row").mapInArrow(run, "shard long, base long, tokens binary")
+
+
+def shard_scores(table: pa.Table, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """(text, sum of the log10 scores of its tokens in the shard), learned from the shard's training tokens.
+    The slices are put in order first, so that a shard learns the same however its rows arrive."""
+    columns: dict[str, list[np.ndarray]] = {c: [] for c in TOKEN.names}
+    order = np.argsort(table.column("base").to_numpy(), kind="stable")
+    bases, blobs = table.column("base").to_numpy()[order], table.column("tokens").take(pa.array(order)).to_pylist()
+    for base, blob in zip(bases, blobs):
+        n, place = len(blob) // TOKEN.itemsize, 0
+        for c in TOKEN.names:
+            got = np.frombuffer(blob, TOKEN[c], n, place)
+            columns[c].append(got + base if c == "row" else got)
+            place += n * TOKEN[c].itemsize
+    one, two, at, row = (np.concatenate(columns[c]) for c in TOKEN.names)
+    learned, at = at >= TRAIN, (at & ~TRAIN).astype(np.int64)
+    kind, ctx = lex.kind[at], contexts(one, two)
+    own = class_scores(ctx, kind, learned)
+    own += outcome_scores(one.astype(np.uint64), ctx[1] >> np.uint64(24), kind, at, lex.base[at], learned)
+    rows, item = np.unique(row, return_inverse=True)
+    return rows, np.bincount(item, weights=own / np.log(10) + lex.share[at])
+
+
+def score_texts(docs: DataFrame, held: tuple[int, int] = (7, 2), slice_bytes: int = 2_000_000) -> DataFrame:
     """Learn from the rows outside the held-out fold and score every row:
     ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10).
 
     Null reads as the empty text, which is its end token alone; a null id counts as training.  Repeated
-    rows are repeated in the result.  Without any training token every known count is 0.
+    rows are repeated in the result.  Without any training token every known count is 0.  ``docs`` is read
+    three times and its rows are numbered by their place, so it must be a stored table or read alike every time.
     """
-    docs = docs.select("doc_id", "text")
-    learned = docs.filter(F.coalesce(fold("doc_id", held[0]) != held[1], F.lit(True)))
-    counts = stored(count_words(learned), "word-counts")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    counts = stored(count_words(docs.filter(F.coalesce(fold("doc_id", held[0]) != held[1], F.lit(True)))), "word-counts")
     lex = lexicon(counts)
-    model = train(learned, lex)
-    sent = docs.sparkSession.sparkContext.broadcast((pack(model), lex))
+    sent = docs.sparkSession.sparkContext.broadcast(lex)
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, lexi = sent.value
-        tables = unpack(raw)
+        lexi = sent.value
         for b in batches:
             for part in byte_slices(b, "text", slice_bytes):
                 h, sizes = tokens_of(part.column("text"))
-                bucket = lexi.buckets(h)
-                kind, slot = bucket // SIDE, bucket % SIDE
-                ctx, none = contexts(h, sizes), np.zeros(len(h), np.int64)
-                own = np.empty(len(h))
-                for i in range(0, len(h), batch):
-                    rows = rows_of(ctx[:, i:i + batch], kind[i:i + batch])
-                    part_of, at_slot = kind[i:i + batch], slot[i:i + batch]
-                    own[i:i + batch] = log_share(logits(tables[0], rows[0], none[i:i + batch]), part_of) + log_share(logits(tables[1], rows[1], part_of), at_slot)
-                own = own / np.log(10) + lexi.share[bucket]
                 at, head = lexi.find(h)
                 seen = np.where(head, np.log10((lexi.counts[at] if len(lexi.names) else 0) + 1.0), 0.0)
-                starts = np.cumsum(sizes) - sizes
-                ends = np.cumsum(sizes)
+                starts, ends = np.cumsum(sizes) - sizes, np.cumsum(sizes)
                 tail = np.flatnonzero(~head)
                 offsets = np.concatenate([[0], np.searchsorted(tail, ends)]).astype(np.int32)
-                shared = bucket >= OWN
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes), pa.array(np.add.reduceat(head.astype(np.int64), starts)),
-                     pa.array(np.add.reduceat(seen, starts)),
-                     pa.array(np.add.reduceat(own + np.where(shared, seen, 0.0), starts)),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[tail].view(np.int64)))],
-                    names=["doc_id", "n_tokens", "n_head", "seen", "own", "tail"])
-
-    shape = T.StructType.fromDDL("doc_id long, n_tokens long, n_head long, seen double, own double, tail array<long>")
-    scored = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, shape)
-                    .withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    rare = (scored.select("row", F.explode("tail").alias("h")).join(counts, "h")
+                    [part.column("doc_id"), part.column("row"), pa.array(sizes), pa.array(np.add.reduceat(head.astype(np.int64), starts)),
+                     pa.array(np.add.reduceat(seen, starts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[tail].view(np.int64)))],
+                    names=["doc_id", "row", "n_tokens", "n_head", "seen", "tail"])
+
+    shape = T.StructType.fromDDL("doc_id long, row long, n_tokens long, n_head long, seen double, tail array<long>")
+    texts = stored(numbered.mapInArrow(run, shape), "lm-rows")
+    shards = 1 + texts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] // SHARD
+
+    def fit(table: pa.Table) -> pa.Table:
+        rows, own = shard_scores(table, sent.value)
+        return pa.table({"row": rows, "own": own})
+
+    own = dealt(numbered, lex, shards, held, slice_bytes).groupBy("shard").applyInArrow(fit, "row long, own double").groupBy("row").agg(F.sum("own").alias("own"))
+    rare = (texts.select("row", F.explode("tail").alias("h")).join(counts, "h")
             .groupBy("row").agg(F.count("*").alias("n"), F.sum(F.log10(F.col("c") + 1.0)).alias("s")))
     known, seen = F.coalesce("n", F.lit(0)), F.coalesce("s", F.lit(0.0))
     norm = float(np.log10(lex.total + lex.distinct + 1))
-    return (scored.drop("tail").join(rare, "row", "left")
+    return (texts.drop("tail").join(rare, "row", "left").join(own, "row")
             .select("doc_id", F.coalesce(fold("doc_id", held[0]) == held[1], F.lit(False)).alias("held_out"), "n_tokens",
                     (F.col("n_head") + known).alias("n_known"), F.lit(lex.total).cast("long").alias("train_tokens"),
                     (F.col("seen") + seen - F.col("n_tokens") * F.lit(norm)).alias("base_score"), (F.col("own") + seen).alias("score")))

@@ -124,6 +124,43 @@ def test_lm_probabilities_sum_to_one():
     assert np.allclose(total, 1, atol=1e-5)
 
 
+def test_outcomes_of_a_context_sum_to_one():
+    """The scores of all outcomes after each of some contexts, seen and unseen, asked for as tokens not learned from."""
+    rng, size = np.random.default_rng(3), 40
+    masses = rng.integers(1, 50, size).astype(float)
+    kind = (np.arange(size) % 3).astype(np.uint8)
+    base = np.log(masses / np.bincount(kind, weights=masses)[kind])
+    one, two, at = rng.integers(0, 6, 3000), rng.integers(0, 6, 3000), np.minimum(rng.integers(0, size, 3000), rng.integers(0, size, 3000))
+    asked = [(a, b, w) for a in range(7) for b in range(7) for w in range(size)]
+    x, y, z = (np.concatenate([p, q]) for p, q in zip((one, two, at), np.array(asked).T))
+    learned = np.arange(len(x)) < 3000
+    got = lm_scoring.outcome_scores(x.astype(np.uint64), (x * 100 + y).astype(np.uint64), kind[z], z, base[z], learned)[3000:]
+    sums = collections.Counter()
+    for (a, b, w), v in zip(asked, got):
+        sums[a, b, kind[w]] += math.exp(v)
+    assert all(math.isclose(v, 1, abs_tol=1e-6) for v in sums.values())
+    assert np.allclose(got[-size:], base)
+    counts = collections.Counter(zip(one, at))
+    often = max(counts, key=counts.get)
+    assert np.mean([got[i] for i, (a, b, w) in enumerate(asked) if (a, w) == often]) > base[often[1]]
+
+
+def test_lm_beats_a_bigram_on_held_out_texts(spark):
+    """A discounted bigram reaches -3.51 a token on these held-out texts."""
+    rows = lm_scoring.score_texts(documents(spark, "/root/testdata/sf0.01")).filter("held_out").collect()
+    assert sum(r.score for r in rows) / sum(r.n_tokens for r in rows) >= -3.51
+
+
+def test_lm_scores_do_not_hang_on_shards(spark, monkeypatch, docs):
+    """Every text is scored in full however the tokens are dealt, hot words included."""
+    whole = by_id(lm_scoring.score_texts(docs))
+    monkeypatch.setattr(lm_scoring, "SHARD", 20_000)
+    monkeypatch.setattr(lm_scoring, "HOT", 500)
+    split = by_id(lm_scoring.score_texts(docs))
+    assert whole.keys() == split.keys() and all(whole[i][:6] == split[i][:6] for i in whole)
+    assert abs(sum(r.score for r in split.values()) / sum(r.score for r in whole.values()) - 1) < 0.1
+
+
 # --- decontamination ----------------------------------------------------------------------------
 def nearest(pattern, text):
     prev, best = list(range(len(pattern) + 1)), len(pattern)
