@@ -1,13 +1,15 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
 The ``HEAD`` most frequent words are outcomes of their own, the others share ``1 << TAIL_BITS`` hashed outcomes.
-Outcomes fall into ``SIDE`` classes of about equal mass by frequency.  The probability of a token is the product
+Words of their own fall into ``SIDE`` classes of equal mass by frequency, shared outcomes are dealt to the rarer half of
+the classes.  The probability of a token is the product
 
     P(class | context) * P(outcome | class, context) * P(word | outcome),
 
 a softmax over classes, a softmax over the outcomes of the class, and for shared outcomes the add-one share of
 the word by corpus counts.  The class factor is log-linear in hashed features of the context: the previous word,
-the previous two words, the word before the previous one (a skip), and a bias.  The outcome factor starts
+the previous two words, the word before the previous one (a skip), and a bias; it starts from the discounted class
+counts after the previous word.  The outcome factor starts
 from the outcome's share of its class and has a weight for every (previous word, outcome) and every (previous two
 words, outcome) of the training texts; outcomes without a weight share what the class total leaves them, so the
 softmax over all of them is summed over the weighted ones alone.
@@ -36,9 +38,9 @@ from pyspark.sql import types as T
 
 from listforge.llm.common import byte_slices, fold, mix, stored
 
-SIDE, HEAD, TAIL_BITS = 16, 1 << 17, 18
+SIDE, HEAD, TAIL_BITS = 16, 1 << 17, 15
 OUTCOMES = HEAD + (1 << TAIL_BITS)
-OUTCOME_BITS = 19
+OUTCOME_BITS = 18
 ROWS = 1 << 15
 CONTEXTS = 3
 SHARD, HOT = 1_500_000, 300_000
@@ -162,6 +164,8 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
+    """The figures of the outcomes.  An outcome's mass is the counts of its words, one more for each of them, and
+    of a shared outcome one more for words never seen."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(HEAD).toArrow()
     h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
@@ -182,10 +186,10 @@ def lexicon(counts: DataFrame) -> Lexicon:
     share[tail] = -np.log10(masses[tail] + words_in + 1)
     masses[:len(h)] += 1
     masses[tail] += words_in + 1
-    order = np.argsort(-masses, kind="stable")
+    order = np.argsort(-masses[:len(h)], kind="stable")
     before = np.cumsum(masses[order]) - masses[order]
-    kind = np.zeros(OUTCOMES, np.uint8)
-    kind[order] = np.minimum(SIDE - 1, before * SIDE // masses.sum())
+    kind = (SIDE // 2 + np.arange(OUTCOMES) % (SIDE // 2)).astype(np.uint8)
+    kind[order] = np.minimum(SIDE - 1, before * SIDE // max(1, masses[order].sum()))
     base = np.log(np.maximum(masses, 1e-300)) - np.log(np.bincount(kind, weights=masses, minlength=SIDE))[kind]
     return Lexicon(h, c, kind, base, share, total, distinct)
 
@@ -211,9 +215,9 @@ def rows_of(ctx: np.ndarray) -> np.ndarray:
     return ((ctx + salt) >> np.uint64(64 - ROWS.bit_length() + 1)).astype(np.uint16)
 
 
-def logits(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Scores of a batch; the rows of the biases follow those of the features."""
-    out = table[len(table) - SIDE:][bias]
+def logits(table: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Scores of a batch: what they start from and the rows of the features."""
+    out = start.copy()
     for r in rows:
         out += table[r]
     return out
@@ -227,9 +231,9 @@ def log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return chosen - np.log(z.sum(1))
 
 
-def step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, bias: np.ndarray, at: np.ndarray, rate: float) -> None:
+def step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, start: np.ndarray, at: np.ndarray, rate: float) -> None:
     """One gradient update of a table on a batch, with a step per row that falls with its past gradients."""
-    z = logits(table, rows, bias)
+    z = logits(table, rows, start)
     z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(1, keepdims=True)
@@ -239,26 +243,35 @@ def step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, bias: np.ndar
     ordered = flat[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     g = np.add.reduceat(z[order % len(at)], first, axis=0)
-    which = np.zeros((len(at), SIDE), np.float32)
-    which[np.arange(len(at)), bias] = 1
-    touched = np.concatenate([ordered[first].astype(np.int64), np.arange(len(table) - SIDE, len(table))])
-    g = np.concatenate([g, which.T @ z])
+    touched = ordered[first].astype(np.int64)
     squares[touched] += (g * g).mean(1)
     table[touched] -= g * (rate / np.sqrt(squares[touched] + 1e-6))[:, None]
 
 
-def class_scores(ctx: np.ndarray, kind: np.ndarray, learned: np.ndarray, rate: float = 0.25, batch: int = 16384) -> np.ndarray:
+def class_starts(one: np.ndarray, kind: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of every token's previous word, log weights of the classes after each of them): its class counts less a
+    discount, the rest by the classes of all tokens, which are the bias."""
+    words, place = np.unique(one, return_inverse=True)
+    counts = np.bincount(place * SIDE + kind, weights=learned, minlength=len(words) * SIDE).reshape(-1, SIDE)
+    bias = counts.sum(0) + 1
+    kept = np.maximum(counts - 0.75, 0)
+    n = counts.sum(1, keepdims=True)
+    rest = np.where(n, n - kept.sum(1, keepdims=True), 1)
+    return place, np.log((kept + rest * bias / bias.sum()) / np.maximum(n, 1)).astype(np.float32)
+
+
+def class_scores(one: np.ndarray, ctx: np.ndarray, kind: np.ndarray, learned: np.ndarray, rate: float = 0.25, batch: int = 16384) -> np.ndarray:
     """Natural log of the class factor of every token, after one pass of updates over those to learn from."""
-    table, squares = np.zeros((ROWS + SIDE, SIDE), np.float32), np.full(ROWS + SIDE, 1.0, np.float32)
-    rows, none, kind = rows_of(ctx), np.zeros(batch, np.int64), kind.astype(np.int64)
+    table, squares = np.zeros((ROWS, SIDE), np.float32), np.full(ROWS, 1.0, np.float32)
+    rows, kind = rows_of(ctx), kind.astype(np.int64)
+    place, starts = class_starts(one, kind, learned)
     order = np.random.default_rng(5).permutation(np.flatnonzero(learned))
     for i in range(0, len(order), batch):
         at = order[i:i + batch]
-        step(table, squares, rows[:, at], none[:len(at)], kind[at], rate)
+        step(table, squares, rows[:, at], starts[place[at]], kind[at], rate)
     out = np.empty(len(kind))
     for i in range(0, len(kind), batch):
-        part = rows[:, i:i + batch]
-        out[i:i + batch] = log_share(logits(table, part, none[:part.shape[1]]), kind[i:i + batch])
+        out[i:i + batch] = log_share(logits(table, rows[:, i:i + batch], starts[place[i:i + batch]]), kind[i:i + batch])
     return out
 
 
@@ -362,7 +375,7 @@ def shard_scores(table: pa.Table, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]
     one, two, at, row = (np.concatenate(columns[c]) for c in TOKEN.names)
     learned, at = at >= TRAIN, (at & ~TRAIN).astype(np.int64)
     kind, ctx = lex.kind[at], contexts(one, two)
-    own = class_scores(ctx, kind, learned)
+    own = class_scores(one, ctx, kind, learned)
     own += outcome_scores(one.astype(np.uint64), ctx[1] >> np.uint64(24), kind, at, lex.base[at], learned)
     rows, item = np.unique(row, return_inverse=True)
     return rows, np.bincount(item, weights=own / np.log(10) + lex.share[at])

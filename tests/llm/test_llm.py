@@ -118,9 +118,9 @@ def test_lm_scores_odd_rows(odd):
 
 def test_lm_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    table = rng.standard_normal((64 + lm_scoring.SIDE, lm_scoring.SIDE)).astype(np.float32)
-    rows, bias = rng.integers(0, 64, (3, 5)).astype(np.uint16), rng.integers(0, lm_scoring.SIDE, 5)
-    total = sum(np.exp(lm_scoring.log_share(lm_scoring.logits(table, rows, bias), np.full(5, k))) for k in range(lm_scoring.SIDE))
+    table = rng.standard_normal((64, lm_scoring.SIDE)).astype(np.float32)
+    rows, start = rng.integers(0, 64, (3, 5)).astype(np.uint16), rng.standard_normal((5, lm_scoring.SIDE)).astype(np.float32)
+    total = sum(np.exp(lm_scoring.log_share(lm_scoring.logits(table, rows, start), np.full(5, k))) for k in range(lm_scoring.SIDE))
     assert np.allclose(total, 1, atol=1e-5)
 
 
