@@ -190,7 +190,7 @@ def lexicon(counts: DataFrame) -> Lexicon:
     before = np.cumsum(masses[order]) - masses[order]
     kind = (SIDE // 2 + np.arange(OUTCOMES) % (SIDE // 2)).astype(np.uint8)
     kind[order] = np.minimum(SIDE - 1, before * SIDE // max(1, masses[order].sum()))
-    base = np.log(np.maximum(masses, 1e-300)) - np.log(np.bincount(kind, weights=masses, minlength=SIDE))[kind]
+    base = np.log(np.maximum(masses, 1e-300)) - np.log(np.maximum(np.bincount(kind, weights=masses, minlength=SIDE), 1e-300))[kind]
     return Lexicon(h, c, kind, base, share, total, distinct)
 
 
