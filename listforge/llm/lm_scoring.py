@@ -21,7 +21,7 @@ shard steps along its gradient: in batches for the classes, over its counts for
 are led to the observed ones less a discount estimated from words seen once and twice.
 
 Words are named by 64-bit hashes; two of ``n`` distinct words share one with probability about ``n * n / 2 ** 65``;
-contexts in a shard by 32 and 40 bits.  Counts of all words stay a distributed table.  What is broadcast are the
+contexts in a shard by 32 and 40 bits, the word before the previous one by 24.  Counts of all words stay a distributed table.  What is broadcast are the
 figures of the outcomes, of fixed size; rarer words meet their counts in a join.
 """
 
@@ -43,9 +43,8 @@ OUTCOMES = HEAD + (1 << TAIL_BITS)
 OUTCOME_BITS = 18
 ROWS = 1 << 15
 CONTEXTS = 3
-SHARD, HOT = 1_500_000, 300_000
-TOKEN = np.dtype([("one", "<u4"), ("two", "<u4"), ("at", "<u4"), ("row", "<u2")])
-TRAIN = np.uint32(1 << 31)
+SHARD, HOT = 1_000_000, 200_000
+TRAIN = np.uint32(1 << 23)
 BASE = 0x9E3779B97F4A7C15
 BACK = np.uint64(pow(BASE, -1, 1 << 64))
 END = np.uint64(0xD6E8FEB86659FD93)
@@ -282,9 +281,9 @@ class Level:
         bits = np.uint64(OUTCOME_BITS)
         keys = (((context << np.uint64(4)) | kind.astype(np.uint64)) << bits) | at.astype(np.uint64)
         keys, self.first, self.item = np.unique(keys, return_index=True, return_inverse=True)
-        groups = keys >> bits
+        groups, self.item = keys >> bits, self.item.astype(np.int32)
         self.starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-        self.group = np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, len(keys))))
+        self.group = np.repeat(np.arange(len(self.starts), dtype=np.int32), np.diff(np.append(self.starts, len(keys))))
         self.count = np.bincount(self.item, weights=learned, minlength=len(keys))
         self.seen = self.count > 0
         once, twice = (self.count == 1).sum(), (self.count == 2).sum()
@@ -330,8 +329,31 @@ def outcome_scores(one: np.ndarray, pair: np.ndarray, kind: np.ndarray, at: np.n
     return base + near.weight[near.item] + far.weight[far.item] - np.log(deep)[far.group[far.item]]
 
 
-def dealt(docs: DataFrame, lex: Lexicon, shards: int, held: tuple[int, int], slice_bytes: int) -> DataFrame:
-    """``shard, base, tokens``: the tokens of a slice of texts for one shard, as ``TOKEN`` records; texts are counted from ``base``."""
+def planes(x: np.ndarray, n: int) -> bytes:
+    """The ``n`` low bytes of every number, one byte place after the other."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize)[:, :n].T.tobytes()
+
+
+def packed(one: np.ndarray, two: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[bytes, int, int]:
+    """(bytes, tokens, previous words) of some tokens in the order of their previous words."""
+    first = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
+    runs = np.diff(np.append(first, len(one))).astype(np.uint32)
+    raw = planes(one[first], 4) + planes(runs, 4) + planes(two, 3) + planes(at, 3) + planes(row, 2)
+    return pa.compress(raw, "zstd", asbytes=True), len(one), len(first)
+
+
+def unpacked(blob: bytes, n: int, words: int) -> tuple[np.ndarray, ...]:
+    raw, place, out = np.frombuffer(pa.decompress(blob, 8 * words + 8 * n, "zstd", asbytes=True), np.uint8), 0, []
+    for size, width in ((words, 4), (words, 4), (n, 3), (n, 3), (n, 2)):
+        part = np.zeros((size, 4), np.uint8)
+        part[:, :width] = raw[place:place + size * width].reshape(width, size).T
+        out.append(part.view("<u4").ravel())
+        place += size * width
+    return np.repeat(out[0], out[1]), *out[2:]
+
+
+def dealt(docs: DataFrame, lex: Lexicon, shards: int, held: tuple[int, int], slice_bytes: int = 8_000_000) -> DataFrame:
+    """``shard, base, tokens, n, words``: the tokens of a slice of texts for one shard; texts are counted from ``base``."""
     sent = docs.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,34 +368,27 @@ def dealt(docs: DataFrame, lex: Lexicon, shards: int, held: tuple[int, int], sli
                     learned = part.column("learned").to_numpy(zero_copy_only=False)[row]
                     turn = mix((row + base).astype(np.uint64)) >> np.uint64(33)
                     shard = ((one >> np.uint64(20)) + turn % known.parts(one).astype(np.uint64)) % np.uint64(shards)
-                    out = np.empty(len(h), TOKEN)
-                    out["one"], out["two"], out["row"] = one.astype(np.uint32), two.astype(np.uint32), row
-                    out["at"] = known.outcomes(h).astype(np.uint32) | np.where(learned, TRAIN, np.uint32(0))
-                    order = np.lexsort((out["one"], shard)) if shards > 1 else np.argsort(out["one"], kind="stable")
-                    out, shard = out[order], shard[order]
+                    at = known.outcomes(h).astype(np.uint32) | np.where(learned, TRAIN, np.uint32(0))
+                    order = np.lexsort((at, one.astype(np.uint32), shard))
+                    columns, shard = [x[order] for x in (one.astype(np.uint32), two.astype(np.uint32), at, row.astype(np.uint32))], shard[order]
                     cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-                    blobs = [b"".join(x[c].tobytes() for c in TOKEN.names) for x in np.split(out, cuts[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard[cuts].astype(np.int64)), pa.array(np.full(len(cuts), base)), pa.array(blobs, pa.binary())],
-                                                     names=["shard", "base", "tokens"])
+                    blobs, n, words = zip(*[packed(*(x[i:j] for x in columns)) for i, j in zip(cuts, [*cuts[1:], len(shard)])])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[cuts].astype(np.int64)), pa.array(np.full(len(cuts), base)), pa.array(blobs, pa.binary()),
+                                                      pa.array(n, pa.int64()), pa.array(words, pa.int64())], names=["shard", "base", "tokens", "n", "words"])
 
     learned = F.coalesce(fold("doc_id", held[0]) != held[1], F.lit(True)).alias("learned")
-    return docs.select("text", learned, "row").mapInArrow(run, "shard long, base long, tokens binary")
+    return docs.select("text", learned, "row").mapInArrow(run, "shard long, base long, tokens binary, n long, words long")
 
 
 def shard_scores(table: pa.Table, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """(text, sum of the log10 scores of its tokens in the shard), learned from the shard's training tokens.
     The slices are put in order first, so that a shard learns the same however its rows arrive."""
-    columns: dict[str, list[np.ndarray]] = {c: [] for c in TOKEN.names}
-    order = np.argsort(table.column("base").to_numpy(), kind="stable")
-    bases, blobs = table.column("base").to_numpy()[order], table.column("tokens").take(pa.array(order)).to_pylist()
-    for base, blob in zip(bases, blobs):
-        n, place = len(blob) // TOKEN.itemsize, 0
-        for c in TOKEN.names:
-            got = np.frombuffer(blob, TOKEN[c], n, place)
-            columns[c].append(got + base if c == "row" else got)
-            place += n * TOKEN[c].itemsize
-    one, two, at, row = (np.concatenate(columns[c]) for c in TOKEN.names)
-    learned, at = at >= TRAIN, (at & ~TRAIN).astype(np.int64)
+    found = [unpacked(blob, n, words) + (base,) for base, blob, n, words in sorted(
+        zip(*(table.column(c).to_pylist() for c in ("base", "tokens", "n", "words"))), key=lambda r: r[0])]
+    one, two, at = (np.concatenate([f[i] for f in found]) for i in range(3))
+    row = np.concatenate([f[3].astype(np.int64) + f[4] for f in found])
+    del found
+    learned, at = at >= TRAIN, (at & ~TRAIN).astype(np.int32)
     kind, ctx = lex.kind[at], contexts(one, two)
     own = class_scores(one, ctx, kind, learned)
     own += outcome_scores(one.astype(np.uint64), ctx[1] >> np.uint64(24), kind, at, lex.base[at], learned)
@@ -418,7 +433,7 @@ def score_texts(docs: DataFrame, held: tuple[int, int] = (7, 2), slice_bytes: in
         rows, own = shard_scores(table, sent.value)
         return pa.table({"row": rows, "own": own})
 
-    own = dealt(numbered, lex, shards, held, slice_bytes).groupBy("shard").applyInArrow(fit, "row long, own double").groupBy("row").agg(F.sum("own").alias("own"))
+    own = dealt(numbered, lex, shards, held).groupBy("shard").applyInArrow(fit, "row long, own double").groupBy("row").agg(F.sum("own").alias("own"))
     rare = (texts.select("row", F.explode("tail").alias("h")).join(counts, "h")
             .groupBy("row").agg(F.count("*").alias("n"), F.sum(F.log10(F.col("c") + 1.0)).alias("s")))
     known, seen = F.coalesce("n", F.lit(0)), F.coalesce("s", F.lit(0.0))
