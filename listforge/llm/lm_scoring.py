@@ -380,20 +380,24 @@ def dealt(docs: DataFrame, lex: Lexicon, shards: int, held: tuple[int, int], sli
     return docs.select("text", learned, "row").mapInArrow(run, "shard long, base long, tokens binary, n long, words long")
 
 
-def shard_scores(table: pa.Table, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """(text, sum of the log10 scores of its tokens in the shard), learned from the shard's training tokens.
+def shard_scores(table: pa.Table, lex: Lexicon) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(base, texts of a slice, sums of the log10 scores of their tokens in the shard), learned from the shard's training tokens.
     The slices are put in order first, so that a shard learns the same however its rows arrive."""
     found = [unpacked(blob, n, words) + (base,) for base, blob, n, words in sorted(
         zip(*(table.column(c).to_pylist() for c in ("base", "tokens", "n", "words"))), key=lambda r: r[0])]
     one, two, at = (np.concatenate([f[i] for f in found]) for i in range(3))
-    row = np.concatenate([f[3].astype(np.int64) + f[4] for f in found])
+    slices = [(f[4], f[3]) for f in found]
     del found
     learned, at = at >= TRAIN, (at & ~TRAIN).astype(np.int32)
     kind, ctx = lex.kind[at], contexts(one, two)
     own = class_scores(one, ctx, kind, learned)
     own += outcome_scores(one.astype(np.uint64), ctx[1] >> np.uint64(24), kind, at, lex.base[at], learned)
-    rows, item = np.unique(row, return_inverse=True)
-    return rows, np.bincount(item, weights=own / np.log(10) + lex.share[at])
+    own, place = own / np.log(10) + lex.share[at], 0
+    for base, row in slices:
+        sums = np.bincount(row, weights=own[place:place + len(row)])
+        held = np.flatnonzero(np.bincount(row))
+        yield base, held, sums[held]
+        place += len(row)
 
 
 def score_texts(docs: DataFrame, held: tuple[int, int] = (7, 2), slice_bytes: int = 2_000_000) -> DataFrame:
@@ -430,10 +434,17 @@ def score_texts(docs: DataFrame, held: tuple[int, int] = (7, 2), slice_bytes: in
     shards = 1 + texts.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] // SHARD
 
     def fit(table: pa.Table) -> pa.Table:
-        rows, own = shard_scores(table, sent.value)
-        return pa.table({"row": rows, "own": own})
+        bases, rows, sums = zip(*shard_scores(table, sent.value))
+        return pa.table({"base": pa.array(bases, pa.int64()), "rows": pa.array([r.astype(np.uint16).tobytes() for r in rows], pa.binary()),
+                         "sums": pa.array([x.astype(np.float32).tobytes() for x in sums], pa.binary())})
 
-    own = dealt(numbered, lex, shards, held).groupBy("shard").applyInArrow(fit, "row long, own double").groupBy("row").agg(F.sum("own").alias("own"))
+    def gather(table: pa.Table) -> pa.Table:
+        rows, sums = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("rows", np.uint16), ("sums", np.float32)))
+        held = np.flatnonzero(np.bincount(rows))
+        return pa.table({"row": held + table.column("base")[0].as_py(), "own": np.bincount(rows, weights=sums)[held]})
+
+    own = (dealt(numbered, lex, shards, held).groupBy("shard").applyInArrow(fit, "base long, rows binary, sums binary")
+           .groupBy("base").applyInArrow(gather, "row long, own double"))
     rare = (texts.select("row", F.explode("tail").alias("h")).join(counts, "h")
             .groupBy("row").agg(F.count("*").alias("n"), F.sum(F.log10(F.col("c") + 1.0)).alias("s")))
     known, seen = F.coalesce("n", F.lit(0)), F.coalesce("s", F.lit(0.0))
