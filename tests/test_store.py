@@ -141,6 +141,22 @@ def test_an_empty_store_grows(spark, tmp_path):
     assert [tuple(r) for r in de.read(spark, root, de.start(spark, root), SHAPE).collect()] == [(1, "a")]
 
 
+def test_small_parts_share_files(spark, tmp_path):
+    """Two hundred parts are a file or two, of the table and of a batch; parts that a batch wrote anew hide their old rows."""
+    root, files = str(tmp_path / "t"), lambda folder: len(list((tmp_path / "t" / "rows" / folder).rglob("*.parquet")))
+    held = {i: "a" for i in range(4000)}
+    de.publish(spark, root, "s0", de.start(spark, root), {"rows": de.seed(spark.createDataFrame(list(held.items()), "id long, v string"), root, SHAPE, "s0", 20)}, {})
+    assert de.start(spark, root)["tables"]["rows"]["n"] == 200 and files("s0/base") <= 2
+    for n, change in enumerate(({i: "b" for i in range(0, 4000, 40)}, {i: "c" for i in range(1, 900, 3)}, {5000: "d", 3: "e"})):
+        held |= change
+        new = step(spark, root, f"v{n}", change, n)["tables"]["rows"]["parts"]
+        assert files(f"v{n}") <= 4 and {r.id: r.v for r in de.read(spark, root, de.start(spark, root), SHAPE).collect()} == held
+    assert len({p["base"] for p in new.values()}) > 1
+    some = {0, 7, 150}
+    part = de.read(spark, root, de.start(spark, root), SHAPE, some).withColumn("p", SHAPE.part(de.start(spark, root)))
+    assert {r.p for r in part.collect()} == some and part.count() < 200
+
+
 # --- listing store ---------------------------------------------------------------------------
 def plain(rows):
     return sorted((r.id, r.url, r.title, r.version, tuple(sorted(r.links or [])), tuple(sorted((r.attributes or {}).items()))) for r in rows)
