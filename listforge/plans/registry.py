@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from listforge.plans.views import VIEW_SQL
 from listforge.session import configure
+from listforge.sources import tables as tb
 
 NOW = datetime(2024, 1, 31)
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -26,6 +27,10 @@ class Tables:
         self.folder = folder.rstrip("/")
         self.names = {t: f"parquet.`{self.folder}/{t}.parquet`" for t in TABLES}
 
+    def dealt(self, name: str) -> DataFrame:
+        """A table or view whose rows are dealt over tasks by number."""
+        return tb.dealt(getattr(self, name))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -165,7 +165,7 @@ def message_shape(t):
 @query("caption_sanitize", """SELECT p_partkey, p_name || chr(10) || 'Contato: ' || replace(p_name, ' ', '.') || '@x.co' || chr(10) || 'https://a.example/' || p_partkey AS v FROM part""")
 def caption_sanitize(t):
     text = F.expr("concat(p_name, '\\nEnvie seu CV para ', replace(p_name, ' ', '.'), '@x.co ou https://a.example/', p_partkey, '.\\n* ', p_name)")
-    return t.part.select("p_partkey", ms.caption_sanitize(text).alias("v"))
+    return t.dealt("part").select("p_partkey", ms.caption_sanitize(text).alias("v"))
 
 
 @query("ocr_card_text", """SELECT p_partkey, CASE WHEN p_size % 4 > 0 THEN p_name || chr(10) || 'Cidade: ' || p_type || chr(10) || 'Nível: alto' || chr(10) || chr(10) ||
@@ -173,4 +173,4 @@ def caption_sanitize(t):
 def ocr_card_text(t):
     text = F.expr("""CASE WHEN p_size % 4 > 0 THEN concat(p_name, '\\nCidade: ', p_type, ' Nivel: alto\\nturno ', p_size, '\\nRequisitos: ', p_brand, ';\\n• mais\\nOBS: fim')
         ELSE concat(p_name, '\\nCidade: ', p_type) END""")
-    return t.part.select("p_partkey", ms.ocr_card_text(text).alias("v"))
+    return t.dealt("part").select("p_partkey", ms.ocr_card_text(text).alias("v"))

@@ -35,6 +35,16 @@ def scan_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str,
     return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet") for name in names}
 
 
+ROWS_PER_TASK = 10_000
+
+
+def dealt(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """A table dealt over tasks by its number of rows, for work that costs far more than reading them.  Spark splits
+    files by bytes and row groups, so a million short rows can be one task, however many cores there are."""
+    tasks = -(-df.count() // rows_per_task)
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def _pointer(spark: SparkSession, root: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_CURRENT")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
