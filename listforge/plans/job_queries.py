@@ -25,7 +25,7 @@ CASE WHEN o_custkey % 2 = 0 THEN concat('Senior Python dev ', o_orderkey) ELSE c
 
 
 def json_bodies(t):
-    good = _bodies(t.orders, F.expr(JSON_ENTRY), '[{"legal":"read the terms"},', "]")
+    good = _bodies(t.dealt("orders"), F.expr(JSON_ENTRY), '[{"legal":"read the terms"},', "]")
     return good.union(good.select("page", F.concat(F.lit("{broken "), "body")))
 
 
@@ -50,7 +50,7 @@ RSS_ENTRY = """concat('<item><title>Co ', o_custkey, ': ', CASE WHEN o_custkey %
 
 
 def rss_bodies(t):
-    return _bodies(t.orders, F.expr(RSS_ENTRY), "<rss><channel>", "</channel></rss>")
+    return _bodies(t.dealt("orders"), F.expr(RSS_ENTRY), "<rss><channel>", "</channel></rss>")
 
 
 @query("read_rss_feed", "SELECT 'https://r.example/' || o_orderkey AS link, CASE WHEN o_custkey % 3 = 0 THEN 'Design' ELSE 'Back-End Programming' END AS category FROM orders")
@@ -66,7 +66,7 @@ CASE WHEN o_custkey % 2 = 0 THEN 'Desenvolvimento de software' ELSE 'Aquisição
 
 
 def tender_bodies(t):
-    return _bodies(t.orders, F.expr(TENDER_ENTRY), '{"data":[3,', '],"totalPaginas":9}')
+    return _bodies(t.dealt("orders"), F.expr(TENDER_ENTRY), '{"data":[3,', '],"totalPaginas":9}')
 
 
 @query("read_paged_api", "SELECT lpad(CAST(o_orderkey AS VARCHAR), 14, '1') || '-1-' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') || '/2024' AS number, CAST(o_orderkey AS VARCHAR) AS notice FROM orders")
@@ -201,7 +201,7 @@ def extract_supplements(t):
 def extract_messages(t):
     text = F.expr("""CASE WHEN p_size % 2 = 0 THEN concat('🔥 Vaga: desenvolvedor java ', split(p_name, ' ')[0], ' - Acme - Campinas / SP\\nSalário: R$ ', 9000 + p_size, '\\n100% remoto, PJ\\nhttps://v.example/', p_partkey, '?x=1')
         ELSE concat('novas vagas remotas java ', p_name) END""")
-    messages = t.part.select(F.lit("7").alias("chat_id"), F.lit("Vagas").alias("chat_title"), F.lit(None).cast("string").alias("username"), F.col("p_partkey").alias("message_id"), text.alias("text"),
+    messages = t.dealt("part").select(F.lit("7").alias("chat_id"), F.lit("Vagas").alias("chat_title"), F.lit(None).cast("string").alias("username"), F.col("p_partkey").alias("message_id"), text.alias("text"),
                              F.lit(None).cast("string").alias("ocr_text"), F.lit(NOW).alias("posted_at"), F.lit(False).alias("has_image"))
     x = lambda n: F.col(f"typed.{n}")
     return mp.extract("chat_jobs", messages).select("url", "title", x("company"), "city", "state", x("salary_range").alias("salary"), x("work_model"), x("contract_type"), x("dedupe_key"))

@@ -185,3 +185,17 @@ def test_plans_avoid_pair_joins(spark):
     for name in ("query_listings", "resolve_listing", "classify_rules_join", "enqueue_report", "schedule_expand", "match_by_any_link", "runs_by_day"):
         text = plan(name)
         assert "NestedLoop" not in text and "Cartesian" not in text, name
+
+
+def test_rows_are_dealt_over_tasks_by_number(spark, tmp_path):
+    """One small file, which Spark reads in one task, is several tasks for the text queries; few rows stay as they are."""
+    from listforge.plans.registry import Tables
+    from listforge.sources import tables as tb
+
+    spark.range(25_000).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    t = Tables(spark, str(tmp_path))
+    sizes = [n for n in t.dealt("part").rdd.glom().map(len).collect()]
+    assert len(sizes) == 3 and sum(sizes) == 25_000 and max(sizes) <= tb.ROWS_PER_TASK
+    assert t.dealt("part").distinct().count() == 25_000
+    assert "Exchange" not in tb.dealt(t.part.limit(5))._jdf.queryExecution().optimizedPlan().toString()
+    assert tb.dealt(t.part.where("p_partkey < 5")).count() == 5
