@@ -260,3 +260,22 @@ def test_days_follow_the_zone(spark):
     got = {(str(r.start), str(r.end)): r.runs for r in st.run_windows(runs).collect()}
     assert got == {("2018-01-14 02:00:00", "2018-01-15 02:00:00"): 1, ("2018-01-15 02:00:00", "2018-01-16 02:00:00"): 1, ("2024-01-14 03:00:00", "2024-01-15 03:00:00"): 1,
                    ("2018-11-03 03:00:00", "2018-11-04 03:00:00"): 1, ("2018-11-04 03:00:00", "2018-11-05 02:00:00"): 1}
+
+
+# --- large batches ---------------------------------------------------------------------------
+def test_a_batch_of_one_file_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """The rows of a batch that arrives as one task are cleaned in tasks of a bounded number of rows; their keys are the same."""
+    monkeypatch.setattr(mg, "ROWS_PER_TASK", 50)
+    rows = listings(spark, [{"row_id": i, "id": i, "url": f"u{i}", "source_id": 1, "links": [f"https://x.example/{i % 90}"], "attributes": {"dedupe_key": f" k{i}"}} for i in range(220)]).coalesce(1)
+    ready = mg.ready_batch(rows.withColumn("row_id", F.col("id")))
+    assert ready.rdd.getNumPartitions() == 5 and max(len(p) for p in ready.select("row_id").rdd.glom().collect()) <= 60
+    assert {(r.row_id, r.rank, r.scope, r.key) for r in mg.asked_keys(ready).collect()} == {
+        k for i in range(220) for k in ((i, 1, -1, f"u{i}"), (i, 2, 1, f"https://x.example/{i % 90}"), (i, 3, 1, f"k{i}"))}
+
+
+def test_keys_leave_out_what_names_nothing(spark):
+    rows = listings(spark, [{"id": 1, "url": None, "source_id": 1, "links": [" a ", "a", "", None], "attributes": {"dedupe_key": "  "}},
+                            {"id": 2, "url": "u", "source_id": None, "links": ["b"], "attributes": {"dedupe_key": "k"}},
+                            {"id": 3, "url": "", "source_id": 0, "links": None, "attributes": None}, {"id": 4, "url": "v", "source_id": 5, "links": ["c", "d"], "attributes": {"dedupe_key": " k "}}])
+    got = sorted((r.id, r.rank, r.scope, r.key) for r in mg.stored_keys(rows).collect())
+    assert got == [(1, 2, 1, "a"), (2, 1, -1, "u"), (4, 1, -1, "v"), (4, 2, 5, "c"), (4, 2, 5, "d"), (4, 3, 5, "k")]
