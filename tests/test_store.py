@@ -279,3 +279,18 @@ def test_keys_leave_out_what_names_nothing(spark):
                             {"id": 3, "url": "", "source_id": 0, "links": None, "attributes": None}, {"id": 4, "url": "v", "source_id": 5, "links": ["c", "d"], "attributes": {"dedupe_key": " k "}}])
     got = sorted((r.id, r.rank, r.scope, r.key) for r in mg.stored_keys(rows).collect())
     assert got == [(1, 2, 1, "a"), (2, 1, -1, "u"), (4, 1, -1, "v"), (4, 2, 5, "c"), (4, 2, 5, "d"), (4, 3, 5, "k")]
+
+
+def test_queue_batches_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """A batch of one file goes to claims and outcomes in tasks of a bounded number of rows."""
+    monkeypatch.setattr(st, "ROWS_PER_TASK", 100)
+    root, held = str(tmp_path / "q"), [(i, "s", f"u{i}", "queued", i, 0) for i in range(500)]
+    st.create_queue(spark.createDataFrame(held, "id long, source_name string, url string, status string, item_id long, attempts int"), root)
+    shape = "id long, found boolean, chat_missing boolean, status_code int, blocked boolean, fetch_error string, raised string"
+    spark.createDataFrame([(i, i % 2 == 0, False, 200, False, None, None) for i in range(450)], shape).coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen, claim = [], st.claim_rows
+    monkeypatch.setattr(st, "claim_rows", lambda ids, *a, **k: (seen.append(ids.rdd.getNumPartitions()), claim(ids, *a, **k))[1])
+    st.stream_queue(spark.readStream.schema(shape).parquet(str(tmp_path / "in")), root, str(tmp_path / "cp"), F.lit(datetime(2024, 1, 1))).awaitTermination()
+    assert seen == [5]
+    assert {r.id: (r.status, r.attempts) for r in st.read_queue(spark, root).collect()} == {
+        i: ("completed" if i % 2 == 0 else "error", 1) if i < 450 else ("queued", 0) for i in range(500)}
