@@ -9,7 +9,7 @@ pivot holds the sets for which it is the first pivot at a distance below one.  A
 misses at most the share ``eps`` of its shingles, so the first ``c`` pivots two linked sets have in common are among
 the first ``n - ceil(t * n) + c`` pivots of either: that is the window by which sets are also put into the
 regions behind their own.  Regions of one class fall away, and so do sets that meet others in fewer than ``c``
-regions, which leaves little more than the sets that have links.
+regions or no single other set in ``c`` of them, which leaves little more than the sets that have links.
 
 *Recursion.*  In each region a document becomes the pivot and its distance to the others is taken exactly.
 What lies within ``eps`` of it is one component and is not compared again among itself, so a group of near
@@ -31,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listforge.llm.common import byte_slices, mix, stored
+from listforge.llm.common import byte_slices, mix, shuffles_freed, stored
 from listforge.llm.components import components
 from listforge.llm.embedding_dedup import spanning
 from listforge.llm.lm_scoring import tokens_of
 
 BITS, CHUNKS, MARKS = 22, 32, 24
-SMALL, TILE = 48, 256
+SMALL, TILE, PAIRED = 48, 256, 8
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -89,7 +89,8 @@ def frequencies(docs: DataFrame, k: int) -> np.ndarray:
         return pa.table({"chunk": table.column("chunk")[:1], "salt": pa.array([0]), "c": pa.array([pa.compress(c.tobytes(), "zstd", asbytes=True)])})
 
     shape = "chunk long, salt long, c binary"
-    got = docs.select("text").mapInArrow(run, shape).groupBy("chunk", "salt").applyInArrow(added, shape).groupBy("chunk").applyInArrow(added, shape).collect()
+    with shuffles_freed(docs.sparkSession):
+        got = docs.select("text").mapInArrow(run, shape).groupBy("chunk", "salt").applyInArrow(added, shape).groupBy("chunk").applyInArrow(added, shape).collect()
     total = np.zeros((CHUNKS, (1 << BITS) // CHUNKS), np.uint16)
     for r in got:
         total[r.chunk] = np.frombuffer(pa.decompress(bytes(r.c), total.shape[1] * 2, "zstd", asbytes=True), np.uint16)
@@ -152,8 +153,31 @@ def regions(docs: DataFrame, k: int, percent: int) -> DataFrame:
     partner = F.ceil(F.col("n") * F.lit(percent) / 100)
     enough = met.groupBy("sid", "n").agg(F.count("*").alias("m")).filter(F.col("m") >= 1 + F.floor(partner * 3 / 100)).select("sid")
     met = stored(met.join(stored(enough, "enough"), "sid", "left_semi"), "met-pivots")
-    shared = met.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("key")
-    return stored(met.join(stored(shared, "shared-pivots"), "key", "left_semi"), "regions")
+    rows = stored(met.join(shared_keys(met), "key"), "regions")
+    rows = stored(rows.drop("size").join(with_partner(rows, percent), "sid", "left_semi"), "met-pivots")
+    return stored(rows.join(shared_keys(rows), "key").drop("size"), "regions")
+
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """``key, size`` of the regions that hold more than one class."""
+    sizes = rows.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("size"))
+    return stored(sizes.filter("lo <> hi").select("key", "size"), "shared-pivots")
+
+
+def with_partner(rows: DataFrame, percent: int) -> DataFrame:
+    """``sid`` of the sets that meet one and the same other set in ``c`` regions, as far as that can be told.
+
+    Regions of up to ``PAIRED`` sets are counted by pairs; of larger ones, all are taken to be shared.  In a large
+    corpus most sets meet others in ``c`` regions by chance, but each of them in a region or two."""
+    met = stored(rows.groupBy("sid").agg(F.count_if(F.col("size") > PAIRED).alias("far"), F.first("n").alias("n")), "met")
+    few = rows.filter(F.col("size") <= PAIRED).select("key", "sid").join(met, "sid")
+    other = few.select("key", F.col("sid").alias("psid"), F.col("n").alias("pn"), F.col("far").alias("pfar"))
+    needed = 1 + F.floor(F.least("n", "pn") * 3 / 100)
+    pairs = (few.join(other, "key").filter((F.col("sid") < F.col("psid")) & allowed(percent)).groupBy("sid", "psid")
+             .agg((F.count("*") + F.first(F.least("far", "pfar"))).alias("m"), F.first(needed).alias("needed")).filter("m >= needed"))
+    pairs = stored(pairs.select("sid", "psid"), "partners")
+    alone = met.filter(F.col("far") >= 1 + F.floor(F.ceil(F.col("n") * F.lit(percent) / 100) * 3 / 100)).select("sid")
+    return stored(pairs.select("sid").unionByName(pairs.select(F.col("psid").alias("sid"))).unionByName(alone).distinct(), "partnered")
 
 
 def marks_of(ids: DataFrame) -> np.ndarray:
@@ -165,8 +189,9 @@ def marks_of(ids: DataFrame) -> np.ndarray:
         bits[table.column("low").to_numpy()] = 1
         return pa.table({"chunk": table.column("chunk")[:1], "bits": pa.array([np.packbits(bits).tobytes()])})
 
-    got = (ids.select(F.shiftright(slot, 15).cast("int").alias("chunk"), slot.bitwiseAND(F.lit((1 << 15) - 1)).cast("int").alias("low"))
-           .distinct().groupBy("chunk").applyInArrow(pack, "chunk int, bits binary").collect())
+    with shuffles_freed(ids.sparkSession):
+        got = (ids.select(F.shiftright(slot, 15).cast("int").alias("chunk"), slot.bitwiseAND(F.lit((1 << 15) - 1)).cast("int").alias("low"))
+               .distinct().groupBy("chunk").applyInArrow(pack, "chunk int, bits binary").collect())
     out = np.zeros((1 << (MARKS - 15), 1 << 12), np.uint8)
     for r in got:
         out[r.chunk] = np.frombuffer(bytes(r.bits), np.uint8)

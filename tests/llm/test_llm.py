@@ -5,15 +5,17 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from listforge.llm import (components, decontaminate, embedding_dedup, jaccard_join, line_dedup, lm_scoring, mixing, personal_data,
                            quality, token_counts, toxicity)
-from listforge.llm.common import byte_slices, documents
+from listforge.llm.common import byte_slices, documents, shuffles_freed, stored
 
 FOLDER = "/root/testdata/sf0.001"
 PASSAGE = " ".join(f"word{i}" for i in range(60))
@@ -261,6 +263,59 @@ def test_jaccard_groups_that_recurse(spark, monkeypatch, small, tile):
     assert got == linked(rows, 4, 85)
 
 
+def shuffle_bytes(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    found = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def test_stored_steps_leave_no_shuffle_files(spark):
+    """The shuffles of all steps used to stay on disk until the driver collected garbage."""
+    before = set(shuffle_bytes(spark))
+    rows = stored(spark.range(200_000).groupBy((F.col("id") % 50_000).alias("k")).agg(F.count("*").alias("n")).join(spark.range(50_000).withColumnRenamed("id", "k").hint("merge"), "k"))
+    jaccard_join.marks_of(rows.select(F.col("k").alias("sid")))
+    for _ in range(100):
+        left = {k: v for k, v in shuffle_bytes(spark).items() if k not in before}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert rows.count() == 50_000
+
+
+def test_shuffles_freed_keeps_the_setting(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    for own in (None, "true", "false"):
+        spark.conf.unset(name) if own is None else spark.conf.set(name, own)
+        with shuffles_freed(spark):
+            assert spark.conf.get(name) == "true"
+        assert spark.conf.get(name, None) == own
+    spark.conf.unset(name)
+
+
+def test_sets_that_meet_many_others_by_chance_go(spark):
+    """Sets 1-4 of 100 shingles (c = 4) meet each other in one or two regions a pair; 10 and 11 in four; 20 and 21 in
+    three and a large one, which counts for any pair; 30 and 31 in four, but of sizes that cannot be linked."""
+    rows = [(f"{a}-{b}-{i}", s, 100) for a in range(1, 5) for b in range(a + 1, 5) for i in range(2) for s in (a, b)]
+    rows += [(f"x{i}", s, 100) for i in range(4) for s in (10, 11)] + [(f"y{i}", s, 100) for i in range(3) for s in (20, 21)]
+    rows += [("hot", s, 100) for s in (20, 21, *range(40, 60))] + [(f"z{i}", s, n) for i in range(4) for s, n in ((30, 50), (31, 100))]
+    df = spark.createDataFrame(rows, "name string, sid long, n int").select(F.xxhash64("name").alias("key"), "sid", "n")
+    rows = df.join(jaccard_join.shared_keys(df), "key")
+    assert {r.sid for r in jaccard_join.with_partner(rows, 85).collect()} == {10, 11, 20, 21}
+
+
+def test_jaccard_texts_of_shared_pieces(spark):
+    """Every pair of 24 texts shares a passage, as in a corpus of few words; 3 are near copies of others."""
+    piece = {(a, b): [f"p{a}.{b}.{i}" for i in range(12)] for a in range(24) for b in range(a + 1, 24)}
+    texts = [[w for (a, b), p in piece.items() if k in (a, b) for w in p] for k in range(24)]
+    texts += [texts[0][:-9] + ["other"], texts[7][12:], texts[9][:100] + ["new"] + texts[9][100:]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == {**{k: k for k in range(24)}, 24: 0, 25: 7, 26: 9}
+    kept = jaccard_join.regions(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    assert kept.select("sid").distinct().count() == 6
+
+
 def test_jaccard_odd_rows(odd):
     rows = jaccard_join.join_documents(odd).collect()
     found = {r.doc_id: r for r in rows}
