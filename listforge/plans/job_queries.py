@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from listforge.operators import normalize as nm
 from listforge.plans.registry import NOW, query
 from listforge.session import scratch_folder
-from listforge.sources import feeds as fe, mappings as mp
+from listforge.sources import feeds as fe, mappings as mp, tables as tb
 
 A = ("amounts_v",)
 P = ("places_v",)
@@ -97,6 +97,16 @@ def extract_tenders(t):
 
 
 # --- pages: every page gets the block its family needs -----------------------------------------
+PAGES_PER_TASK = 2_000
+
+
+class SplitPages:
+    """The pages in files of a bounded number, split once for all families that read them."""
+
+    def __init__(self, t):
+        self.pages = tb.split(t.pages, PAGES_PER_TASK)
+
+
 def _page(t, block):
     return t.pages.select("page_id", F.concat(F.lit("https://p.example/x/"), "page_id").alias("url"), F.expr(f"concat({block}, html)").alias("html"))
 
@@ -117,6 +127,7 @@ UNION ALL SELECT {URL}, 'meta', 'Go Dev ' || page_id, 90000.0, NULL, NULL, NULL
 UNION ALL SELECT {URL}, 'heading', 'Node Dev ' || page_id, 80000.0, NULL, 'Remote', NULL FROM pages
 UNION ALL SELECT {URL}, 'label', 'Arquiteto ' || page_id, NULL, NULL, 'Natal', 'RN' FROM pages""")
 def extract_job_pages(t):
+    t = SplitPages(t)
     ld = _page(t, """'<script type="application/ld+json">{"@type":"JobPosting","title":"dev  Java ', page_id, '","hiringOrganization":{"name":"Acme"},"jobLocation":{"address":{"addressLocality":"Belo Vale","addressRegion":"MG"}},"baseSalary":{"currency":"BRL","value":{"minValue":"', page_id + 100, '"}}}</script>'""")
     nx = _page(t, STATE + """{{"jobData":{{"title":"Dev Python ', page_id, '","company":{{"name":"Beta"}},"jobSalary":{{"value":{{"minimum":', page_id + 5000, '}}}},"description":"<p>x</p>"}}}}}}}}</script>'""".replace("{{", "{").replace("}}", "}").replace('"pageProps":{{', '"pageProps":{'))
     hidden = _page(t, """'<input id="jobs" value="[{&quot;url&quot;:&quot;https://h.example/', page_id, '&quot;,&quot;title&quot;:&quot;programador ', page_id, '&quot;,&quot;company&quot;:&quot;Gama&quot;,&quot;salary&quot;:&quot;R$ 4.500,50&quot;,&quot;city&quot;:&quot;Natal&quot;,&quot;state&quot;:&quot;RN&quot;}]">'""")

@@ -64,6 +64,12 @@ def _text(pages: DataFrame, *extra: Column) -> DataFrame:
     return pages.select("url", "html", pg.page_text(F.col("html")).alias("text"), *extra)
 
 
+def _where_built(df: DataFrame, condition: Column) -> DataFrame:
+    """A filter on columns that are costly to build and used again: it stays above the projection, by a number that no
+    optimizer moves it below.  Pushed down, it would build them for the filter and once more for the rows that pass."""
+    return df.withColumn("__n", F.monotonically_increasing_id()).where(condition & (F.col("__n") >= 0)).drop("__n")
+
+
 def _join(*parts: Column) -> Column:
     return F.concat_ws(" ", *parts)
 
@@ -160,6 +166,11 @@ def json_key_jobs(pages: DataFrame) -> DataFrame:
                                  work_model=F.when(F.lower("text").contains("remote"), "remoto"), experience_years=mo.experience_years(F.col("text"))))
 
 
+# A run of letters and blanks is tried from its start only and never given back: the comma is not in it, so a later
+# start or a shorter run finds nothing more, but would cost the square of the run.
+PLACE = r"(?<![A-Za-zÀ-ÿ ])([A-Za-zÀ-ÿ ]++,\s*[A-Z]{2})\b"
+
+
 @mapping("meta_jobs", "jobs")
 def meta_jobs(pages: DataFrame) -> DataFrame:
     h = F.col("html")
@@ -167,7 +178,7 @@ def meta_jobs(pages: DataFrame) -> DataFrame:
     salary = tx.extract(F.col("text"), r"(\$[\d,]+(?:\s+up to\s+\$[\d,]+)?\s+[A-Z]{3}/[A-Za-z]+)")
     return payload(
         df, url=F.coalesce(pg.page_meta(h, "og:url"), F.col("url")), title=F.col("t"), description=pg.page_meta(h, "og:description"), price=mo.salary_floor(salary),
-        currency=F.coalesce(tx.extract(salary, r"\b([A-Z]{3})/"), F.lit("USD")), location_raw=tx.extract(F.col("text"), r"([A-Za-zÀ-ÿ ]+,\s*[A-Z]{2})\b"),
+        currency=F.coalesce(tx.extract(salary, r"\b([A-Z]{3})/"), F.lit("USD")), location_raw=tx.extract(F.col("text"), PLACE),
         attributes=attribute_map(salary_text=salary, seniority=cl.seniority_word(F.col("text"), "abroad_board"),
                                  contract_type=cl.contract_type_infer(F.col("text"), "abroad_board"), work_model=F.lit("remoto")))
 
@@ -181,7 +192,7 @@ def heading_jobs(pages: DataFrame) -> DataFrame:
     remote = F.when(F.lower(place).contains("remote"), "remoto")
     df = df.select("*", body.alias("body"), tx.clean_text(F.regexp_replace(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]+>", " ")).alias("h1"))
     return payload(
-        df.where("h1 is not null and body <> ''"), url=F.col("url"), title=F.col("h1"), description=F.col("body"), price=mo.salary_floor(salary), currency=F.lit("USD"),
+        _where_built(df, F.col("h1").isNotNull() & (F.col("body") != "")), url=F.col("url"), title=F.col("h1"), description=F.col("body"), price=mo.salary_floor(salary), currency=F.lit("USD"),
         city=F.when(remote.isNotNull(), "Remote"),
         attributes=attribute_map(salary_text=salary, seniority=cl.seniority_word(_join(F.col("h1"), F.col("body")), "startup_board"),
                                  contract_type=cl.contract_type_infer(F.col("text"), "startup_board"), work_model=remote, experience_years=mo.experience_years(F.col("body"))))
@@ -193,7 +204,7 @@ def label_jobs(pages: DataFrame) -> DataFrame:
     m = lambda *names: F.coalesce(*[F.try_element_at("m", F.lit(n)) for n in names])
     remote = F.lower(m("Trabalho remoto")).isin("sim", "yes", "true") | F.lower("text").contains("trabalho remoto")
     return payload(
-        df.where(cl.tech_listing(_join(F.col("t"), F.col("text")), "careers_page") & (F.size("m") > 0)), url=F.col("url"), title=F.col("t"), description=F.col("text"), currency=F.lit("BRL"),
+        _where_built(df, cl.tech_listing(_join(F.col("t"), F.col("text")), "careers_page") & (F.size("m") > 0)), url=F.col("url"), title=F.col("t"), description=F.col("text"), currency=F.lit("BRL"),
         city=m("Cidade"), state=m("Estado/Província", "Estado"), zip_code=mo.digits(m("CEP/Código postal", "CEP")),
         attributes=attribute_map(country=m("País", "Pais"), seniority=cl.seniority_word(F.col("t")), contract_type=cl.contract_type_infer(m("Tipo de emprego")), work_model=F.when(remote, "remoto")))
 

@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from listforge.session import configure
+from listforge.session import configure, scratch_folder
 
 LISTING_SCHEMA = (
     "id long, url string, source_id int, title string, description string, price double, currency string, "
@@ -45,6 +45,18 @@ def dealt(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     return df.repartition(tasks) if tasks > 1 else df
 
 
+def split(df: DataFrame, rows_per_file: int) -> DataFrame:
+    """The same for rows too wide to shuffle and read several times: a table that is read in fewer tasks than there are
+    cores is written once in files of so many rows.  Filters cannot move below it, as they do below a repartition."""
+    spark = df.sparkSession
+    held = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    if len(held) >= spark.sparkContext.defaultParallelism or max(held, default=0) <= rows_per_file:
+        return df
+    folder = scratch_folder(spark, "split")
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def _pointer(spark: SparkSession, root: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_CURRENT")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path

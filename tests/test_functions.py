@@ -237,3 +237,30 @@ def test_long_rows_take_time_in_proportion(spark, kernel):
     seconds(2000)
     small = min(seconds(40_000) for _ in range(2))
     assert min(seconds(80_000) for _ in range(2)) <= 2.5 * small + 0.5
+
+
+def test_place_of_a_page_is_found_as_before_in_linear_time(one):
+    from listforge.sources.mappings import PLACE
+
+    rng, old = random.Random(5), r"([A-Za-zÀ-ÿ ]+,\s*[A-Z]{2})\b"
+    for _ in range(20_000):
+        text = "".join(rng.choices(["a", "B", "é", "÷", " ", ",", ", ", "SP", "RJ", "1", "\n", "-"], k=rng.randint(0, 14)))
+        a, b = (re.search(p, text, re.ASCII) for p in (old, PLACE))
+        assert (a and a.group(1)) == (b and b.group(1)), text
+    start = time.time()
+    assert one(lambda c: F.regexp_extract(c, PLACE, 1), "palavra " * 40_000 + ". Belo Vale, MG") == " Belo Vale, MG"
+    assert time.time() - start < 20
+
+
+def test_pages_are_split_once_for_all_families(spark, tmp_path):
+    """A file of one row group was one task for each family."""
+    from listforge.plans import job_queries, load_all
+
+    load_all()
+    rows = spark.range(5000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<p>x</p>"), "id").alias("html"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    from listforge.plans.registry import Tables
+
+    pages = job_queries.SplitPages(Tables(spark, str(tmp_path))).pages
+    assert pages.dtypes == rows.dtypes and pages.rdd.getNumPartitions() == 3
+    assert pages.exceptAll(rows).isEmpty() and pages.count() == 5000
