@@ -15,11 +15,13 @@ from pyspark.sql import Column, functions as F, types as T
 
 from listforge import fixed_values as fv
 
-EXOTIC_SPACES = r"[\x{00a0}\x{1680}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# Java asks the members of a class one after the other, for every character of a text: the range before && turns most
+# characters away with the first question.
+EXOTIC_SPACES = r"[\x{a0}-\x{3000}&&[\x{00a0}\x{1680}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
 # White space as str.split() sees it, as characters and as an explicit class: the class is one table
 # lookup per character, while (?U)\\s asks for the Unicode property every time.
 SPACES = " \t\n\u000b\f\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
-SPACE_RUN = (r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+")
+SPACE_RUN = (r"[\x{0}-\x{20}\x{80}-\x{3000}&&[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]+")
 BLOCK_TAGS = (r"(?i)</?(?:p|div|li|ul|ol|strong|b|em|span|h[1-6]|section|article|header|footer"
               r"|table|tr|td)\b[^>]*>")
 
@@ -59,9 +61,9 @@ def bound(fn):
     return run
 
 
-@bound
 def empty_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    """Null for ''.  The column is named once and no lambda is called, so that what it is made from stays in generated code."""
+    return F.get(F.array_remove(F.array(c), ""), F.lit(0))
 
 
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
